@@ -1,3 +1,3 @@
 """Named queries over the given tables."""
-from loadwarden.catalog import models  # noqa: F401
+from loadwarden.catalog import gates, models, profiles  # noqa: F401
 from loadwarden.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -130,6 +130,11 @@ class Given:
 
     @cached_property
     def gate(self) -> DataFrame:
+        """Gate rows as a stored table, for the steps that read it many times."""
+        return write_through(self.live_gate, "gate")
+
+    @cached_property
+    def live_gate(self) -> DataFrame:
         """Latest gate rows: all loads have passed but the new one."""
         status = F.when((F.col("table_fqn") == ORDERS) & (F.col("load_id") >= NEW_LOAD), "PENDING").otherwise("PASSED")
         return self.observed.select("table_fqn", "load_id", "row_count", status.alias("status"))
@@ -143,9 +148,10 @@ class Given:
         """Schema rows: what the baseline loads carry, and what each variant carries."""
         variants = bronze.schema_snapshots(self.spark, {(ORDERS, k): df.schema for k, df in self.variants.items()})
         columns = bronze.schema_snapshots(self.spark, {(ORDERS, ""): self.orders.schema}).drop("snapshot_id")
-        loads = self.baseline.select(F.col("_load_id").alias("snapshot_id")).distinct()
-        held = loads.withColumn("table_fqn", F.lit(ORDERS)).join(columns, "table_fqn").select(*variants.columns)
-        return held.unionByName(variants)
+        loads = self.gate.where((F.col("table_fqn") == ORDERS) & (F.col("status") == "PASSED")).select(
+            "table_fqn", F.col("load_id").alias("snapshot_id"))
+        held = loads.join(columns, "table_fqn").select(*variants.columns)
+        return write_through(held.unionByName(variants), "schema-snapshots")
 
     @cached_property
     def long(self) -> DataFrame:

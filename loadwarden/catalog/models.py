@@ -12,11 +12,11 @@ from loadwarden.plans import marts
 
 
 def stg_orders(g: Given):
-    return staging(g.orders, ORDERS, passed_loads(g.gate), ORDER_COLUMNS, "order_id")
+    return staging(g.orders, ORDERS, passed_loads(g.live_gate), ORDER_COLUMNS, "order_id")
 
 
 def stg_customers(g: Given):
-    return staging(g.customers, CUSTOMERS, passed_loads(g.gate), CUSTOMER_COLUMNS, "cust_id")
+    return staging(g.customers, CUSTOMERS, passed_loads(g.live_gate), CUSTOMER_COLUMNS, "cust_id")
 
 
 def fct(g: Given):

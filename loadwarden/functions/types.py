@@ -43,6 +43,15 @@ def spark_type_text(dt: T.DataType) -> str:
     return _SPARK_TYPES.get(type(dt), dt.simpleString().upper())
 
 
+def spark_type_parts(dt: T.DataType) -> tuple[str, int | None, int | None, int | None]:
+    """(base, precision, scale, length) of a Spark type."""
+    base, _, args = spark_type_text(dt).rstrip(")").partition("(")
+    numbers = [int(x) for x in args.split(",")] if args else []
+    if base == "NUMBER":
+        return base, *(numbers or NUMBER_DEFAULT), None
+    return base, None, None, (numbers[0] if numbers else VARCHAR_MAX) if base == "VARCHAR" else None
+
+
 def family_of(dt: T.DataType) -> str:
     """Family of a Spark type, for building expressions from a schema."""
     return TYPE_FAMILIES.get(spark_type_text(dt).split("(")[0], "other")
@@ -125,7 +134,7 @@ def compare_types(old: Column, new: Column) -> Column:
     lossy = ((old["base"] == "NUMBER") & (new["base"] == "FLOAT")) | (
         (type_family(old) == "numeric") & (new["base"] == "VARCHAR"))
     return (
-        F.when(type_text(old) == type_text(new), "same")
+        F.when(old.eqNullSafe(new), "same")
         .when(both_number, F.when(keeps_digits, "widening").otherwise("narrowing"))
         .when(both_text, F.when(new["length"] >= old["length"], "widening").otherwise("narrowing"))
         .when((old["base"] == "DATE") & new["base"].startswith("TIMESTAMP"), "widening")

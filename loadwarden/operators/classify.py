@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from loadwarden.functions.ids import event_id
 from loadwarden.functions.stats import semantic_confidence
-from loadwarden.functions.types import compare_types, parse_type
 from loadwarden.operators.rename import rename_pairs
 from loadwarden.operators.semantic import categorical_checks, category_shares, numeric_checks
 
@@ -23,17 +22,16 @@ EVIDENCE = ["score", "value_containment", "null_similarity", "distinct_ratio", "
 def _structural(diff: DataFrame, scored: DataFrame, pairs: DataFrame) -> list[DataFrame]:
     text = lambda v: F.lit(v)
     one = F.lit(1.0)
-    relation = compare_types(parse_type(F.col("type_before")), parse_type(F.col("type_after")))
     renames = pairs.select(
         *KEYS, text("rename").alias("drift_class"), text("column_renamed").alias("subtype"), "column_before",
         "column_after", "type_before", "type_after", F.col("score").alias("confidence"), "score", "value_containment",
-        "null_similarity", "distinct_ratio", relation.alias("type_relation"))
+        "null_similarity", "distinct_ratio", "type_relation")
     unpaired_added = diff.where(F.col("change") == "added").join(
         pairs.select(*KEYS, "column_after"), [*KEYS, "column_after"], "left_anti")
     unpaired_dropped = diff.where(F.col("change") == "dropped").join(
         pairs.select(*KEYS, "column_before"), [*KEYS, "column_before"], "left_anti")
     # a candidate that lost to a better pair carries no reason of its own
-    leftovers = (scored.join(unpaired_added.select(*KEYS, "column_after", "ordinal_after"), [*KEYS, "column_after"])
+    leftovers = (scored.join(unpaired_added.select(*KEYS, "column_after"), [*KEYS, "column_after"], "left_semi")
                  .groupBy(*KEYS, "column_before")
                  .agg(F.array_sort(F.collect_list(F.struct(
                      F.col("ordinal_after").alias("ordinal"), F.col("column_after").alias("column"),

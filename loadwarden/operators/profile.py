@@ -32,10 +32,8 @@ def long_values(load_rows: DataFrame, table: str, load_col: str = "_load_id") ->
     long = wide.unpivot(["load_id"], names, "column_name", "value")
 
     def per_column(text) -> Column:
-        picked = F.lit(None).cast("string")
-        for f in fields:
-            picked = F.when(F.col("column_name") == f.name.upper(), text(f.dataType)).otherwise(picked)
-        return picked
+        cases = " ".join(f"WHEN '{f.name.upper()}' THEN '{text(f.dataType)}'" for f in fields)
+        return F.expr(f"CASE column_name {cases} END")
 
     return long.select(F.lit(table).alias("table_fqn"), "load_id", "column_name",
                        per_column(spark_type_text).alias("data_type"), per_column(family_of).alias("family"), "value")

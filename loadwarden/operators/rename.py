@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadwarden.functions.stats import fingerprint
-from loadwarden.functions.types import parse_type, type_family
+from loadwarden.functions.types import compare_types
 
 KEYS = ["table_fqn", "load_id"]
 PAIR = [*KEYS, "column_before", "column_after"]
@@ -55,16 +55,17 @@ def scored_pairs(diff: DataFrame, profiles: DataFrame, baseline_loads: DataFrame
         F.col("distinct_count").alias("distinct_old"))
     new = profiles.select(*KEYS, F.col("column_name").alias("_new"), F.col("null_rate").alias("null_new"),
                           F.col("distinct_count").alias("distinct_new"))
-    dropped = (diff.where(F.col("change") == "dropped").select(*KEYS, "column_before", "type_before")
+    dropped = (diff.where(F.col("change") == "dropped").select(
+        *KEYS, "column_before", "type_before", "family_before", "parsed_before")
                .withColumn("_old", F.upper("column_before")).join(old, [*KEYS, "_old"], "left"))
-    added = (diff.where(F.col("change") == "added").select(*KEYS, "column_after", "type_after")
+    added = (diff.where(F.col("change") == "added").select(
+        *KEYS, "column_after", "type_after", "family_after", "parsed_after", "ordinal_after")
              .withColumn("_new", F.upper("column_after")).join(new, [*KEYS, "_new"], "left"))
     pairs = dropped.join(added, KEYS).join(containment, PAIR, "left")
     fp = fingerprint(F.coalesce("containment", F.lit(0.0)), F.col("null_old"), F.col("null_new"),
                      F.col("distinct_old"), F.col("distinct_new"), thresholds["rename_weights"])
     least = thresholds["rename_min_distinct"]
-    family = lambda c: type_family(parse_type(F.col(c)))
-    other_family = family("type_before") != family("type_after")
+    other_family = F.col("family_before") != F.col("family_after")
     unprofiled = F.col("distinct_old").isNull() | F.col("distinct_new").isNull()
     too_small = F.least("distinct_old", "distinct_new") < least
     scored = pairs.withColumn("fp", F.when(~other_family & ~unprofiled & ~too_small, fp))
@@ -75,7 +76,8 @@ def scored_pairs(diff: DataFrame, profiles: DataFrame, baseline_loads: DataFrame
         .when(too_small, f"distinct values below {least}; too small to fingerprint")
         .when(low, F.concat(F.lit("score "), F.col("fp.score").cast("string"),
                             F.lit(f" < {thresholds['rename_min_score']}"))))
-    return scored.select(*PAIR, "type_before", "type_after", "fp.score", "fp.value_containment", "fp.null_similarity",
+    relation = compare_types(F.col("parsed_before"), F.col("parsed_after"))
+    return scored.select(*PAIR, "type_before", "type_after", "ordinal_after", relation.alias("type_relation"), "fp.score", "fp.value_containment", "fp.null_similarity",
                          "fp.distinct_ratio", reason.alias("reason"))
 
 
@@ -85,7 +87,7 @@ def rename_pairs(scored: DataFrame) -> DataFrame:
     A fold over the accepted candidates of one load, at most its width in number, inside the plan.
     """
     entry = F.struct((-F.col("score")).alias("neg"), "column_before", "column_after", "type_before", "type_after",
-                     "score", "value_containment", "null_similarity", "distinct_ratio")
+                     "type_relation", "score", "value_containment", "null_similarity", "distinct_ratio")
     lists = scored.where(F.col("reason").isNull()).groupBy(*KEYS).agg(F.array_sort(F.collect_list(entry)).alias("c"))
     empty = F.expr("filter(c, x -> false)")
 

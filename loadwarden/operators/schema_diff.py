@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadwarden.functions.types import compare_types, parse_type, type_family, type_text
+from loadwarden.functions.types import compare_types
 from loadwarden.policy import SYSTEM_COLUMNS
 
 KEYS = ["table_fqn", "load_id"]
@@ -17,7 +17,8 @@ def _side(snapshots: DataFrame, pairs: DataFrame, id_col: str, suffix: str) -> D
             .join(wanted, ["table_fqn", "snapshot_id"])
             .select(*KEYS, F.upper("column_name").alias("_name"), F.col("column_name").alias(f"column_{suffix}"),
                     F.col("data_type").alias(f"type_{suffix}"), F.col("ordinal_position").alias(f"ordinal_{suffix}"),
-                    F.col("is_nullable").alias(f"nullable_{suffix}")))
+                    F.col("is_nullable").alias(f"nullable_{suffix}"), F.col("parsed").alias(f"parsed_{suffix}"),
+                    F.col("family").alias(f"family_{suffix}")))
 
 
 def schema_diff(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -27,12 +28,12 @@ def schema_diff(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     before, after = _side(snapshots, pairs, "before_id", "before"), _side(snapshots, pairs, "load_id", "after")
     both = before.join(after, [*KEYS, "_name"], "full_outer").drop("_name")
-    old, new = parse_type(F.col("type_before")), parse_type(F.col("type_after"))
+    old, new = F.col("parsed_before"), F.col("parsed_after")
     change = (F.when(F.col("column_before").isNull(), "added").when(F.col("column_after").isNull(), "dropped")
-              .when(type_text(old) != type_text(new), "type_changed").otherwise("unchanged"))
+              .when(old != new, "type_changed").otherwise("unchanged"))
     return both.select(
         "*", change.alias("change"),
-        type_family(parse_type(F.coalesce("type_after", "type_before"))).alias("family"),
+        F.coalesce("family_after", "family_before").alias("family"),
         F.when(change == "type_changed", compare_types(old, new)).alias("type_relation"))
 
 

@@ -12,6 +12,7 @@ from loadwarden.operators.rename import exact_containment, scored_pairs
 from loadwarden.operators.routing import route
 from loadwarden.operators.schema_diff import schema_diff
 from loadwarden.policy import Policy
+from loadwarden.session import write_through
 
 
 @dataclass
@@ -36,10 +37,15 @@ class Detection:
 
 
 def detect(x: Inputs, policy: Policy) -> Detection:
-    baseline = baseline_loads(x.gate, x.candidates, policy.thresholds["semantic_baseline_loads"])
-    diff = schema_diff(x.snapshots, last_passed_snapshot(x.snapshots, x.gate, x.candidates))
+    """Events of the candidate loads.
+
+    Baselines, differences and scores are small tables that several later steps read; each is written once
+    instead of being planned again in every branch.
+    """
+    baseline = write_through(baseline_loads(x.gate, x.candidates, policy.thresholds["semantic_baseline_loads"]), "baselines")
+    diff = write_through(schema_diff(x.snapshots, last_passed_snapshot(x.snapshots, x.gate, x.candidates)), "schema-diff")
     contained = x.containment if x.containment is not None else exact_containment(diff, baseline, x.counts)
-    scored = scored_pairs(diff, x.profiles, baseline, contained, policy.thresholds)
+    scored = write_through(scored_pairs(diff, x.profiles, baseline, contained, policy.thresholds), "scored-pairs")
     events = classify(diff, scored, x.profiles, baseline, policy.thresholds, x.key_columns, x.restated)
     return Detection(diff, baseline, scored, events)
 

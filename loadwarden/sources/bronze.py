@@ -5,10 +5,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadwarden.functions.types import spark_type_text
+from loadwarden.functions.types import family_of, parse_type, spark_type_parts, spark_type_text, type_family
 
+# The parsed form is kept beside the type text, so that comparing schemas parses nothing.
 SNAPSHOT_SCHEMA = ("table_fqn string, snapshot_id string, column_name string, ordinal_position int, "
-                   "data_type string, is_nullable boolean")
+                   "data_type string, is_nullable boolean, "
+                   "parsed struct<base: string, precision: int, scale: int, length: int>, family string")
 
 
 def tag_load(rows: DataFrame, load_id: Column, loaded_at: Column) -> DataFrame:
@@ -21,8 +23,14 @@ def read_load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def schema_rows(table: str, snapshot_id: str, schema: T.StructType) -> list[tuple]:
-    return [(table, snapshot_id, f.name.upper(), i, spark_type_text(f.dataType), f.nullable)
-            for i, f in enumerate(schema.fields, 1)]
+    return [(table, snapshot_id, f.name.upper(), i, spark_type_text(f.dataType), f.nullable,
+             spark_type_parts(f.dataType), family_of(f.dataType)) for i, f in enumerate(schema.fields, 1)]
+
+
+def with_parsed(snapshots: DataFrame) -> DataFrame:
+    """Parsed type and family for schema rows that only carry type text."""
+    rows = snapshots.withColumn("parsed", parse_type(F.col("data_type")))
+    return rows.withColumn("family", type_family(F.col("parsed")))
 
 
 def schema_snapshots(spark: SparkSession, schemas: dict[tuple[str, str], T.StructType]) -> DataFrame:

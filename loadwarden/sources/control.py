@@ -5,10 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadwarden.operators.gate import GATE_LOG_SCHEMA
+from loadwarden.sources.bronze import SNAPSHOT_SCHEMA
 
 TABLES = {
-    "schema_snapshots": ("table_fqn string, snapshot_id string, column_name string, ordinal_position int, "
-                         "data_type string, is_nullable boolean", ["table_fqn", "snapshot_id"]),
+    "schema_snapshots": (SNAPSHOT_SCHEMA, ["table_fqn", "snapshot_id"]),
     "column_profiles": ("table_fqn string, load_id string, column_name string, data_type string, row_count bigint, "
                         "null_rate double, distinct_count bigint, num_mean double, num_median double, num_p05 double, "
                         "num_p95 double, num_min double, num_max double, top_k map<string,double>",
