@@ -118,6 +118,8 @@ class Given:
             "clean": new,
             "codes": bronze.with_swapped_codes(new, "status", "A", "C"),
             "rename": bronze.with_renamed_column(new, "cust_id", "customer_key"),
+            "replaced": new.withColumns({"account_no": F.col("cust_id") + 1_000_000_000,
+                                         "channel_code": F.substring("channel", 1, 1)}).drop("cust_id", "channel"),
             "semantic": bronze.with_scaled_column(new, "amount", 84.0),
             "widening": bronze.with_widened_column(new, "amount", "decimal(18,2)"),
         }

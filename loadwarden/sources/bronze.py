@@ -1,6 +1,8 @@
 """Bronze loads: reading and tagging them, the schema each one carries, generated loads and drifted variants."""
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,9 +104,10 @@ def with_replaced_column(load: DataFrame, dropped: str, added: str, value: Colum
 
 
 def with_scaled_column(load: DataFrame, name: str, factor: float, digits: int = 2) -> DataFrame:
-    """The same column in another unit."""
+    """The same column in another unit, rounded half up in decimal arithmetic."""
     dt = load.schema[name].dataType
-    return load.withColumn(name, F.round(F.col(name).cast("double") / factor, digits).cast(dt))
+    exact = F.col(name).cast("decimal(28,6)") / F.lit(Decimal(str(factor)))
+    return load.withColumn(name, F.round(exact, digits).cast(dt))
 
 
 def with_swapped_codes(load: DataFrame, name: str, a: str, b: str) -> DataFrame:
