@@ -7,7 +7,6 @@ from loadwarden.catalog.given import EDGES, NODES, ORDERS, OWNERS, Given
 from loadwarden.catalog.registry import query
 from loadwarden.catalog.sql import BRONZE, DETECT, values
 from loadwarden.operators import lineage, rename, routing, semantic
-from loadwarden.operators.gate import baseline_loads, last_passed_snapshot
 from loadwarden.operators.schema_diff import diff_summary, schema_diff
 from loadwarden.plans.detect import decide
 from loadwarden.policy import CLASS_PRECEDENCE, PLAYBOOKS, SEVERITY
@@ -16,11 +15,11 @@ from loadwarden.sources.registry import with_owner
 
 
 def _diff(g: Given):
-    return schema_diff(g.snapshots, last_passed_snapshot(g.snapshots, g.gate, g.candidates))
+    return g.structure[1]
 
 
 def _baseline(g: Given):
-    return baseline_loads(g.gate, g.candidates)
+    return g.structure[0]
 
 
 # ------------------------------------------------------------------ schemas
@@ -79,12 +78,13 @@ def type_changes(g: Given):
 @query("containment_exact", f"""WITH {DETECT}
 SELECT 'L2001.rename' AS load_id, 'CUST_ID' AS column_before, 'CUSTOMER_KEY' AS column_after, c AS containment FROM containment""")
 def containment_exact(g: Given):
-    return rename.exact_containment(_diff(g), _baseline(g), g.counts).drop("table_fqn")
+    return rename.exact_containment(_diff(g), _baseline(g), g.changed_counts()).drop("table_fqn")
 
 
 def _scored(g: Given):
     diff, base = _diff(g), _baseline(g)
-    return rename.scored_pairs(diff, g.profiles, base, rename.exact_containment(diff, base, g.counts), g.policy.thresholds)
+    contained = rename.exact_containment(diff, base, g.changed_counts())
+    return rename.scored_pairs(diff, g.profiles, base, contained, g.policy.thresholds)
 
 
 @query("rename_pairs", f"""WITH {DETECT}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadwarden.operators.profile import exact_profile, long_values, value_counts
-from loadwarden.plans.detect import Detection, Inputs, decide, detect
+from loadwarden.plans.detect import Detection, Inputs, decide, detect, structure
 from loadwarden.operators.semantic import restatement
 from loadwarden.policy import Policy
 from loadwarden.session import write_through
@@ -165,6 +165,14 @@ class Given:
         """Value counts, written once: profiles, top values and containment all start from them."""
         return write_through(value_counts(self.long), "value-counts")
 
+    def changed_counts(self) -> DataFrame:
+        """Value counts of the added and dropped columns alone: all that containment needs."""
+        base, diff = self.structure
+        names = {c.upper() for r in diff.where(F.col("change").isin("added", "dropped"))
+                 .select("load_id", "column_before", "column_after").collect() for c in r[1:] if c}
+        parts = [df for df in (self.baseline, *self.variants.values()) if names & {c.upper() for c in df.columns}]
+        return value_counts(reduce(DataFrame.unionByName, [long_values(df, ORDERS, columns=names) for df in parts]))
+
     @cached_property
     def profiles(self) -> DataFrame:
         return write_through(exact_profile(self.long, self.counts), "column-profiles")
@@ -184,9 +192,14 @@ class Given:
         return Inputs(self.candidates, self.gate, self.snapshots, self.profiles, self.counts,
                       key_columns=self.key_columns, restated=self.restated if restated else None)
 
+    @cached_property
+    def structure(self) -> tuple[DataFrame, DataFrame]:
+        """(baseline loads, schema differences)"""
+        return structure(self.candidates, self.gate, self.snapshots, self.policy)
+
     @cached_property
     def detection(self) -> Detection:
-        return detect(self.inputs(), self.policy)
+        return detect(self.inputs(), self.policy, self.structure)
 
     @cached_property
     def events(self) -> DataFrame:

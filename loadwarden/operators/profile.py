@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadwarden.functions.types import canonical_text, family_of, spark_type_text
-from loadwarden.operators.quantiles import brackets, quantiles_within, with_quantiles
+from loadwarden.operators.quantiles import brackets, exact_quantiles, quantiles_within, with_quantiles
 from loadwarden.policy import SYSTEM_COLUMNS
 
 KEYS = ["table_fqn", "load_id", "column_name"]
@@ -23,9 +23,13 @@ def profiled_fields(schema: T.StructType) -> list[T.StructField]:
     return [f for f in schema.fields if f.name.upper() not in SYSTEM_COLUMNS]
 
 
-def long_values(load_rows: DataFrame, table: str, load_col: str = "_load_id") -> DataFrame:
-    """One row per (row, column): table_fqn, load_id, column_name, data_type, family, value text."""
-    fields = profiled_fields(load_rows.schema)
+def long_values(load_rows: DataFrame, table: str, load_col: str = "_load_id",
+                columns: set[str] | None = None) -> DataFrame:
+    """One row per (row, column): table_fqn, load_id, column_name, data_type, family, value text.
+
+    `columns` (upper case) restricts what is read; the rest is pruned from the scan.
+    """
+    fields = [f for f in profiled_fields(load_rows.schema) if columns is None or f.name.upper() in columns]
     wide = load_rows.select(F.col(load_col).alias("load_id"), *[
         canonical_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name.upper()) for f in fields])
     names = [f.name.upper() for f in fields]
@@ -146,8 +150,5 @@ def sketch_profile(load_rows: DataFrame, table: str, load_col: str = "_load_id")
 def load_summary(load_rows: DataFrame, value: str, load_col: str = "_load_id") -> DataFrame:
     """Rows and rounded median of one measure, per load."""
     rows = load_rows.select(F.col(load_col).alias("load_id"), F.col(value).cast("double").alias("v"))
-    probs = {"median_value": 0.5}
-    quant = quantiles_within(rows, brackets(rows, ["load_id"], "v", probs), ["load_id"], "v", probs)
-    counts = rows.groupBy("load_id").agg(F.count(F.lit(1)).alias("row_count"))
-    return with_quantiles(counts, quant, ["load_id"]).select("load_id", "row_count",
-                                                             F.round("median_value", 0).alias("median_value"))
+    found = exact_quantiles(rows, ["load_id"], "v", {"median_value": 0.5}, totals={"row_count": F.lit(1)})
+    return found.select("load_id", "row_count", F.round("median_value", 0).alias("median_value"))

@@ -24,28 +24,35 @@ def brackets(rows: DataFrame, keys: list[str], value: str, probs: dict[str, floa
                             F.lit(accuracy)).alias("_brackets"))
 
 
-def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                            *[c for c in right.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, reduce(Column.__and__, same)).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, reduce(Column.__and__, same), how).drop(*[f"_r_{k}" for k in keys])
 
 
 def quantiles_within(counted: DataFrame, bounds: DataFrame, keys: list[str], value: str,
-                     probs: dict[str, float], weight: str | None = None) -> DataFrame:
-    """Exact quantiles of weighted values, given brackets of the same groups."""
+                     probs: dict[str, float], weight: str | None = None,
+                     totals: dict[str, Column] | None = None) -> DataFrame:
+    """Exact quantiles of weighted values, given brackets of the same groups.
+
+    `totals` are summed over all rows of a group in the same pass, rows without a value included; with totals a
+    group that has no values at all is kept, its quantiles null.
+    """
     names = sorted(probs, key=probs.get)
-    v = F.col("_v")
-    rows = counted.where(F.col(value).isNotNull()).select(
+    totals = totals or {}
+    v, known = F.col("_v"), F.col(value).isNotNull()
+    rows = (counted if totals else counted.where(known)).select(
         *keys, F.col(value).cast("double").alias("_v"),
-        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
-    joined = _join_on(rows, bounds, keys)
+        F.when(known, F.col(weight) if weight else F.lit(1)).otherwise(0).cast("bigint").alias("_w"),
+        *[c.alias(n) for n, c in totals.items()])
+    joined = _join_on(rows, bounds, keys, "left" if totals else "inner")
     spans = [(F.col("_brackets")[2 * i], F.col("_brackets")[2 * i + 1]) for i in range(len(names))]
     inside = reduce(Column.__or__, [v.between(lo, hi) for lo, hi in spans])
     gap = reduce(Column.__add__, [(v > hi).cast("int") for _, hi in spans])
     shrunk = (
         joined.groupBy(*keys, gap.alias("_gap"), F.when(inside, v).alias("_point"))
-        .agg(F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *[F.sum(n).alias(n) for n in totals])
     )
     group = Window.partitionBy(*keys)
     running = group.orderBy("_lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -62,19 +69,21 @@ def quantiles_within(counted: DataFrame, bounds: DataFrame, keys: list[str], val
     for i, name in enumerate(names):
         pos = (F.col("_n") - 1) * F.lit(float(probs[name]))
         aggs += [at(F.floor(pos)).alias(f"_low{i}"), at(F.ceil(pos)).alias(f"_high{i}")]
-    picked = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs)
+    picked = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs, *[F.sum(n).alias(n) for n in totals])
     out = []
     for i, name in enumerate(names):
         pos = (F.col("_n") - 1) * F.lit(float(probs[name]))
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
         out.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
-    return picked.select(*keys, *out)
+    return picked.select(*keys, *totals, *out)
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    accuracy: int = ACCURACY) -> DataFrame:
-    """keys + one double column per named probability; groups without values are left out."""
-    return quantiles_within(rows, brackets(rows, keys, value, probs, accuracy), keys, value, probs)
+                    accuracy: int = ACCURACY, totals: dict[str, Column] | None = None) -> DataFrame:
+    """keys, the totals, and one double column per named probability; without totals, groups without values are
+    left out."""
+    bounds = brackets(rows, keys, value, probs, accuracy)
+    return quantiles_within(rows, bounds, keys, value, probs, totals=totals)
 
 
 def with_quantiles(grouped: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,14 +36,19 @@ class Detection:
     events: DataFrame
 
 
-def detect(x: Inputs, policy: Policy) -> Detection:
-    """Events of the candidate loads.
+def structure(candidates: DataFrame, gate: DataFrame, snapshots: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
+    """(baseline loads, schema differences) of the candidates: schema rows only, no data is read.
 
-    Baselines, differences and scores are small tables that several later steps read; each is written once
-    instead of being planned again in every branch.
+    Both are small and read by every later step, so each is written once instead of being planned in every branch.
     """
-    baseline = write_through(baseline_loads(x.gate, x.candidates, policy.thresholds["semantic_baseline_loads"]), "baselines")
-    diff = write_through(schema_diff(x.snapshots, last_passed_snapshot(x.snapshots, x.gate, x.candidates)), "schema-diff")
+    baseline = baseline_loads(gate, candidates, policy.thresholds["semantic_baseline_loads"])
+    diff = schema_diff(snapshots, last_passed_snapshot(snapshots, gate, candidates))
+    return write_through(baseline, "baselines"), write_through(diff, "schema-diff")
+
+
+def detect(x: Inputs, policy: Policy, known: tuple[DataFrame, DataFrame] | None = None) -> Detection:
+    """Events of the candidate loads."""
+    baseline, diff = known or structure(x.candidates, x.gate, x.snapshots, policy)
     contained = x.containment if x.containment is not None else exact_containment(diff, baseline, x.counts)
     scored = write_through(scored_pairs(diff, x.profiles, baseline, contained, policy.thresholds), "scored-pairs")
     events = classify(diff, scored, x.profiles, baseline, policy.thresholds, x.key_columns, x.restated)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadwarden.operators.quantiles import exact_quantiles, with_quantiles
+from loadwarden.operators.quantiles import exact_quantiles
 
 COMPLETED = "C"
 
@@ -39,8 +39,8 @@ def revenue_daily(fct: DataFrame) -> DataFrame:
     """Orders, revenue and exact median order by day, channel and segment; no group is sorted whole."""
     keys = ["order_date", "channel", "segment"]
     done = fct.where(F.col("status") == COMPLETED)
-    sums = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("orders"), F.sum("amount").alias("revenue"))
-    return with_quantiles(sums, exact_quantiles(done, keys, "amount", {"median_order": 0.5}), keys)
+    return exact_quantiles(done, keys, "amount", {"median_order": 0.5},
+                           totals={"orders": F.lit(1), "revenue": F.col("amount")})
 
 
 def finance_kpis(daily: DataFrame) -> DataFrame:

@@ -9,18 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadwarden.operators.classify import FIELDS
-from loadwarden.operators.gate import GATE_LOG_SCHEMA, baseline_loads, gate_latest, new_loads, passed_loads, require_legal
+from loadwarden.operators.gate import GATE_LOG_SCHEMA, gate_latest, new_loads, passed_loads, require_legal
 from loadwarden.operators.incidents import incident_entries
 from loadwarden.operators.profile import exact_profile, long_values, value_counts
 from loadwarden.operators.routing import decision_trace, gate_requests
 from loadwarden.operators.schema_diff import diff_summary
 from loadwarden.operators.semantic import restatement
-from loadwarden.plans.detect import Inputs, decide, detect
+from loadwarden.plans.detect import Inputs, decide, detect, structure
 from loadwarden.policy import Policy
 from loadwarden.session import write_through
 from loadwarden.sources.bronze import observed_loads, schema_snapshots
 from loadwarden.sources.control import ControlPlane
 
+# Who holds a load between its arrival and its decision.
+WATCH = "watch"
+
 
 @dataclass
 class WatchedTable:
@@ -60,9 +63,14 @@ def _requests(spark, rows: DataFrame, at: datetime, step: int) -> DataFrame:
 
 
 def _discover(control: ControlPlane, tables: list[WatchedTable]) -> DataFrame:
-    """New loads of all tables. Load lists are control data: ids and counts, one row per load."""
+    """New loads of all tables, and those an interrupted scan has left undecided.
+
+    Load lists are control data: ids and counts, one row per load.
+    """
     seen = _union([observed_loads(df, t.table) for t in tables for df in t.loads.values()])
-    return write_through(new_loads(seen, gate_latest(control.read("gate_log"))), "new-loads")
+    gate = gate_latest(control.read("gate_log"))
+    decided = gate.where((F.col("status") != "PENDING") | (F.col("decided_by") != WATCH))
+    return write_through(new_loads(seen, decided), "new-loads")
 
 
 def _by_table(tables: list[WatchedTable], fresh: DataFrame) -> dict[str, set[str]]:
@@ -100,7 +108,8 @@ def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, po
          mode: str = "protect") -> DataFrame:
     """Snapshot, hold, profile, classify, route and gate every new load; returns the decisions.
 
-    Running it again is a no-op: a load with a gate row is not new.
+    Running it again is a no-op for decided loads. A scan that was interrupted is taken up again: snapshots and
+    profiles are replaced, events, incidents and trace rows are inserted once.
     """
     spark = control.spark
     fresh = _discover(control, tables)
@@ -109,40 +118,56 @@ def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, po
     if not any(ids.values()):
         return candidates
     counts = _observe(control, tables, ids)
-    held = fresh.select("table_fqn", "load_id", "row_count", F.lit("PENDING").alias("status"), F.lit("watch").alias("decided_by"))
+    held = fresh.select("table_fqn", "load_id", "row_count", F.lit("PENDING").alias("status"), F.lit(WATCH).alias("decided_by"))
     control.append("gate_log", _requests(spark, held, at, 0))
     gate = gate_latest(control.read("gate_log"))
-    base = baseline_loads(gate, candidates, policy.thresholds["semantic_baseline_loads"])
-    # dropped columns meet baseline values: count those of the baseline loads again, only where something was added
-    base_ids = _by_table(tables, base.select("table_fqn", F.col("base_load_id").alias("load_id")).distinct())
-    base_long = [long_values(df, t.table) for t in tables for df in t.restricted(base_ids[t.table]).values()]
-    all_counts = counts if not base_long else counts.unionByName(value_counts(_union(base_long)))
+    known = structure(candidates, gate, control.read("schema_snapshots"), policy)
+    base_ids = _by_table(tables, known[0].select("table_fqn", F.col("base_load_id").alias("load_id")).distinct())
+    # the baseline is read again only for dropped columns of loads that also added one; profiles serve all else
+    dropped = _dropped_columns(known[1])
+    again = [long_values(df, t.table, columns=dropped[t.table]) for t in tables if t.table in dropped
+             for df in t.restricted(base_ids[t.table]).values() if dropped[t.table] & {c.upper() for c in df.columns}]
+    all_counts = counts.unionByName(value_counts(_union(again))) if again else counts
     inputs = Inputs(candidates, gate, control.read("schema_snapshots"), control.read("column_profiles"), all_counts,
                     key_columns=spark.createDataFrame([(t.table, t.key) for t in tables if t.key],
                                                       "table_fqn string, key_column string"))
-    found = detect(inputs, policy)
-    inputs.restated = _restated(tables, ids, base_ids, gate, found)
-    found = detect(inputs, policy)
+    found = detect(inputs, policy, known)
+    restated = _restated(tables, ids, gate, found)
+    if restated is not None:
+        inputs.restated = restated
+        found = detect(inputs, policy, known)
     events = write_through(found.events, "events")
     decisions, _ = decide(candidates, events, lineage.column_map, lineage.nodes, lineage.edges, lineage.project, policy)
     decisions = write_through(decisions, "decisions")
     asked = gate_requests(decisions, mode)
     incident = F.when(F.col("decided_by").endswith(":clean"), F.lit(None)).otherwise(F.col("incident_id"))
     rows = asked.withColumn("incident_id", incident)
-    requests = require_legal(control.read("gate_log"), _requests(spark, rows, at, 1))
-    control.append("gate_log", write_through(requests, "requests"))
+    requests = write_through(require_legal(control.read("gate_log"), _requests(spark, rows, at, 1)), "requests")
     flat = events.join(decisions.select("table_fqn", "load_id", "incident_id"), ["table_fqn", "load_id"]).select(
         "event_id", "incident_id", *FIELDS, F.to_json("evidence").alias("evidence"))
-    control.insert_absent("drift_events", flat, "event_id")
-    control.append("incident_log", incident_entries(decisions, asked, at))
+    control.insert_absent("drift_events", flat, ["event_id"])
+    control.insert_absent("incident_log", incident_entries(decisions, asked, at), ["incident_id", "status"])
     trace = decision_trace(decisions, events, diff_summary(found.diff), policy)
-    control.append("decision_trace", trace.select(F.lit("cognitive").alias("surface"), "incident_id", "step", "decision",
-                                                  "choice", "reasoning", F.array("alternatives").alias("alternatives"),
-                                                  "confidence"))
+    control.insert_absent("decision_trace", trace.select(
+        F.lit("cognitive").alias("surface"), "incident_id", "step", "decision", "choice", "reasoning",
+        F.array("alternatives").alias("alternatives"), "confidence"), ["incident_id", "step"])
+    # last: until its decision is in the gate log, a load counts as undecided and the next scan takes it up again
+    control.append("gate_log", requests)
     return decisions
 
 
-def _restated(tables, ids, base_ids, gate, found) -> DataFrame | None:
+def _dropped_columns(diff: DataFrame) -> dict[str, set[str]]:
+    """Per table: columns that some load dropped while adding another; names only, bounded by table width."""
+    both = (diff.groupBy("table_fqn", "load_id")
+            .agg(F.collect_set(F.when(F.col("change") == "dropped", F.upper("column_before"))).alias("names"),
+                 F.count_if(F.col("change") == "added").alias("added")).where("added > 0 and size(names) > 0"))
+    out: dict[str, set[str]] = {}
+    for r in both.collect():
+        out.setdefault(r["table_fqn"], set()).update(r["names"])
+    return out
+
+
+def _restated(tables, ids, gate, found) -> DataFrame | None:
     """Restatement evidence for numeric columns that look rescaled, one join per (table, column)."""
     suspects = (found.events.where(F.col("subtype").isin("unit_change", "scale_shift"))
                 .select("table_fqn", "column_before").distinct().collect())
@@ -154,10 +179,8 @@ def _restated(tables, ids, base_ids, gate, found) -> DataFrame | None:
         column = row["column_before"]
         cols = [t.key, column, "_load_id", "_loaded_at"]
         passed = {r["load_id"] for r in passed_loads(gate).where(F.col("table_fqn") == t.table).collect()}
-        def holds(df):
-            return {c.upper() for c in cols} <= {c.upper() for c in df.columns}
-        new = [df.select(*cols) for df in t.restricted(ids[t.table]).values() if holds(df)]
-        old = [df.select(*cols) for df in t.restricted(passed).values() if holds(df)]
+        new, old = ([df.select(*cols) for df in t.restricted(chosen).values()
+                     if {c.upper() for c in cols} <= {c.upper() for c in df.columns}] for chosen in (ids[t.table], passed))
         if new and old:
             parts.append(restatement(_union(new), _union(old), t.table, t.key, column))
     return _union(parts) if parts else None

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadwarden.operators.gate import GATE_LOG_SCHEMA
+from loadwarden.session import write_through
 from loadwarden.sources.bronze import SNAPSHOT_SCHEMA
 
 TABLES = {
@@ -60,10 +61,11 @@ class ControlPlane:
         writer = rows.select(*[F.col(f.name).cast(f.dataType) for f in typed.schema.fields]).write.mode("append")
         (writer.partitionBy(*parts) if parts else writer).parquet(self.path(table))
 
-    def insert_absent(self, table: str, rows: DataFrame, key: str) -> None:
+    def insert_absent(self, table: str, rows: DataFrame, keys: list[str]) -> None:
         """Append the rows whose key the table does not hold yet."""
-        fresh = rows.dropDuplicates([key]).join(self.read(table).select(key), key, "left_anti")
-        self.append(table, fresh)
+        fresh = rows.dropDuplicates(keys).join(self.read(table).select(*keys), keys, "left_anti")
+        # what is read here is also written to, so the new rows are fixed first
+        self.append(table, write_through(fresh, table))
 
     def reset(self) -> None:
         for table in RESET_TABLES:

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadwarden.operators.quantiles import exact_quantiles
 
@@ -33,6 +34,13 @@ def test_matches_brute_force(spark, accuracy):
             assert got[k][name] == pytest.approx(_brute(vs, p), rel=1e-12, abs=1e-12), (k, name)
 
 
+def test_totals_count_every_row(spark):
+    rows = [("a", float(i), i) for i in range(100)] + [("a", None, 5), ("b", None, 7)]
+    df = spark.createDataFrame(rows, "k string, v double, x bigint")
+    got = {r.k: (r.n, r.s, r.p50) for r in exact_quantiles(df, ["k"], "v", {"p50": 0.5}, 20, {"n": F.lit(1), "s": F.col("x")}).collect()}
+    assert got == {"a": (101, 4955, 49.5), "b": (1, 7, None)}
+
+
 def test_no_group_is_gathered(spark):
     """The plan holds no aggregate that keeps a group's values; what is sorted per group are brackets."""
     df = spark.range(1000).selectExpr("id % 3 as k", "cast(id as double) as v")
