@@ -27,13 +27,18 @@ WATCH = "watch"
 
 @dataclass
 class WatchedTable:
-    """A bronze table: one DataFrame per load, each with the schema its own files carry."""
+    """A bronze table: one DataFrame per schema it has had, each holding any number of loads of that schema.
+
+    The plan of a scan grows with the number of schemas, not with the number of loads.
+    """
     table: str
     key: str | None
-    loads: dict[str, DataFrame]
+    parts: list[DataFrame]
 
-    def restricted(self, ids: set[str]) -> dict[str, DataFrame]:
-        return {k: v for k, v in self.loads.items() if k in ids}
+    def rows_of(self, loads: DataFrame) -> list[tuple[int, DataFrame]]:
+        """(part number, rows) of the given loads; a semi join on the load id, so partitions are pruned by it."""
+        ids = loads.where(F.col("table_fqn") == self.table).select(F.col("load_id").alias("_load_id"))
+        return [(i, p.join(ids, "_load_id", "left_semi")) for i, p in enumerate(self.parts)]
 
 
 @dataclass
@@ -63,29 +68,25 @@ def _requests(spark, rows: DataFrame, at: datetime, step: int) -> DataFrame:
 
 
 def _discover(control: ControlPlane, tables: list[WatchedTable]) -> DataFrame:
-    """New loads of all tables, and those an interrupted scan has left undecided.
-
-    Load lists are control data: ids and counts, one row per load.
-    """
-    seen = _union([observed_loads(df, t.table) for t in tables for df in t.loads.values()])
+    """New loads of all tables, and those an interrupted scan has left undecided, with the part that holds them."""
+    seen = _union([observed_loads(p, t.table).withColumn("part", F.lit(i)) for t in tables for i, p in enumerate(t.parts)])
     gate = gate_latest(control.read("gate_log"))
     decided = gate.where((F.col("status") != "PENDING") | (F.col("decided_by") != WATCH))
     return write_through(new_loads(seen, decided), "new-loads")
 
 
-def _by_table(tables: list[WatchedTable], fresh: DataFrame) -> dict[str, set[str]]:
-    ids: dict[str, set[str]] = {t.table: set() for t in tables}
-    for r in fresh.select("table_fqn", "load_id").collect():
-        ids[r["table_fqn"]].add(r["load_id"])
-    return ids
+def _parts_in(fresh: DataFrame) -> set[tuple[str, int]]:
+    """Which schemas of which tables have new loads: as many entries as there are schemas."""
+    return {(r["table_fqn"], r["part"]) for r in fresh.select("table_fqn", "part").distinct().collect()}
 
 
-def _observe(control: ControlPlane, tables: list[WatchedTable], ids: dict[str, set[str]]) -> DataFrame:
+def _observe(control: ControlPlane, tables: list[WatchedTable], fresh: DataFrame, parts: set[tuple[str, int]]) -> DataFrame:
     """Write snapshots and profiles of the new loads; returns their value counts."""
-    spark = control.spark
-    todo = [(t, k, df) for t in tables for k, df in t.restricted(ids[t.table]).items()]
-    control.replace("schema_snapshots", schema_snapshots(spark, {(t.table, k): df.schema for t, k, df in todo}))
-    long = _union([long_values(df, t.table) for t, _, df in todo])
+    schemas = {(t.table, str(i)): p.schema for t in tables for i, p in enumerate(t.parts) if (t.table, i) in parts}
+    columns = schema_snapshots(control.spark, schemas).withColumn("part", F.col("snapshot_id").cast("int")).drop("snapshot_id")
+    control.replace("schema_snapshots", columns.join(
+        fresh.select("table_fqn", "part", F.col("load_id").alias("snapshot_id")), ["table_fqn", "part"]))
+    long = _union([long_values(df, t.table) for t in tables for i, df in t.rows_of(fresh) if (t.table, i) in parts])
     counts = write_through(value_counts(long), "value-counts")
     control.replace("column_profiles", exact_profile(long, counts))
     return counts
@@ -94,14 +95,14 @@ def _observe(control: ControlPlane, tables: list[WatchedTable], ids: dict[str, s
 def bootstrap(control: ControlPlane, tables: list[WatchedTable], at: datetime) -> int:
     """First run: every load present becomes the PASSED baseline. Returns the number of loads."""
     fresh = _discover(control, tables)
-    ids = _by_table(tables, fresh)
-    if not any(ids.values()):
+    parts = _parts_in(fresh)
+    if not parts:
         return 0
-    _observe(control, tables, ids)
+    _observe(control, tables, fresh, parts)
     rows = fresh.select("table_fqn", "load_id", "row_count", F.lit("PASSED").alias("status"),
                         F.lit("watch:bootstrap").alias("decided_by"))
     control.append("gate_log", _requests(control.spark, rows, at, 0))
-    return sum(map(len, ids.values()))
+    return fresh.count()
 
 
 def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, policy: Policy, at: datetime,
@@ -113,26 +114,26 @@ def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, po
     """
     spark = control.spark
     fresh = _discover(control, tables)
-    ids = _by_table(tables, fresh)
+    parts = _parts_in(fresh)
     candidates = fresh.select("table_fqn", "load_id")
-    if not any(ids.values()):
+    if not parts:
         return candidates
-    counts = _observe(control, tables, ids)
+    counts = _observe(control, tables, fresh, parts)
     held = fresh.select("table_fqn", "load_id", "row_count", F.lit("PENDING").alias("status"), F.lit(WATCH).alias("decided_by"))
     control.append("gate_log", _requests(spark, held, at, 0))
     gate = gate_latest(control.read("gate_log"))
     known = structure(candidates, gate, control.read("schema_snapshots"), policy)
-    base_ids = _by_table(tables, known[0].select("table_fqn", F.col("base_load_id").alias("load_id")).distinct())
+    base = known[0].select("table_fqn", F.col("base_load_id").alias("load_id")).distinct()
     # the baseline is read again only for dropped columns of loads that also added one; profiles serve all else
     dropped = _dropped_columns(known[1])
     again = [long_values(df, t.table, columns=dropped[t.table]) for t in tables if t.table in dropped
-             for df in t.restricted(base_ids[t.table]).values() if dropped[t.table] & {c.upper() for c in df.columns}]
+             for _, df in t.rows_of(base) if dropped[t.table] & {c.upper() for c in df.columns}]
     all_counts = counts.unionByName(value_counts(_union(again))) if again else counts
     inputs = Inputs(candidates, gate, control.read("schema_snapshots"), control.read("column_profiles"), all_counts,
                     key_columns=spark.createDataFrame([(t.table, t.key) for t in tables if t.key],
                                                       "table_fqn string, key_column string"))
     found = detect(inputs, policy, known)
-    restated = _restated(tables, ids, gate, found)
+    restated = _restated(tables, fresh, gate, found)
     if restated is not None:
         inputs.restated = restated
         found = detect(inputs, policy, known)
@@ -167,20 +168,19 @@ def _dropped_columns(diff: DataFrame) -> dict[str, set[str]]:
     return out
 
 
-def _restated(tables, ids, gate, found) -> DataFrame | None:
+def _restated(tables: list[WatchedTable], fresh: DataFrame, gate: DataFrame, found) -> DataFrame | None:
     """Restatement evidence for numeric columns that look rescaled, one join per (table, column)."""
     suspects = (found.events.where(F.col("subtype").isin("unit_change", "scale_shift"))
                 .select("table_fqn", "column_before").distinct().collect())
+    by_name = {t.table: t for t in tables}
     parts = []
-    for row in suspects:
-        t = next(t for t in tables if t.table == row["table_fqn"])
+    for table, column in suspects:
+        t = by_name[table]
+        cols = [t.key, column, "_load_id", "_loaded_at"]
         if not t.key:
             continue
-        column = row["column_before"]
-        cols = [t.key, column, "_load_id", "_loaded_at"]
-        passed = {r["load_id"] for r in passed_loads(gate).where(F.col("table_fqn") == t.table).collect()}
-        new, old = ([df.select(*cols) for df in t.restricted(chosen).values()
-                     if {c.upper() for c in cols} <= {c.upper() for c in df.columns}] for chosen in (ids[t.table], passed))
+        new, old = ([df.select(*cols) for _, df in t.rows_of(loads) if {c.upper() for c in cols} <= {c.upper() for c in df.columns}]
+                    for loads in (fresh, passed_loads(gate)))
         if new and old:
             parts.append(restatement(_union(new), _union(old), t.table, t.key, column))
     return _union(parts) if parts else None

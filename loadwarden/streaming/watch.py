@@ -26,26 +26,30 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
     return query
 
 
-def _state_path(root: str, version: int) -> str:
-    return f"{root}/v{version:08d}"
+def latest_rows(spark: SparkSession, root: str, schema, key: str, order: list[str]) -> DataFrame:
+    """Latest row per key over the change log below `root`."""
+    return latest_per_key(spark.read.schema(schema).parquet(f"{root}/log/*"), key, tuple(order))
 
 
 def latest_versions(spark: SparkSession, stream: DataFrame, key: str, order: list[str], root: str) -> DataFrame:
-    """Latest row per key of a stream, late and restated rows included (a plain duplicate drop would keep the
-    first). Each micro-batch merges into a new version of the table named after its id, so a replayed batch
-    rewrites its own version from the one before and nothing is counted twice."""
+    """Latest row per key of a stream, late and restated rows included (a plain duplicate drop would keep the first).
+
+    Each micro-batch writes its own latest rows to a folder named after its id: the cost of a batch is that of the
+    batch, not of all keys seen so far, and a replayed batch rewrites its own folder, so nothing counts twice.
+    """
     schema = stream.schema
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(_state_path(root, batch_id - 1)))
-        newest = latest_per_key(rows, key, tuple(order))
-        newest.write.mode("overwrite").parquet(_state_path(root, batch_id))
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        latest_per_key(batch, key, tuple(order)).write.mode("overwrite").parquet(f"{root}/log/{batch_id:010d}")
+
+    run_available(stream, keep, f"{root}/checkpoint")
+    return latest_rows(spark, root, schema, key, order)
+
 
-    query = run_available(stream, merge, f"{root}/checkpoint")
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(schema).parquet(_state_path(root, last))
+def compact(spark: SparkSession, root: str, schema, key: str, order: list[str], target: str) -> DataFrame:
+    """The change log reduced to one row per key, written to another folder."""
+    latest_rows(spark, root, schema, key, order).write.mode("overwrite").parquet(f"{target}/log/0000000000")
+    return latest_rows(spark, target, schema, key, order)
 
 
 def scan_stream(spark: SparkSession, stream: DataFrame, on_loads: Callable[[DataFrame, int], None], root: str) -> StreamingQuery:
