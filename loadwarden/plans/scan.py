@@ -19,7 +19,7 @@ from loadwarden.plans.detect import Inputs, decide, detect, structure
 from loadwarden.policy import Policy
 from loadwarden.session import write_through
 from loadwarden.sources.bronze import observed_loads, schema_snapshots
-from loadwarden.sources.control import ControlPlane
+from loadwarden.sources.control import ControlPlane, preserve_evidence
 
 # Who holds a load between its arrival and its decision.
 WATCH = "watch"
@@ -140,6 +140,7 @@ def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, po
     events = write_through(found.events, "events")
     decisions, _ = decide(candidates, events, lineage.column_map, lineage.nodes, lineage.edges, lineage.project, policy)
     decisions = write_through(decisions, "decisions")
+    _keep_evidence(control, tables, decisions, known[0])
     asked = gate_requests(decisions, mode)
     incident = F.when(F.col("decided_by").endswith(":clean"), F.lit(None)).otherwise(F.col("incident_id"))
     rows = asked.withColumn("incident_id", incident)
@@ -157,6 +158,20 @@ def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, po
     return decisions
 
 
+def _keep_evidence(control: ControlPlane, tables: list[WatchedTable], decisions: DataFrame, baseline: DataFrame) -> None:
+    """For each breaking incident, a copy of the last PASSED load, which still has what the new load lost.
+
+    One write per incident; bronze is only read.
+    """
+    last = baseline.where("base_rank = 1").select("table_fqn", "load_id", "base_load_id")
+    hit = decisions.where(F.col("top_class") == "breaking").join(last, ["table_fqn", "load_id"])
+    by_name = {t.table: t for t in tables}
+    for r in hit.select("table_fqn", "incident_id", "base_load_id").collect():
+        loads = control.spark.createDataFrame([(r["table_fqn"], r["base_load_id"])], "table_fqn string, load_id string")
+        for i, rows in by_name[r["table_fqn"]].rows_of(loads):
+            preserve_evidence(rows, r["table_fqn"], r["incident_id"], f"{control.root}/evidence", part=i)
+
+
 def _dropped_columns(diff: DataFrame) -> dict[str, set[str]]:
     """Per table: columns that some load dropped while adding another; names only, bounded by table width."""
     both = (diff.groupBy("table_fqn", "load_id")

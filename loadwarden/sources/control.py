@@ -87,9 +87,10 @@ class ControlPlane:
         return self.read("drift_events").where(F.col("incident_id") == incident_id).orderBy("event_id")
 
 
-def preserve_evidence(load_rows: DataFrame, table: str, incident_id: str, before, folder: str) -> str:
-    """Copy the rows loaded up to `before` next to the control tables; bronze itself is never written."""
-    name = f"{table.split('.')[-1].upper()}_PRE_{incident_id.replace('-', '_')}"
-    path = f"{folder.rstrip('/')}/{name}"
-    load_rows.where(F.col("_loaded_at") <= F.lit(before)).write.mode("ignore").parquet(path)
+def preserve_evidence(load_rows: DataFrame, table: str, incident_id: str, folder: str, before=None, part: int = 0) -> str:
+    """Copy rows next to the control tables, those loaded up to `before` when it is given; bronze itself is never
+    written. A copy that exists is kept. Returns the folder of the incident's copy."""
+    path = f"{folder.rstrip('/')}/{table.split('.')[-1].upper()}_PRE_{incident_id.replace('-', '_')}"
+    rows = load_rows if before is None else load_rows.where(F.col("_loaded_at") <= F.lit(before))
+    rows.write.mode("ignore").parquet(f"{path}/part={part}")
     return path

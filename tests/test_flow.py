@@ -61,6 +61,10 @@ def test_loop(spark, bronze_dir, tmp_path):
     unit = next(e for e in events if e.subtype == "unit_change")
     check = json.loads(unit.evidence)["restatement_check"]
     assert check["matched_rows"] == 60 and check["ratio_median"] == pytest.approx(84, rel=0.01) and unit.confidence == 0.99
+    # the breaking load has a copy of the last accepted load beside it
+    copies = str(tmp_path / "control" / "evidence" / f"ORDERS_PRE_{decisions['L20261009'].incident_id.replace('-', '_')}")
+    copy = spark.read.option("mergeSchema", True).parquet(copies)
+    assert copy.count() == 600 and "status" in copy.columns
     # nothing new: a second scan decides nothing and writes nothing
     assert scan(control, [now], lineage, Policy(), datetime(2026, 10, 2, 9)).count() == 0
     assert control.read("drift_events").count() == len(events)
@@ -93,7 +97,7 @@ def test_loop(spark, bronze_dir, tmp_path):
     state = incident_latest(control.read("incident_log")).where(F.col("load_id") == new_id).first()
     assert state.status == "RESOLVED" and state.resolved_at == datetime(2026, 10, 3, 10)
     assert gate_latest(control.read("gate_log")).where(F.col("load_id") == new_id).first().status == "PASSED"
-    kept = preserve_evidence(loads[ids[4]], TABLE, inc[new_id].incident_id, datetime(2027, 1, 1), str(tmp_path / "evidence"))
+    kept = preserve_evidence(loads[ids[4]], TABLE, inc[new_id].incident_id, str(tmp_path / "evidence"), datetime(2027, 1, 1))
     assert kept.endswith(f"ORDERS_PRE_{inc[new_id].incident_id.replace('-', '_')}") and spark.read.parquet(kept).count() == 600
     control.reset()
     assert control.read("gate_log").count() == 0 and control.read("column_profiles").count() == 0
