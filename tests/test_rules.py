@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadwarden.functions import ids, stats
-from loadwarden.operators import lineage, quality, rename, semantic, staging
+from loadwarden.operators import lineage, quality, rename, semantic, sketches, staging
 from loadwarden.policy import SEVERITY, THRESHOLDS, Policy
 
 T, L = "t", "N"
@@ -168,3 +168,14 @@ def test_merge_rules(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, severity string, approved boolean, ci_state string, decisions int")
     got = {r.id: r.violations for r in quality.merge_audit(df, Policy()).collect()}
     assert got == {0: ["human_approval"], 1: [], 2: ["tests_before_merge"], 3: ["decisions_traced"]}
+
+
+def test_minhash_containment_of_a_renamed_column(spark):
+    """Equal value sets: every signature position agrees, so the containment is 1 whatever the sketch error."""
+    long = spark.range(500).selectExpr("'t' as table_fqn", "'b' as load_id", "'OLD' as column_name", "cast(id as string) as value").unionByName(
+        spark.range(500).selectExpr("'t' as table_fqn", "'n' as load_id", "'NEW' as column_name", "cast(id as string) as value"))
+    states = sketches.minhash_states(long)
+    pair = states.selectExpr("table_fqn", "'n' as load_id", "'OLD' as column_before", "'NEW' as column_after", "column_name", "minhash")
+    base = pair.where("column_name = 'OLD'").drop("column_name").withColumn("n_base", F.lit(500.0))
+    new = pair.where("column_name = 'NEW'").drop("column_name").withColumn("n_new", F.lit(500.0))
+    assert sketches.minhash_containment(base, new).first().containment == 1.0
