@@ -70,3 +70,11 @@ def training_sample(docs: DataFrame, labelled: DataFrame, label: str, per_class:
 def fold(id_col: str, parts: int):
     """The fold of a document: crc32 of its id as text, modulo `parts`."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name
