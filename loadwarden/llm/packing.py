@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwarden.llm.common import texts_of
-from loadwarden.llm.tokens import shared_encoder, tokenizer_path
+from loadwarden.llm.tokens import WordEncoder, tokenizer_path
 from loadwarden.session import write_through
 
 LENGTH, END_ID = 4096, 1
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: st
     source = docs.select("doc_id", "text")
 
     def run(batches):
-        encoder, part, counts = shared_encoder(path), TaskContext.get().partitionId(), np.zeros(length + 1, dtype=np.int64)
+        encoder, part, counts = WordEncoder.shared(path), TaskContext.get().partitionId(), np.zeros(length + 1, dtype=np.int64)
         for batch in batches:
             rows = []
             for i, ids in enumerate(encoder.encode(texts_of(batch.column(1)))):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loadwarden.llm.common import texts_of
 from loadwarden.llm.files import new_folder, reading, writing
-from loadwarden.llm.tokens import shared_encoder, tokenizer_path
+from loadwarden.llm.tokens import WordEncoder, tokenizer_path
 from loadwarden.session import write_through
 
 MAGIC = b"PFR1"
@@ -141,7 +141,7 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
                .sortWithinPartitions("doc_id", "sig").select("doc_id", "text"))
 
     def run(batches):
-        part, encoder = TaskContext.get().partitionId(), shared_encoder(path)
+        part, encoder = TaskContext.get().partitionId(), WordEncoder.shared(path)
         name = f"{folder}/ids-{part:06d}.pfor"
         end = np.array([end_id], dtype="<u4")
         with writing(name) as out:

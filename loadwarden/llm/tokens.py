@@ -24,41 +24,29 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_SHARED: dict[str, "WordEncoder"] = {}
+_SHARED: dict[tuple, "CachedEncoder"] = {}
 
 
-def shared_encoder(path: str) -> "WordEncoder":
-    """The encoder of this Python worker; tasks that the worker runs one after another share its cache."""
-    if path not in _SHARED:
-        _SHARED[path] = WordEncoder(path)
-    return _SHARED[path]
+class CachedEncoder:
+    """Ids of texts put together from the ids of their parts; `_parts` cuts a text, `_learn` adds the ids of parts not seen before."""
 
-
-class WordEncoder:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.full.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.tails = {t: np.array(self._library(t), dtype=np.uint32) for t in ".,"}
+    def __init__(self, cache_words: int):
         self.cache_words = cache_words
         self._clear()
 
-    def _library(self, text: str) -> list[int]:
-        return self.full.encode(text, add_special_tokens=False).ids
+    @classmethod
+    def shared(cls, path: str) -> "CachedEncoder":
+        """The encoder of this Python worker; tasks that the worker runs one after another share its cache."""
+        if (cls, path) not in _SHARED:
+            _SHARED[cls, path] = cls(path)
+        return _SHARED[cls, path]
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict = {}
         self.store, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
-    def _add(self, word: bytes, ids) -> None:
+    def _add(self, word, ids) -> None:
         at, n = len(self.index), len(ids)
         if at == len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * at), np.resize(self.sizes, 2 * at)
@@ -69,10 +57,54 @@ class WordEncoder:
         self.index[word] = at
         self.used += n
 
-    def _ids(self, word: bytes) -> np.ndarray:
+    def _ids(self, word) -> np.ndarray:
         at = self.index[word]
         return self.store[self.starts[at]:self.starts[at] + self.sizes[at]]
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as the library gives them for the whole text."""
+        if not texts:
+            return []
+        parts = [self._parts(t) for t in texts]
+        flat = list(chain.from_iterable(parts))
+        unseen = set(flat).difference(self.index)
+        if unseen:
+            if len(self.index) + len(unseen) > self.cache_words:
+                self._clear()
+                unseen = set(flat)
+            self._learn(unseen)
+        at = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        where = np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)
+        ids = self.store[where]
+        return np.split(ids, np.r_[0, ends][np.cumsum([len(p) for p in parts[:-1]], dtype=np.int64)])
+
+
+class WordEncoder(CachedEncoder):
+    """The word tokenizer of the tokenizers library."""
+
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.full.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.tails = {t: np.array(self._library(t), dtype=np.uint32) for t in ".,"}
+        super().__init__(cache_words)
+
+    def _library(self, text: str) -> list[int]:
+        return self.full.encode(text, add_special_tokens=False).ids
+
+    def _parts(self, text: str) -> list[bytes]:
+        return text.encode("utf-8").split()
+
     def _learn(self, unseen: set[bytes]) -> None:
         simple, joined, other = {}, [], []
         for part in unseen:
@@ -99,23 +131,3 @@ class WordEncoder:
                 self._add(part, np.array(got.ids, dtype=np.uint32))
         for part, word, tail in joined:
             self._add(part, np.concatenate([self._ids(word), self.tails[tail]]) if tail else self._ids(word))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the library gives them for the whole text."""
-        if not texts:
-            return []
-        parts = [t.encode("utf-8").split() for t in texts]
-        flat = list(chain.from_iterable(parts))
-        unseen = set(flat).difference(self.index)
-        if unseen:
-            if len(self.index) + len(unseen) > self.cache_words:
-                self._clear()
-                unseen = set(flat)
-            self._learn(unseen)
-        at = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)
-        ids = self.store[where]
-        return np.split(ids, np.r_[0, ends][np.cumsum([len(p) for p in parts[:-1]], dtype=np.int64)])
