@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from loadwarden.llm.common import fold, keep_rows, map_texts, training_sample
 
-WINDOW_BYTES = 256
-LEVEL = 6
+WINDOW_BYTES = 96
+LEVEL = 12
 #: Training rows per class and their longest text; the dictionaries' sizes.
 PER_CLASS, MAX_CHARS = 3_000, 20_000
-ORDINARY_BYTES, TOXIC_BYTES = 120_000, 4_096
-#: A word is typical of toxic text from this share of toxic documents (counted by distinct words before it, so that copies count once)
-#: and this many times its ordinary share.
-TYPICAL_SHARE, TYPICAL_LIFT = 0.012, 8.0
-GAINS = (2, 3, 4, 6)
+ORDINARY_BYTES, TOXIC_BYTES = 60_000, 4_096
+#: A beginning of words is typical of toxic text from this share of toxic documents (counted by distinct words before it, so that copies count
+#: once) and this many times its ordinary rate; beginnings have this many bytes, or are whole words.
+TYPICAL_SHARE, TYPICAL_LIFT, STEM_BYTES = 0.012, 8.0, range(4, 9)
+GAINS = (1, 2, 3, 4)
 
 
 @dataclass(frozen=True)
@@ -96,6 +96,30 @@ def _dictionary(words: list[bytes], size: int) -> bytes:
     return b" " + b" ".join(reversed(kept)) + b" " if kept else b""
 
 
+def _stems(word: bytes) -> list[bytes]:
+    """The beginnings of a word and, closed by a space, the word."""
+    return [word[:n] for n in STEM_BYTES if n < len(word)] + [word + b" "]
+
+
+def _typical(toxic: list[list[bytes]], ordinary: Counter) -> list[bytes]:
+    """Beginnings that toxic documents use far above their ordinary rate, the most frequent first; of two that nearly always occur together the longer."""
+    before: dict[bytes, set[bytes]] = defaultdict(set)
+    for d in toxic:
+        for a, b in zip([b"", *d], d):
+            if b:
+                for stem in _stems(b):
+                    before[stem].add(a)
+    usual: Counter = Counter()
+    for w, n in ordinary.items():
+        for stem in _stems(w):
+            usual[stem] += n
+    n1, n0 = sum(map(len, toxic)) or 1, sum(ordinary.values()) or 1
+    least = max(3, TYPICAL_SHARE * len(toxic))
+    found = {s: len(b) for s, b in before.items() if len(b) >= least and len(b) / n1 > TYPICAL_LIFT * (usual[s] + 1) / n0}
+    shorter = {s[:-1] for s, n in found.items() if n >= 0.7 * found.get(s[:-1], n + n)}
+    return sorted((s for s in found if s not in shorter), key=lambda s: (-found[s], s))
+
+
 def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -116,18 +140,11 @@ def fit(samples: list[tuple[str, int]], toxic_rate: float) -> ToxicityModel | No
     if min(len({y for _, y in part}) for part in (learn, rest)) < 2:
         return None
     docs = {y: [_words(t) for t, z in learn if z == y] for y in (0, 1)}
-    seen = {y: Counter(w for d in docs[y] for w in set(d)) for y in (0, 1)}
-    before: dict[bytes, set[bytes]] = defaultdict(set)
-    for d in docs[1]:
-        for a, b in zip([b"", *d], d):
-            if b:
-                before[b].add(a)
-    n0, n1 = len(docs[0]), len(docs[1])
-    least = max(3, TYPICAL_SHARE * n1)
-    typical = [w for w in before if len(before[w]) >= least and seen[1][w] / n1 > TYPICAL_LIFT * (seen[0][w] + 0.5) / n0]
-    typical.sort(key=lambda w: (-len(before[w]), w))
-    common = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if w]
-    ordinary, toxic = _dictionary(common, ORDINARY_BYTES), _dictionary(typical, TOXIC_BYTES)
+    seen = Counter(w for d in docs[0] for w in d if w)
+    typical = _typical(docs[1], seen)
+    heads = tuple(typical)
+    common = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if not (w + b" ").startswith(heads)]
+    ordinary, toxic = _dictionary(common, ORDINARY_BYTES), _dictionary([h.rstrip(b" ") for h in typical], TOXIC_BYTES)
     plain, marked = _compressor(ordinary), _compressor(toxic + ordinary)
     x = np.array([_features(_gains(t, plain, marked)) for t, _ in rest])
     y = np.array([z for _, z in rest], dtype=float)
