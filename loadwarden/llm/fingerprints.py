@@ -69,7 +69,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         return F.struct(bin_of(first).alias("bin"), F.substring(F.lower(F.hex(pair.bitwiseOR(F.lit(-1 << 63)))), -4, 4).alias("sig"))
 
     df = df.withColumn(e, F.map_from_entries(F.transform(_run_starts(d, bin_of), selected)))
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda j: F.coalesce(F.try_element_at(F.col(e), j), F.lit(_EMPTY)))
+    # asked twice on purpose: the optimizer would move a column used once into this function and compute it for every part
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")),
+                        lambda j: F.when(F.map_contains_key(F.col(e), j), F.element_at(F.col(e), j)).otherwise(_EMPTY))
     return df.withColumn(name, F.array_join(parts, "")).drop(a, b, c, d, e)
 
 
