@@ -253,19 +253,19 @@ def adoption_gate(g: Given):
 _LABEL = "INR→USD (≈84 INR per USD)"
 _REASONS = f"""reasons AS (
   SELECT e.*, CASE
-    WHEN drift_class = 'rename' THEN 'CUST_ID→CUSTOMER_KEY: value containment ' || f.c || ', null similarity 1.0, distinct ratio '
-      || f.r || ' → score ' || f.score
-    WHEN e.subtype IN ('unit_change', 'scale_shift') THEN 'median ' || round(n.med, 4) || ' → ' || round(n.m, 4) || ' (×'
-      || round(n.ratio, 4) || ', robust z=' || round(n.z, 1) || '); hypothesis: '
-      || CASE WHEN direction IS NULL THEN 'unknown scale change' ELSE '{_LABEL}' END
-    WHEN drift_class = 'semantic' THEN 'categorical PSI ' || round(t.psi, 3) || ' with domain overlap ' || round(t.overlap, 3)
-    WHEN e.subtype = 'column_dropped' THEN column_before || ' disappeared; candidates rejected: '
-      || (SELECT string_agg(r.column_after || ' (' || r.reason || ')', '; ' ORDER BY r.column_after) FROM rejected r
+    WHEN drift_class = 'rename' THEN 'CUSTOMER_KEY holds ' || f.c || ' of the values of CUST_ID; nulls agree to 1.0, distinct values to '
+      || f.r || '; total ' || f.score
+    WHEN e.subtype IN ('unit_change', 'scale_shift') THEN 'median moved from ' || round(n.med, 4) || ' to ' || round(n.m, 4) || ', factor '
+      || round(n.ratio, 4) || ' at z ' || round(n.z, 1) || '; known change: '
+      || CASE WHEN direction IS NULL THEN 'none' ELSE '{_LABEL}' END
+    WHEN drift_class = 'semantic' THEN 'code shares moved by PSI ' || round(t.psi, 3) || '; shared codes ' || round(t.overlap, 3)
+    WHEN e.subtype = 'column_dropped' THEN 'no ' || column_before || ' in this load; not its successor: '
+      || (SELECT string_agg(r.column_after || ': ' || r.reason, ' | ' ORDER BY r.column_after) FROM rejected r
           WHERE r.load_id = e.load_id AND r.column_before = e.column_before)
-    WHEN drift_class = 'additive' THEN 'new column ' || column_after || ' (' || type_after || ')'
-    ELSE type_before || ' → ' || type_after || ' is widening' END AS reasoning,
-    CASE WHEN e.subtype = 'column_dropped' THEN (SELECT string_agg(r.column_before || '→' || r.column_after || ': ' || r.reason, '; '
-      ORDER BY r.column_after) FROM rejected r WHERE r.load_id = e.load_id AND r.column_before = e.column_before) ELSE '' END AS alternatives,
+    WHEN drift_class = 'additive' THEN column_after || ' of type ' || type_after || ' is new'
+    ELSE column_before || ' was ' || type_before || ', now ' || type_after || ': widening' END AS reasoning,
+    coalesce((SELECT string_agg(r.column_before || '→' || r.column_after || ': ' || r.reason, '; ' ORDER BY r.column_before, r.column_after)
+      FROM rejected r WHERE r.load_id = e.load_id AND (r.column_before = e.column_before OR r.column_after = e.column_after)), '') AS alternatives,
     row_number() OVER (PARTITION BY e.load_id ORDER BY drift_class, coalesce(column_before, ''), coalesce(column_after, '')) AS pos,
     count(*) OVER (PARTITION BY e.load_id) AS n
   FROM events e CROSS JOIN fingerprint f
@@ -293,32 +293,27 @@ SELECT d.incident_id, t.* FROM decisions d JOIN (
 ) t USING (load_id)""")
 def decision_trace(g: Given):
     decisions, _ = g.decided()
-    trace = routing.decision_trace(decisions, g.events, diff_summary(_diff(g)), g.policy)
+    trace = routing.decision_trace(decisions, g.events, diff_summary(_diff(g)), g.policy, _scored(g).where(F.col("reason").isNotNull()))
     return trace.drop("table_fqn")
 
 
 @query("incident_texts", f"""WITH {DETECT}, {_GRAPH}, {_ROUTES}, {_REASONS},
 primary_event AS (SELECT r.* FROM reasons r JOIN decisions d ON d.load_id = r.load_id AND d.top_class = r.drift_class
-                  QUALIFY row_number() OVER (PARTITION BY r.load_id ORDER BY pos) = 1),
-hyp AS (SELECT load_id, round(ratio, 4) AS ratio FROM numeric_tests WHERE flagged)
+                  QUALIFY row_number() OVER (PARTITION BY r.load_id ORDER BY pos) = 1)
 SELECT d.load_id, d.incident_id,
-  CASE d.severity WHEN 'SEV1' THEN '🔴' WHEN 'SEV2' THEN '🟠' WHEN 'SEV3' THEN '🟡' WHEN 'SEV4' THEN '🔵' ELSE '⚪' END || ' ' || d.severity || ' '
-  || CASE d.top_class WHEN 'additive' THEN 'Additive (new column)' WHEN 'rename' THEN 'Rename' WHEN 'type_widening' THEN 'Type widening'
-       WHEN 'breaking' THEN 'Breaking change' WHEN 'semantic' THEN 'Semantic drift' ELSE 'No drift' END || ' on orders:'
-  || CASE d.top_class WHEN 'additive' THEN ' ' || p.column_after WHEN 'rename' THEN ' CUST_ID → CUSTOMER_KEY'
-       WHEN 'type_widening' THEN ' AMOUNT NUMBER(12,2) → NUMBER(18,2)' WHEN 'breaking' THEN ' ' || p.column_before
-       WHEN 'semantic' THEN ' ' || p.column_before || ' meaning changed' || CASE p.subtype WHEN 'unit_change' THEN ' ({_LABEL})' ELSE '' END
-       ELSE '' END AS headline,
-  CASE WHEN d.top_class = 'no_drift' THEN '' ELSE 'Hi {OWNERS[ORDERS]} — '
-  || CASE d.top_class WHEN 'rename' THEN 'we detected CUST_ID was renamed to CUSTOMER_KEY. Please confirm it is intentional and permanent.'
-       WHEN 'semantic' THEN 'values in ' || p.column_before || ' changed by ×' || coalesce(CAST(h.ratio AS VARCHAR), 'None') || ' (looks like '
-         || CASE p.subtype WHEN 'unit_change' THEN '{_LABEL}' ELSE 'a unit change' END || '). Please confirm the unit so we can normalise it.'
-       WHEN 'breaking' THEN p.column_before || ' disappeared from the feed. Please confirm the replacement and its meaning, and whether history can be re-sent.'
-       WHEN 'type_widening' THEN 'AMOUNT changed type NUMBER(12,2) → NUMBER(18,2). No action needed unless this was unintended.'
-       ELSE 'new column ' || p.column_after || ' noticed; tell us if downstream teams should start using it.' END
-  || ' Downstream data is protected (load gate: ' || d.gate || '). Please treat schema changes as contract changes and announce them in advance.' END
-  AS producer_note
-FROM decisions d LEFT JOIN primary_event p USING (load_id) LEFT JOIN hyp h USING (load_id)""")
+  CASE d.severity WHEN 'SEV1' THEN '🔴' WHEN 'SEV2' THEN '🟠' WHEN 'SEV3' THEN '🟡' WHEN 'SEV4' THEN '🔵' ELSE '⚪' END || ' orders ' || d.severity || ', '
+  || CASE d.top_class WHEN 'additive' THEN 'Additive (new column): ' || p.column_after WHEN 'rename' THEN 'Rename: CUST_ID now CUSTOMER_KEY'
+       WHEN 'type_widening' THEN 'Type widening: AMOUNT now NUMBER(18,2)' WHEN 'breaking' THEN 'Breaking change: ' || p.column_before
+       WHEN 'semantic' THEN 'Semantic drift: values of ' || p.column_before ELSE 'No drift' END AS headline,
+  CASE WHEN d.top_class = 'no_drift' THEN '' ELSE 'For {OWNERS[ORDERS]}. '
+  || CASE d.top_class WHEN 'rename' THEN 'CUST_ID arrives as CUSTOMER_KEY. Will it stay so?'
+       WHEN 'semantic' THEN p.column_before || ' holds other values than before (' || CASE p.subtype WHEN 'unit_change' THEN '{_LABEL}'
+         ELSE 'cause unknown' END || '). Which unit or coding is it in?'
+       WHEN 'breaking' THEN p.column_before || ' is no longer sent. What takes its place, and can earlier loads be sent again?'
+       WHEN 'type_widening' THEN 'AMOUNT arrives as NUMBER(18,2) instead of NUMBER(12,2). Tell us only if that is a mistake.'
+       ELSE p.column_after || ' arrives for the first time. Should readers use it?' END
+  || ' The load''s gate: ' || d.gate || '.' END AS producer_note
+FROM decisions d LEFT JOIN primary_event p USING (load_id)""")
 def incident_texts(g: Given):
     decisions, _ = g.decided()
     return routing.incident_texts(with_owner(decisions, g.registry), g.events).drop("table_fqn")

@@ -38,33 +38,33 @@ CUSTOMER_COLUMNS = [
     {"alias": "city", "source": "city", "type": "varchar", "tests": []},
     {"alias": "signup_date", "source": "signup_date", "type": "date", "tests": []},
 ]
-EDGES = [
-    ("source.shop.raw.orders", "model.shop.stg_orders"), ("source.shop.raw.customers", "model.shop.stg_customers"),
-    ("model.shop.stg_orders", "model.shop.fct_orders"), ("model.shop.stg_orders", "model.shop.dim_customers"),
-    ("model.shop.stg_customers", "model.shop.fct_orders"), ("model.shop.stg_customers", "model.shop.dim_customers"),
-    ("model.shop.fct_orders", "model.shop.customer_ltv"), ("model.shop.fct_orders", "model.shop.fct_revenue_daily"),
-    ("model.shop.fct_revenue_daily", "model.shop.mart_finance_kpis"),
-    ("model.shop.fct_revenue_daily", "exposure.shop.exec_revenue_dashboard"),
-    ("model.shop.mart_finance_kpis", "exposure.shop.exec_revenue_dashboard"),
-    ("model.shop.mart_finance_kpis", "exposure.shop.finance_month_close"),
-    ("model.shop.dim_customers", "exposure.shop.customer_360"),
-    ("model.shop.customer_ltv", "exposure.shop.customer_360"),
-    ("model.shop.customer_ltv", "exposure.shop.marketing_ltv_segments"),
-]
-_MODELS = ["stg_orders", "stg_customers", "fct_orders", "dim_customers", "customer_ltv", "fct_revenue_daily",
-           "mart_finance_kpis"]
-NODES = [(f"model.shop.{m}", "model", m, None, None, None, None, None) for m in _MODELS] + [
-    ("exposure.shop.exec_revenue_dashboard", "exposure", "exec_revenue_dashboard", "Executive Revenue Dashboard",
-     "dashboard", "CFO Office", 1, "CXO"),
-    ("exposure.shop.finance_month_close", "exposure", "finance_month_close", "Finance Month-End Close", "application",
-     "Finance Controllership", 1, "Finance"),
-    ("exposure.shop.customer_360", "exposure", "customer_360", "Customer 360", "dashboard", "Customer Success", 2,
-     "Customer Success"),
-    ("exposure.shop.marketing_ltv_segments", "exposure", "marketing_ltv_segments", "Marketing LTV Segmentation", "ml",
-     "Growth Marketing", 2, "Marketing"),
+#: Models and readers downstream of the given tables, (from, to).
+_FLOWS = {
+    "source:raw.orders": ["stg_orders"], "source:raw.customers": ["stg_customers"], "source:raw.lineitem": ["order_lines"],
+    "source:raw.supplier": ["supplier_scorecard"], "stg_orders": ["order_lines", "nation_customers"], "stg_customers": ["nation_customers"],
+    "order_lines": ["part_demand", "supplier_scorecard"], "supplier_scorecard": ["vendor_review", "region_balance"],
+    "nation_customers": ["region_balance", "mailing_lists"], "part_demand": ["restocking_planner"], "region_balance": ["regional_board", "tax_filing"],
+}
+#: name, title, kind, owner, tier, audience
+_READERS = [
+    ("restocking_planner", "Restocking planner", "application", "Warehouse Planning", 2, "Warehouses"),
+    ("vendor_review", "Yearly vendor review", "notebook", "Procurement", 3, "Buyers"),
+    ("regional_board", "Regional board pack", "dashboard", "Regional Offices", 1, "Directors"),
+    ("tax_filing", "Quarterly tax filing", "application", "Tax", 1, "Authorities"),
+    ("mailing_lists", "Mailing lists", "ml", "Customer Letters", 4, "Print shop"),
 ]
 
 
+def _node_id(name: str) -> str:
+    kind, _, rest = name.rpartition(":")
+    return f"{kind or ('exposure' if name in {r[0] for r in _READERS} else 'model')}.{PROJECT}.{rest}"
+
+
+EDGES = [(_node_id(a), _node_id(b)) for a, to in _FLOWS.items() for b in to]
+NODES = [(i, "model", i.split(".")[2], None, None, None, None, None) for i in sorted({x for e in EDGES for x in e}) if i.startswith("model.")] + [
+    (_node_id(r[0]), "exposure", *r) for r in _READERS]
+
+
 class Given:
     """Lazy views of one data folder; nothing is kept from one query to the next."""
 
@@ -185,7 +185,7 @@ class Given:
     @cached_property
     def restated(self) -> DataFrame:
         new = reduce(DataFrame.unionByName, [self.variants[k].select("order_id", "amount", "_load_id", "_loaded_at")
-                                             for k in self.variants if not k.endswith(".widening")])
+                                             for k in self.variants])
         return restatement(new, self.baseline, ORDERS, "order_id", "amount")
 
     def inputs(self, restated: bool = True) -> Inputs:

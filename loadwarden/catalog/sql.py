@@ -115,8 +115,7 @@ restated AS (
   FROM (SELECT kind, CAST(o.amount AS DOUBLE)
                      / (CASE WHEN kind = 'semantic' THEN ((n.cents * 2 + 84) // 168) / 100.0 ELSE CAST(n.amount AS DOUBLE) END) AS r
         FROM new n JOIN (SELECT order_id, amount FROM base QUALIFY row_number() OVER (
-               PARTITION BY order_id ORDER BY _loaded_at DESC, _load_id DESC) = 1) o USING (order_id), kinds
-        WHERE kind <> 'widening') GROUP BY 1),
+               PARTITION BY order_id ORDER BY _loaded_at DESC, _load_id DESC) = 1) o USING (order_id), kinds) GROUP BY 1),
 found AS (
   {values([("L2001.additive", "additive", "column_added", None, "DISCOUNT_CODE", None, "VARCHAR", 1.0),
            ("L2001.breaking", "breaking", "column_dropped", "STATUS", None, "VARCHAR", None, 1.0),

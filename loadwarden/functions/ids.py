@@ -5,8 +5,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _ascii(payload: Column) -> Column:
+    """JSON text with every character outside ASCII written as its UTF-16 escapes, so that ids do not depend on an encoding."""
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = F.array_join(F.transform(F.split(payload, ""), lambda c: F.when(c.rlike("^[\\x00-\\x7f]*$"), c).otherwise(units(c))), "")
+    return F.when(payload.rlike("[^\\x00-\\x7f]"), escaped).otherwise(payload)
+
+
 def _digest(payload: Column, length: int) -> Column:
-    return F.substring(F.sha2(payload, 256), 1, length)
+    return F.substring(F.sha2(_ascii(payload), 256), 1, length)
 
 
 def event_id(table: Column, load: Column, drift_class: Column, subtype: Column, before: Column, after: Column) -> Column:

@@ -133,19 +133,17 @@ def review_notes(decisions: DataFrame, events: DataFrame, pairs: DataFrame, conf
     table = _table()
     inferred = shown.join(ids, KEYS).select(
         "incident_id", F.explode(F.array(
-            F.concat(F.lit("Mapping "), "_map", F.lit(" was inferred from value shares. Confirm semantics with the "
-                                                      "producer before merging.")),
-            F.concat(F.lit("Loads from "), "load_id", F.lit(" on lost "), "column_before",
-                     F.lit(". Backfill from the evidence copy "), table, F.lit("_PRE_"),
-                     F.replace(F.col("incident_id"), F.lit("-"), F.lit("_")), F.lit("."))
+            F.concat(F.lit("Codes "), "_map", F.lit(" were paired by their shares alone; the producer has to say what they mean.")),
+            F.concat(F.col("column_before"), F.lit(" is missing since load "), "load_id", F.lit("; its last values are kept in "), table,
+                     F.lit("_PRE_"), F.replace(F.col("incident_id"), F.lit("-"), F.lit("_")), F.lit("."))
         )).alias("note"))
     stuck = (events.where(F.col("subtype") == "column_dropped").select(*KEYS).distinct()
              .join(pairs.select(*KEYS).distinct(), KEYS, "left_anti").join(ids, KEYS)
-             .select("incident_id", F.lit("No safe replacement mapping found; human remediation required.").alias("note")))
+             .select("incident_id", F.lit("Nothing could be paired with the lost column; a person has to decide.").alias("note")))
     waiting = ids.where((F.col("fix_action") == "normalize_after_confirmation") & F.lit(not confirmed)).select(
-        "incident_id", F.lit("Waiting for producer confirmation of the unit change.").alias("note"))
+        "incident_id", F.lit("The producer has not confirmed the new unit yet.").alias("note"))
     h = F.col("evidence.hypothesis")
     known = F.coalesce(*[(h["factor"] == f) & (h["direction"] == d) for f, d in NORMALISERS], F.lit(False))
     unknown = (events.where((F.col("subtype") == "unit_change") & ~known & F.lit(confirmed)).join(ids, KEYS)
-               .select("incident_id", F.concat(F.lit("No automatic normaliser for "), h["label"], F.lit(".")).alias("note")))
+               .select("incident_id", F.concat(F.lit("No factor is known that undoes "), h["label"], F.lit(".")).alias("note")))
     return inferred.unionByName(stuck).unionByName(waiting).unionByName(unknown)

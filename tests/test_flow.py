@@ -26,7 +26,10 @@ COLUMNS = [{"alias": "order_id", "source": "order_id", "type": "number(19,0)"},
 @pytest.fixture(scope="module")
 def bronze_dir(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("bronze")
-    rows = bronze.generated_orders(spark, loads=6, rows_per_load=600, customers=200)
+    rows = bronze.generated_loads(spark, {
+        "order_id": F.col("id"), "cust_id": (F.floor(F.rand(3) * 170) + 10).cast("bigint"),
+        "order_ts": F.col("_day").cast("timestamp_ntz"), "amount": F.round(F.exp(F.randn(4) * 0.3 + 5), 2).cast("decimal(10,2)"),
+        "status": bronze.pick(["C", "A"], 5, [3, 1]), "channel": bronze.pick(["desk", "phone"], 6)}, loads=6, rows_per_load=600)
     rows.write.partitionBy("_load_id").parquet(str(root / "all"))
     return root
 
@@ -43,30 +46,30 @@ def test_loop(spark, bronze_dir, tmp_path):
     ids = sorted(loads)
     lineage = Lineage(registry.column_map(spark, "stg_orders", TABLE, "order_id", COLUMNS), *lineage_tables(spark, EDGES, NODES), PROJECT)
     known = WatchedTable(TABLE, "order_id", [spark.read.parquet(str(bronze_dir / "all")).where(F.col("_load_id") < ids[5])])
-    assert bootstrap(control, [known], datetime(2026, 10, 1, 8)) == 5
-    assert bootstrap(control, [known], datetime(2026, 10, 1, 9)) == 0
+    assert bootstrap(control, [known], datetime(2031, 3, 8, 8)) == 5
+    assert bootstrap(control, [known], datetime(2031, 3, 8, 9)) == 0
     # the sixth load arrives in another unit, with some rows of the fifth re-sent; a seventh lost a column
     new_id = ids[5]
-    resent = loads[ids[4]].orderBy("order_id").limit(60).withColumns({"_load_id": F.lit(new_id), "_loaded_at": F.lit("2026-10-02").cast("timestamp_ntz")})
+    resent = loads[ids[4]].orderBy("order_id").limit(60).withColumns({"_load_id": F.lit(new_id), "_loaded_at": F.lit("2031-03-09").cast("timestamp_ntz")})
     drifted = bronze.with_scaled_column(loads[new_id].unionByName(resent), "amount", 84.0)
     path = str(tmp_path / "drifted")
     drifted.write.parquet(path)
-    lost = bronze.with_replaced_column(loads[new_id], "status", "is_active", F.col("status") == "A").withColumn("_load_id", F.lit("L20261009"))
+    lost = bronze.with_replaced_column(loads[new_id], "status", "is_active", F.col("status") == "A").withColumn("_load_id", F.lit("D20310310"))
     now = WatchedTable(TABLE, "order_id", [*known.parts, bronze.read_load(spark, path), lost])
-    decisions = {r.load_id: r for r in scan(control, [now], lineage, Policy(), datetime(2026, 10, 2, 8)).collect()}
-    assert decisions[new_id].top_class == "semantic" and decisions["L20261009"].top_class == "breaking"
+    decisions = {r.load_id: r for r in scan(control, [now], lineage, Policy(), datetime(2031, 3, 10, 8)).collect()}
+    assert decisions[new_id].top_class == "semantic" and decisions["D20310310"].top_class == "breaking"
     gate = {r.load_id: r.status for r in gate_latest(control.read("gate_log")).collect()}
-    assert gate == {**{k: "PASSED" for k in ids[:5]}, new_id: "QUARANTINED", "L20261009": "QUARANTINED"}
+    assert gate == {**{k: "PASSED" for k in ids[:5]}, new_id: "QUARANTINED", "D20310310": "QUARANTINED"}
     events = control.read("drift_events").collect()
     unit = next(e for e in events if e.subtype == "unit_change")
     check = json.loads(unit.evidence)["restatement_check"]
     assert check["matched_rows"] == 60 and check["ratio_median"] == pytest.approx(84, rel=0.01) and unit.confidence == 0.99
     # the breaking load has a copy of the last accepted load beside it
-    copies = str(tmp_path / "control" / "evidence" / f"ORDERS_PRE_{decisions['L20261009'].incident_id.replace('-', '_')}")
+    copies = str(tmp_path / "control" / "evidence" / f"ORDERS_PRE_{decisions['D20310310'].incident_id.replace('-', '_')}")
     copy = spark.read.option("mergeSchema", True).parquet(copies)
     assert copy.count() == 600 and "status" in copy.columns
     # nothing new: a second scan decides nothing and writes nothing
-    assert scan(control, [now], lineage, Policy(), datetime(2026, 10, 2, 9)).count() == 0
+    assert scan(control, [now], lineage, Policy(), datetime(2031, 3, 10, 9)).count() == 0
     assert control.read("drift_events").count() == len(events)
     inc = {r.load_id: r for r in incident_latest(control.read("incident_log")).collect()}
     assert inc[new_id].status == "MITIGATED" and inc[new_id].mitigated_at is not None
@@ -74,7 +77,7 @@ def test_loop(spark, bronze_dir, tmp_path):
     assert {r.incident_id for r in replay.collect()} == {d.incident_id for d in decisions.values()}
     assert control.read("decision_trace").where(F.col("incident_id") == inc[new_id].incident_id).count() == 6
     assert [e.event_id for e in control.events_of(inc[new_id].incident_id).collect()] == [unit.event_id]
-    assert [c.column_name for c in control.snapshot(TABLE, "L20261009").collect()][-1] == "IS_ACTIVE"
+    assert [c.column_name for c in control.snapshot(TABLE, "D20310310").collect()][-1] == "IS_ACTIVE"
 
     def build(log):
         rows = bronze.read_load(spark, path)
@@ -88,16 +91,16 @@ def test_loop(spark, bronze_dir, tmp_path):
 
     ask = Approval(TABLE, new_id, inc[new_id].incident_id, True)
     with pytest.raises(Exception, match="illegal load-gate transition"):
-        release(control, [Approval(TABLE, new_id, ask.incident_id, False)], build, tests, datetime(2026, 10, 3, 8))
-    failed = release(control, [ask], build, lambda m: tests(m, broken=True), datetime(2026, 10, 3, 9))
+        release(control, [Approval(TABLE, new_id, ask.incident_id, False)], build, tests, datetime(2031, 3, 11, 8))
+    failed = release(control, [ask], build, lambda m: tests(m, broken=True), datetime(2031, 3, 11, 9))
     assert failed.where("failures > 0").count() == 1
     state = incident_latest(control.read("incident_log")).where(F.col("load_id") == new_id).first()
     assert state.status == "OPEN" and state.resolved_at is None
-    release(control, [ask], build, tests, datetime(2026, 10, 3, 10))
+    release(control, [ask], build, tests, datetime(2031, 3, 11, 10))
     state = incident_latest(control.read("incident_log")).where(F.col("load_id") == new_id).first()
-    assert state.status == "RESOLVED" and state.resolved_at == datetime(2026, 10, 3, 10)
+    assert state.status == "RESOLVED" and state.resolved_at == datetime(2031, 3, 11, 10)
     assert gate_latest(control.read("gate_log")).where(F.col("load_id") == new_id).first().status == "PASSED"
-    kept = preserve_evidence(loads[ids[4]], TABLE, inc[new_id].incident_id, str(tmp_path / "evidence"), datetime(2027, 1, 1))
+    kept = preserve_evidence(loads[ids[4]], TABLE, inc[new_id].incident_id, str(tmp_path / "evidence"), datetime(2032, 1, 1))
     assert kept.endswith(f"ORDERS_PRE_{inc[new_id].incident_id.replace('-', '_')}") and spark.read.parquet(kept).count() == 600
     control.reset()
     assert control.read("gate_log").count() == 0 and control.read("column_profiles").count() == 0
@@ -107,12 +110,13 @@ def test_profiles_are_replaced_not_doubled(spark, tmp_path):
     from loadwarden.operators.profile import exact_profile, long_values
 
     control = ControlPlane(spark, str(tmp_path))
-    rows = bronze.generated_customers(spark, 300)
+    rows = bronze.generated_loads(spark, {"cust_id": F.col("id"), "segment": bronze.pick(["x", "y", "z"], 1), "town": bronze.pick(["p", "q"], 2),
+                                          "since": F.col("_day")}, loads=1, rows_per_load=300, prefix="C")
     for _ in range(2):
         control.replace("column_profiles", exact_profile(long_values(rows, "t")))
     got = control.read("column_profiles")
     assert got.count() == 4
-    assert control.profiles(spark.createDataFrame([("t", "C20260925")], "table_fqn string, load_id string")).count() == 4
+    assert control.profiles(spark.createDataFrame([("t", "C20310303")], "table_fqn string, load_id string")).count() == 4
 
 
 def test_manifest_and_results(spark, tmp_path):
