@@ -109,6 +109,7 @@ vals AS (
     SELECT _load_id, 'ORDER_ID' AS column_name, CAST(order_id AS VARCHAR) AS v FROM bronze
     UNION ALL SELECT _load_id, 'CUST_ID', CAST(cust_id AS VARCHAR) FROM bronze
     UNION ALL SELECT _load_id, 'AMOUNT', CAST(amount AS VARCHAR) FROM bronze
+    UNION ALL SELECT _load_id, 'ORDER_TS', CAST(order_ts AS VARCHAR) FROM bronze
     UNION ALL SELECT _load_id, 'CHANNEL', channel FROM bronze
     UNION ALL SELECT _load_id, 'STATUS', status FROM bronze))
 SELECT n.column_name, count(b.v) / count(*) AS exact, true AS close
@@ -117,13 +118,13 @@ WHERE n.is_new GROUP BY 1"""
 
 
 def _self_pairs(g: Given):
-    names = ["ORDER_ID", "CUST_ID", "AMOUNT", "CHANNEL", "STATUS"]
+    names = ["ORDER_ID", "CUST_ID", "ORDER_TS", "AMOUNT", "CHANNEL", "STATUS"]
     rows = [(ORDERS, NEW_LOAD, n, n) for n in names]
     return g.spark.createDataFrame(rows, "table_fqn string, load_id string, column_before string, column_after string")
 
 
 def _exact_containment(g: Given):
-    long = long_values(g.orders.drop("order_ts"), ORDERS)
+    long = long_values(g.orders, ORDERS)
     values = value_counts(long).where(F.col("value").isNotNull())
     per = values.groupBy("column_name", "value").agg(
         F.max(F.col("load_id") >= NEW_LOAD).alias("new"), F.max(F.col("load_id") < NEW_LOAD).alias("old"))
@@ -139,7 +140,7 @@ def _close(estimates, g: Given, tolerance: float):
 
 @query("theta_containment", CONTAINMENT_SQL)
 def theta_containment(g: Given):
-    profiles = sketch_profile(g.orders.drop("order_ts"), ORDERS)
+    profiles = sketch_profile(g.orders, ORDERS)
     loads = profiles.select("table_fqn", F.lit(NEW_LOAD).alias("load_id"), F.col("load_id").alias("base_load_id")).distinct()
     base = loads.where(F.col("base_load_id") < NEW_LOAD)
     return _close(sketches.pair_theta_containment(_self_pairs(g), base, profiles), g, 0.05)
@@ -151,6 +152,7 @@ vals AS (
     SELECT _load_id, 'ORDER_ID' AS column_name, CAST(order_id AS VARCHAR) AS v FROM bronze
     UNION ALL SELECT _load_id, 'CUST_ID', CAST(cust_id AS VARCHAR) FROM bronze
     UNION ALL SELECT _load_id, 'AMOUNT', CAST(amount AS VARCHAR) FROM bronze
+    UNION ALL SELECT _load_id, 'ORDER_TS', CAST(order_ts AS VARCHAR) FROM bronze
     UNION ALL SELECT _load_id, 'CHANNEL', channel FROM bronze
     UNION ALL SELECT _load_id, 'STATUS', status FROM bronze) GROUP BY ALL)
 SELECT column_name, count(*) FILTER (n AND o) / count(*) AS jaccard, count(*) FILTER (n AND o) / count(*) FILTER (n) AS exact,
@@ -161,7 +163,7 @@ SELECT column_name, count(*) FILTER (n AND o) / count(*) AS jaccard, count(*) FI
 def minhash_containment(g: Given):
     """64 hashes estimate a Jaccard similarity within three standard errors (0.19 at most); with the exact
     similarity and the exact sizes, the containment formula gives the exact containment."""
-    long = long_values(g.orders.drop("order_ts"), ORDERS)
+    long = long_values(g.orders, ORDERS)
     is_new = F.col("load_id") >= NEW_LOAD
     states = sketches.minhash_states(long).withColumn("is_new", is_new)
     merged = sketches.merge_minhash(states, ["column_name", "is_new"])

@@ -80,10 +80,13 @@ def secret_scan(g: Given):
 @query("bronze_audit", f"""WITH {BRONZE}
 SELECT _load_id AS load_id, count(*) AS rows_before,
        CASE _load_id WHEN 'L1997' THEN count(*) FILTER (status <> 'A') WHEN 'L1999' THEN 0 ELSE count(*) END AS rows_after,
-       _load_id IN ('L1997', 'L1998', 'L1999') AS changed FROM bronze GROUP BY 1""")
+       _load_id IN ('L1996', 'L1997', 'L1998', 'L1999') AS changed FROM bronze GROUP BY 1""")
 def bronze_audit(g: Given):
-    """Two audits of the feed: in the second one load lost rows, one had values rewritten and one is gone."""
+    """Two audits of the feed: in the second one load lost rows, one had values rewritten, one has them in another column and one is gone."""
     load = F.col("_load_id")
     amount = F.when(load == "L1998", F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(12,2)")
     later = (g.orders.where((load != "L1999") & ~((load == "L1997") & (F.col("status") == "A"))).withColumn("amount", amount))
-    return quality.changed_loads(quality.load_checksums(g.orders), quality.load_checksums(later))
+    moved = F.when(load == "L1996", F.col("channel"))
+    first = g.orders.withColumn("spare", F.lit(None).cast("string"))
+    later = later.withColumns({"spare": moved, "channel": F.when(load != "L1996", F.col("channel"))})
+    return quality.changed_loads(quality.load_checksums(first), quality.load_checksums(later))

@@ -9,7 +9,7 @@ from loadwarden.functions.stats import psi_term
 from loadwarden.operators.gate import gate_latest
 from loadwarden.session import scratch_path
 from loadwarden.sources.control import ControlPlane
-from loadwarden.streaming.watch import file_stream, latest_versions, scan_stream, window_counts, write_windows
+from loadwarden.streaming.watch import arrived_loads, file_stream, latest_versions, window_counts, write_windows
 
 
 def _events(g: Given):
@@ -75,19 +75,18 @@ def stream_drift_monitor(g: Given):
 @query("stream_scan", """SELECT 'lake.raw.events' AS table_fqn, 'E' || strftime(ts, '%Y%m%d') AS load_id, count(*) AS row_count,
   'PENDING' AS status FROM events GROUP BY ALL""")
 def stream_scan(g: Given):
-    """A watched folder: each micro-batch holds the loads it brings, once, with their row counts; the run is repeated
-    to show that a load which has a gate row is not new."""
+    """A watched folder whose loads arrive in pieces over several micro-batches: each batch adds to the counts of its loads, and what has
+    arrived is then held. The run is repeated to show that a load which has a gate row is not new."""
     root = scratch_path(g.spark, "stream-scan")
     control = ControlPlane(g.spark, f"{root}/control")
-
-    def hold(batch, batch_id):
-        loads = batch.groupBy(F.concat(F.lit("E"), F.date_format("ts", "yyyyMMdd")).alias("load_id")).agg(
-            F.count(F.lit(1)).alias("row_count"), F.max("ts").alias("decided_at"), F.max("event_id").alias("seq"))
+    events = g.table("events")
+    events.repartition(3, "event_id").write.parquet(f"{root}/arriving")  # every load is in every file
+    for run in ("first", "again"):
+        arriving = file_stream(g.spark, f"{root}/arriving", events.schema, max_files=1)
+        loads = arrived_loads(g.spark, arriving, F.concat(F.lit("E"), F.date_format("ts", "yyyyMMdd")), "ts", f"{root}/{run}")
         fresh = loads.withColumn("table_fqn", F.lit("lake.raw.events")).join(
             gate_latest(control.read("gate_log")).select("table_fqn", "load_id"), ["table_fqn", "load_id"], "left_anti")
-        control.append("gate_log", fresh.withColumns({
-            "status": F.lit("PENDING"), "incident_id": F.lit(None), "decided_by": F.lit("watch"), "approved": F.lit(False)}))
-
-    scan_stream(g.spark, _events(g), hold, f"{root}/first")
-    scan_stream(g.spark, _events(g), hold, f"{root}/again")
+        control.append("gate_log", fresh.select("table_fqn", "load_id", "row_count", F.col("last_at").alias("decided_at"), F.lit(0).alias("seq"),
+                                                F.lit("PENDING").alias("status"), F.lit(None).alias("incident_id"), F.lit("watch").alias("decided_by"),
+                                                F.lit(False).alias("approved")))
     return gate_latest(control.read("gate_log")).select("table_fqn", "load_id", "row_count", "status")

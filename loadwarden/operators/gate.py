@@ -1,6 +1,8 @@
 """The load gate: an append-only request log, the state it leads to, and the filters built on it."""
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,8 +10,15 @@ GATE_LOG_SCHEMA = ("seq bigint, table_fqn string, load_id string, status string,
                    "decided_by string, decided_at timestamp_ntz, row_count bigint, approved boolean")
 KEYS = ["table_fqn", "load_id"]
 STATUSES = ("PENDING", "PASSED", "QUARANTINED")
-# Requests per (table, load, bucket) that one task orders; seq is unique over the whole log.
-SEQ_BUCKET = 50_000
+# The span of seq of a log is cut into this many buckets; the requests of a load within one are ordered in one task.
+SEQ_BUCKETS = 256
+#: Steps of one run that write requests: watch, decision, release, put back.
+STEPS = 8
+
+
+def request_order(at: datetime, step: int) -> int:
+    """Place of a request among those of its load: by instant, then by the step inside the run. The key of a request is (table, load, seq)."""
+    return int(at.timestamp() * 1_000_000) * STEPS + step
 
 
 def _positions() -> dict:
@@ -50,8 +59,10 @@ def gate_audit(log: DataFrame) -> DataFrame:
     The running positions are found in two steps, over buckets of the log and then inside a bucket, so that
     a load with very many requests is spread over tasks.
     """
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    width = ((high or 0) - (low or 0)) // SEQ_BUCKETS + 1
     rows = log.select("*", *[c.alias(n) for n, c in _positions().items()],
-                      F.floor(F.col("seq") / SEQ_BUCKET).alias("_bucket"))
+                      F.floor((F.col("seq") - F.lit(low or 0)) / F.lit(width)).alias("_bucket"))
     per_bucket = rows.groupBy(*KEYS, "_bucket").agg(F.max("_q").alias("_bq"), F.max("_p").alias("_bp"),
                                                     F.max("_ap").alias("_bap"))
     earlier = Window.partitionBy(*KEYS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +88,8 @@ def accepted(log: DataFrame) -> DataFrame:
 
 def require_legal(log: DataFrame, requests: DataFrame) -> DataFrame:
     """The requests, failing the job when one of them is illegal against the log."""
-    checked = gate_audit(log.unionByName(requests)).join(requests.select("seq"), "seq", "left_semi")
+    concerned = log.join(requests.select(*KEYS).distinct(), KEYS, "left_semi")
+    checked = gate_audit(concerned.unionByName(requests)).join(requests.select(*KEYS, "seq"), [*KEYS, "seq"], "left_semi")
     message = F.concat(F.lit("illegal load-gate transition "), "current", F.lit(" to "), "status", F.lit(" for "),
                        "table_fqn", F.lit("/"), "load_id")
     return checked.where(F.when(F.col("legal"), True).otherwise(F.raise_error(message).cast("boolean"))).select(

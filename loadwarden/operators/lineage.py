@@ -11,7 +11,7 @@ from loadwarden.session import cut_lineage
 KEYS = ["table_fqn", "load_id"]
 
 
-def downstream(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def downstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node) for every node reachable from a start over one or more edges.
 
     A frontier that shrinks by what is already known, so cycles end and a node found over many paths counts
@@ -20,7 +20,7 @@ def downstream(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> D
     step = edges.select("src", "dst").distinct()
     frontier = starts.select(F.col("node").alias("start"), "node").distinct()
     known = None
-    for _ in range(max_rounds):
+    while True:  # ends by itself: a round only keeps what no round has found before
         found = (frontier.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
                  .distinct())
         if known is not None:
@@ -29,7 +29,6 @@ def downstream(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> D
         if frontier.isEmpty():
             return frontier if known is None else known
         known = frontier if known is None else known.unionByName(frontier)
-    raise RuntimeError(f"lineage deeper than {max_rounds} edges")
 
 
 def consumed_columns(events: DataFrame) -> DataFrame:
@@ -41,15 +40,19 @@ def consumed_columns(events: DataFrame) -> DataFrame:
 
 def staging_readers(consumed: DataFrame, column_map: DataFrame, whole_words: bool = False) -> DataFrame:
     """Staging models whose map reads a consumed column, as a source or inside an expression."""
-    maps = column_map.select(F.upper(short_name(F.col("table_fqn"))).alias("_table"), "model",
+    maps = column_map.select(F.upper(short_name(F.col("table_fqn"))).alias("_table"), F.upper("table_fqn").alias("_full"), "model",
                              F.upper("source").alias("_source"), F.upper("expr").alias("_expr"))
+    names = maps.groupBy("_table").agg(F.count_distinct("_full").alias("_names"))
+    maps = maps.join(names, "_table")
     wanted = consumed.withColumn("_table", F.upper(short_name(F.col("table_fqn"))))
+    # the last name segment stands for the table only where one mapped table ends in it
+    same = (F.upper("table_fqn") == F.col("_full")) | (F.col("_names") == 1)
     if whole_words:
         words = F.array_contains(F.split("_expr", r"[^A-Z0-9_$]+"), F.col("column"))
     else:
         words = F.contains(F.col("_expr"), F.col("column"))
     reads = (F.col("_source") == F.col("column")) | F.coalesce(words, F.lit(False))
-    return wanted.join(maps, "_table").where(reads).select(*KEYS, "model").distinct()
+    return wanted.join(maps, "_table").where(same & reads).select(*KEYS, "model").distinct()
 
 
 def blast_radius(events: DataFrame, column_map: DataFrame, nodes: DataFrame, edges: DataFrame, project: str,

@@ -53,9 +53,12 @@ def secret_summary(rows: DataFrame, text: str, by: str, patterns: dict[str, str]
 
 
 def load_checksums(rows: DataFrame, load_col: str = "_load_id") -> DataFrame:
-    """Row count and order-free checksum per load; the sum of 64-bit row hashes needs no sort and no distinct."""
+    """Row count and order-free checksum per load; the sum of 64-bit row hashes needs no sort and no distinct.
+
+    A null is hashed as a flag of its own, so a value that moves to an empty column changes the sum.
+    """
     names = sorted(rows.columns)
-    digest = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]).cast("decimal(38,0)")
+    digest = F.xxhash64(*[x for c in names for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`").cast("string"))]).cast("decimal(38,0)")
     return rows.groupBy(F.col(load_col).alias("load_id")).agg(F.count(F.lit(1)).alias("row_count"),
                                                               F.sum(digest).alias("checksum"))
 

@@ -83,9 +83,11 @@ def gate_requests(decisions: DataFrame, mode: str, decided_by: str = "diagnosis"
          & F.lit(mode in ("advise", "protect"))).alias("fix_proposed"))
 
 
-def decision_trace(decisions: DataFrame, events: DataFrame, diff_summary: DataFrame, policy: Policy) -> DataFrame:
+def decision_trace(decisions: DataFrame, events: DataFrame, diff_summary: DataFrame, policy: Policy,
+                   rejections: DataFrame | None = None) -> DataFrame:
     """What was decided, why, and how sure, one row per step: the schema difference, each event (last first),
-    then class, severity, gate and approval."""
+    then class, severity, gate and approval. `rejections` holds the pairs that are no rename and why; each stands with every event that
+    names one of its sides."""
     joined = lambda c: F.array_join(F.col(c), ", ")
     base = decisions.join(diff_summary, KEYS, "left").withColumn("_n", F.size("event_ids"))
 
@@ -103,12 +105,19 @@ def decision_trace(decisions: DataFrame, events: DataFrame, diff_summary: DataFr
     order = Window.partitionBy(*KEYS).orderBy(*event_order())
     n = F.count(F.lit(1)).over(Window.partitionBy(*KEYS))
     ranked = events.withColumn("step", (n - F.row_number().over(order) + 1).cast("int"))
-    rejected = F.array_join(F.transform("evidence.possible_replacements", lambda r: F.concat(
-        F.col("column_before"), F.lit("→"), r["column"], F.lit(": "), r["why_not_rename"])), "; ")
+    if rejections is None:
+        ranked = ranked.withColumn("_rejected", F.lit(""))
+    else:
+        sides = [events.select("event_id", *KEYS, c).join(rejections.select(*KEYS, "column_before", "column_after", "reason"), [*KEYS, c])
+                 .select("event_id", "column_before", "column_after", "reason") for c in ("column_before", "column_after")]
+        named = sides[0].union(sides[1]).groupBy("event_id").agg(
+            F.array_sort(F.collect_set(F.struct("column_before", "column_after", "reason"))).alias("_pairs"))
+        ranked = ranked.join(named, "event_id", "left").withColumn("_rejected", F.array_join(F.transform("_pairs", lambda r: F.concat(
+            r["column_before"], F.lit("→"), r["column_after"], F.lit(": "), r["reason"])), "; "))
     classified = ranked.join(decisions.select(*KEYS, "incident_id"), KEYS).select(
         "incident_id", *KEYS, "step", F.concat(F.lit("classify:"), F.coalesce("column_before", "column_after")).alias("decision"),
         F.concat("drift_class", F.lit("/"), "subtype").alias("choice"), text.event_reason(F.col).alias("reasoning"),
-        F.coalesce(rejected, F.lit("")).alias("alternatives"),
+        F.coalesce("_rejected", F.lit("")).alias("alternatives"),
         F.when(F.col("confidence") >= 0.9, "high").otherwise("medium").alias("confidence"))
     after = F.col("_n")
     top = row(after + 1, "top_class", F.col("top_class"),

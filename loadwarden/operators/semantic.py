@@ -39,10 +39,12 @@ def numeric_checks(diff: DataFrame, profiles: DataFrame, baseline_loads: DataFra
             .where((F.size("_medians") >= thresholds["semantic_min_loads"]) & (F.col("_new") != 0)))
     base_med = array_median(F.array_sort("_medians"))
     ratio = base_med / F.col("_new")
-    rows = rows.select("*", base_med.alias("_base"), ratio.alias("_ratio"), F.greatest(ratio, 1 / ratio).alias("_factor"),
+    # medians on both sides of zero may have the median zero: such a column has no scale, so no factor and no flag
+    rows = rows.select("*", base_med.alias("_base"), ratio.alias("_ratio"),
+                       F.when(ratio != 0, F.greatest(ratio, F.try_divide(F.lit(1.0), ratio))).alias("_factor"),
                        robust_z(F.col("_new"), F.col("_medians")).alias("_z"))
-    flagged = ((F.col("_factor") >= thresholds["semantic_min_factor"])
-               & (F.col("_z") >= thresholds["semantic_min_robust_z"]))
+    flagged = F.coalesce((F.col("_factor") >= thresholds["semantic_min_factor"])
+                         & (F.col("_z") >= thresholds["semantic_min_robust_z"]), F.lit(False))
     hypothesis = match_factor(F.col("_ratio"), thresholds["known_factors"])
     return rows.select(
         *COLUMN, "data_type", F.round("_base", 4).alias("baseline_median"), F.round("_new", 4).alias("new_median"),

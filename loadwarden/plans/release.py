@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadwarden.operators.gate import require_legal
+from loadwarden.operators.gate import request_order, require_legal
 from loadwarden.session import write_through
 from loadwarden.sources.control import ControlPlane
 
@@ -23,8 +23,7 @@ class Approval:
 
 
 def _gate_rows(control: ControlPlane, approvals: list[Approval], status: str, at: datetime, step: int) -> DataFrame:
-    rows = [((int(at.timestamp() * 1_000_000) * 4 + 2 + step) * 1_000 + i, a.table_fqn, a.load_id, status, a.incident_id,
-             "audit", at, None, a.approved) for i, a in enumerate(approvals)]
+    rows = [(request_order(at, 2 + step), a.table_fqn, a.load_id, status, a.incident_id, "audit", at, None, a.approved) for a in approvals]
     return control.spark.createDataFrame(rows, control.read("gate_log").schema)
 
 

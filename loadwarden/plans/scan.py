@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadwarden.operators.classify import FIELDS
-from loadwarden.operators.gate import GATE_LOG_SCHEMA, gate_latest, new_loads, passed_loads, require_legal
+from loadwarden.operators.gate import GATE_LOG_SCHEMA, gate_latest, new_loads, passed_loads, request_order, require_legal
 from loadwarden.operators.incidents import incident_entries
 from loadwarden.operators.profile import exact_profile, long_values, value_counts
 from loadwarden.operators.routing import decision_trace, gate_requests
@@ -56,12 +56,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _requests(spark, rows: DataFrame, at: datetime, step: int) -> DataFrame:
     """Gate requests of one instant; the running number follows the instant and the step inside a run.
 
-    Rows of one step concern different loads, so their order among each other is free.
+    Rows of one step concern different loads, so one number serves them all: it only orders the requests of a load.
     """
-    base = (int(at.timestamp() * 1_000_000) * 4 + step) * 1_000
     typed = spark.createDataFrame([], GATE_LOG_SCHEMA)
     numbered = rows.withColumns({
-        "seq": F.lit(base) + F.pmod(F.xxhash64("table_fqn", "load_id"), F.lit(1_000)),
+        "seq": F.lit(request_order(at, step)),
         "decided_at": F.lit(at).cast("timestamp_ntz"), "approved": F.lit(False)})
     missing = {c: F.lit(None) for c in ("row_count", "incident_id") if c not in numbered.columns}
     return numbered.withColumns(missing).select(*[F.col(f.name).cast(f.dataType) for f in typed.schema.fields])
@@ -149,7 +148,7 @@ def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, po
         "event_id", "incident_id", *FIELDS, F.to_json("evidence").alias("evidence"))
     control.insert_absent("drift_events", flat, ["event_id"])
     control.insert_absent("incident_log", incident_entries(decisions, asked, at), ["incident_id", "status"])
-    trace = decision_trace(decisions, events, diff_summary(found.diff), policy)
+    trace = decision_trace(decisions, events, diff_summary(found.diff), policy, found.scored.where(F.col("reason").isNotNull()))
     control.insert_absent("decision_trace", trace.select(
         F.lit("cognitive").alias("surface"), "incident_id", "step", "decision", "choice", "reasoning",
         F.array("alternatives").alias("alternatives"), "confidence"), ["incident_id", "step"])

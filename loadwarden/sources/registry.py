@@ -21,10 +21,14 @@ def watched(registry: DataFrame) -> DataFrame:
 
 
 def with_owner(rows: DataFrame, registry: DataFrame, table_col: str = "table_fqn") -> DataFrame:
-    """Owner of the table each row names, matched on the last segment of the name."""
-    owners = watched(registry).select(F.upper(short_name(F.col("table_fqn"))).alias("_short"), "owner")
-    return (rows.withColumn("_short", F.upper(short_name(F.col(table_col))))
-            .join(owners, "_short", "left").drop("_short"))
+    """Owner of the table each row names: by its full name, else by the last segment where one watched table ends in it."""
+    full = F.upper("table_fqn")
+    owners = watched(registry).groupBy(full.alias("_full")).agg(F.min("owner").alias("_owner"))
+    short = (owners.groupBy(F.upper(short_name(F.col("_full"))).alias("_short"))
+             .agg(F.count(F.lit(1)).alias("_n"), F.min("_owner").alias("_by_short")).where("_n = 1").drop("_n"))
+    return (rows.withColumns({"_full": F.upper(table_col), "_short": F.upper(short_name(F.col(table_col)))})
+            .join(owners, "_full", "left").join(short, "_short", "left")
+            .withColumn("owner", F.coalesce("_owner", "_by_short")).drop("_full", "_short", "_owner", "_by_short"))
 
 
 def column_map(spark: SparkSession, model: str, table: str, dedupe_key: str | None, columns: list[dict]) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,6 +52,22 @@ def compact(spark: SparkSession, root: str, schema, key: str, order: list[str],
     return latest_rows(spark, target, schema, key, order)
 
 
+def arrived_loads(spark: SparkSession, stream: DataFrame, load: Column, at: str, root: str) -> DataFrame:
+    """load_id, row_count, last_at of the loads a stream has brought so far.
+
+    A load may be spread over many micro-batches. Each batch writes its own partial counts to a folder named after its id, so a replayed
+    batch rewrites its folder and nothing counts twice; the parts are summed when read.
+    """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        (batch.groupBy(load.alias("load_id")).agg(F.count(F.lit(1)).alias("rows"), F.max(at).alias("last_at"))
+         .write.mode("overwrite").parquet(f"{root}/arrived/{batch_id:010d}"))
+
+    run_available(stream, keep, f"{root}/checkpoint")
+    kind = stream.schema[at].dataType.simpleString()
+    parts = spark.read.schema(f"load_id string, rows bigint, last_at {kind}").parquet(f"{root}/arrived/*")
+    return parts.groupBy("load_id").agg(F.sum("rows").alias("row_count"), F.max("last_at").alias("last_at"))
+
+
 def scan_stream(spark: SparkSession, stream: DataFrame, on_loads: Callable[[DataFrame, int], None], root: str) -> StreamingQuery:
     """Hand each micro-batch of newly arrived bronze rows to the batch scan; its gate table makes replays no-ops."""
     return run_available(stream, on_loads, f"{root}/checkpoint")

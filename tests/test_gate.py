@@ -16,7 +16,7 @@ def _log(spark, rows):
 
 
 def test_audit_and_latest_match_a_fold(spark, monkeypatch):
-    monkeypatch.setattr(gate, "SEQ_BUCKET", 7)
+    monkeypatch.setattr(gate, "SEQ_BUCKETS", 5)
     rnd = random.Random(4)
     # one load holds a third of the log
     rows = [("t", "hot" if rnd.random() < 0.33 else f"l{rnd.randrange(12)}", rnd.choice(gate.STATUSES),
