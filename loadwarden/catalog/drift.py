@@ -1,16 +1,21 @@
 """Drift detection and routing over the variants of the newest orders load."""
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from loadwarden.catalog.given import EDGES, NODES, ORDERS, OWNERS, Given
+from loadwarden.catalog.given import EDGES, NODES, ORDERS, OWNERS, PROJECT, Given
 from loadwarden.catalog.registry import query
 from loadwarden.catalog.sql import BRONZE, DETECT, values
 from loadwarden.operators import lineage, rename, routing, semantic
 from loadwarden.operators.schema_diff import diff_summary, schema_diff
 from loadwarden.plans.detect import decide
+from loadwarden.plans.scan import Lineage, WatchedTable, bootstrap, scan
 from loadwarden.policy import CLASS_PRECEDENCE, PLAYBOOKS, SEVERITY
+from loadwarden.session import scratch_path
 from loadwarden.sources import bronze
+from loadwarden.sources.control import ControlPlane
 from loadwarden.sources.registry import with_owner
 
 
@@ -234,6 +239,16 @@ def route_decisions(g: Given):
     return decisions.drop("table_fqn", "staging_models", "downstream_models", "exposures", "event_ids", "classes")
 
 
+@query("scan_decisions", f"WITH {DETECT}, {_GRAPH}, {_ROUTES} SELECT * EXCLUDE (classes, n_events) FROM decisions")
+def scan_decisions(g: Given):
+    """The production scan, sketches and all, over a fresh control folder: the past loads become the baseline, then every variant is decided."""
+    control = ControlPlane(g.spark, scratch_path(g.spark, "scan-control"))
+    bootstrap(control, [WatchedTable(ORDERS, "order_id", [g.baseline])], datetime(2002, 1, 1))
+    now = WatchedTable(ORDERS, "order_id", [g.baseline, *g.variants.values()])
+    decisions = scan(control, [now], Lineage(g.column_map, *g.lineage, PROJECT), g.policy, datetime(2002, 1, 2))
+    return decisions.drop("table_fqn", "staging_models", "downstream_models", "exposures", "event_ids", "classes")
+
+
 @query("adoption_gate", f"""WITH {DETECT}, {_GRAPH}, {_ROUTES},
 modes(mode) AS (VALUES ('observe'), ('advise'), ('protect')),
 asked AS (SELECT *, CASE gate WHEN 'PASS' THEN 'PASSED' WHEN 'HOLD' THEN 'PENDING' ELSE 'QUARANTINED' END AS would FROM decisions, modes)

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from loadwarden.operators.classify import FIELDS
 from loadwarden.operators.gate import GATE_LOG_SCHEMA, gate_latest, new_loads, passed_loads, request_order, require_legal
 from loadwarden.operators.incidents import incident_entries
-from loadwarden.operators.profile import exact_profile, long_values, value_counts
+from loadwarden.operators.profile import long_values, sketch_profile, value_counts
+from loadwarden.operators.rename import exact_containment, scored_pairs
 from loadwarden.operators.routing import decision_trace, gate_requests
 from loadwarden.operators.schema_diff import diff_summary
 from loadwarden.operators.semantic import restatement
+from loadwarden.operators.sketches import pair_theta_containment
 from loadwarden.plans.detect import Inputs, decide, detect, structure
 from loadwarden.policy import Policy
 from loadwarden.session import write_through
@@ -23,6 +25,8 @@ from loadwarden.sources.control import ControlPlane, preserve_evidence
 
 # Who holds a load between its arrival and its decision.
 WATCH = "watch"
+#: Rename scores this close to the threshold are settled by exact counts: three standard errors of a containment from sketches, as weighted.
+NEAR = 0.03
 
 
 @dataclass
@@ -68,10 +72,19 @@ def _requests(spark, rows: DataFrame, at: datetime, step: int) -> DataFrame:
 
 def _discover(control: ControlPlane, tables: list[WatchedTable]) -> DataFrame:
     """New loads of all tables, and those an interrupted scan has left undecided, with the part that holds them."""
-    seen = _union([observed_loads(p, t.table).withColumn("part", F.lit(i)) for t in tables for i, p in enumerate(t.parts)])
+    present = _union([p.select(F.lit(t.table).alias("table_fqn"), F.col("_load_id").alias("load_id")).distinct().withColumn("part", F.lit(i))
+                      for t in tables for i, p in enumerate(t.parts)])
     gate = gate_latest(control.read("gate_log"))
     decided = gate.where((F.col("status") != "PENDING") | (F.col("decided_by") != WATCH))
-    return write_through(new_loads(seen, decided), "new-loads")
+    fresh = write_through(new_loads(present, decided), "fresh-loads")
+    parts = _parts_in(fresh)
+    if not parts:
+        return fresh.select("table_fqn", "load_id", F.lit(None).cast("bigint").alias("row_count"),
+                            F.lit(None).cast("timestamp_ntz").alias("loaded_at"), "part")
+    # rows are counted in the new loads alone: the load id prunes the partitions
+    counted = _union([observed_loads(df, t.table).withColumn("part", F.lit(i)) for t in tables for i, df in t.rows_of(fresh)
+                      if (t.table, i) in parts])
+    return write_through(counted, "new-loads")
 
 
 def _parts_in(fresh: DataFrame) -> set[tuple[str, int]]:
@@ -79,16 +92,38 @@ def _parts_in(fresh: DataFrame) -> set[tuple[str, int]]:
     return {(r["table_fqn"], r["part"]) for r in fresh.select("table_fqn", "part").distinct().collect()}
 
 
-def _observe(control: ControlPlane, tables: list[WatchedTable], fresh: DataFrame, parts: set[tuple[str, int]]) -> DataFrame:
-    """Write snapshots and profiles of the new loads; returns their value counts."""
+def _observe(control: ControlPlane, tables: list[WatchedTable], fresh: DataFrame, parts: set[tuple[str, int]]) -> None:
+    """Write snapshots and profiles of the new loads: one pass over each, in which only sketch states move. Distinct counts, quantiles, top
+    values and the sketches that containment is taken from later are stored; a load is not read again for them."""
     schemas = {(t.table, str(i)): p.schema for t in tables for i, p in enumerate(t.parts) if (t.table, i) in parts}
     columns = schema_snapshots(control.spark, schemas).withColumn("part", F.col("snapshot_id").cast("int")).drop("snapshot_id")
     control.replace("schema_snapshots", columns.join(
         fresh.select("table_fqn", "part", F.col("load_id").alias("snapshot_id")), ["table_fqn", "part"]))
-    long = _union([long_values(df, t.table) for t in tables for i, df in t.rows_of(fresh) if (t.table, i) in parts])
-    counts = write_through(value_counts(long), "value-counts")
-    control.replace("column_profiles", exact_profile(long, counts))
-    return counts
+    control.replace("column_profiles", _union([sketch_profile(df, t.table) for t in tables for i, df in t.rows_of(fresh) if (t.table, i) in parts]))
+
+
+def _containment(tables: list[WatchedTable], fresh: DataFrame, known: tuple[DataFrame, DataFrame], profiles: DataFrame, policy: Policy) -> DataFrame:
+    """Containment of every pair of a dropped and an added column of one family, from the stored sketches. Pairs whose score comes within
+    the sketches' error of the threshold are counted exactly, over their columns alone."""
+    baseline, diff = known
+    side = {k: diff.where(F.col("change") == k).select("table_fqn", "load_id", F.col("family"), f"column_{c}")
+            for k, c in (("dropped", "before"), ("added", "after"))}
+    pairs = side["dropped"].join(side["added"], ["table_fqn", "load_id", "family"]).drop("family")
+    estimated = write_through(pair_theta_containment(pairs, baseline, profiles), "containment")
+    limits = policy.thresholds
+    scored = scored_pairs(diff, profiles, baseline, estimated, limits)
+    near = scored.where(F.abs(F.col("score") - limits["rename_min_score"]) <= NEAR).select("table_fqn", "column_before", "column_after").distinct()
+    wanted: dict[str, set[str]] = {}
+    for r in near.collect():  # column names, bounded by the width of the tables
+        wanted.setdefault(r["table_fqn"], set()).update(c.upper() for c in r[1:])
+    loads = baseline.select("table_fqn", F.col("base_load_id").alias("load_id")).union(fresh.select("table_fqn", "load_id")).distinct()
+    again = [long_values(df, t.table, columns=wanted[t.table]) for t in tables if t.table in wanted
+             for _, df in t.rows_of(loads) if wanted[t.table] & {c.upper() for c in df.columns}]
+    if not again:
+        return estimated
+    keys = ["table_fqn", "load_id", "column_before", "column_after"]
+    exact = exact_containment(diff, baseline, value_counts(_union(again))).select(*keys, F.col("containment").alias("_exact"))
+    return estimated.join(exact, keys, "left").select(*keys, F.coalesce("_exact", "containment").alias("containment"))
 
 
 def bootstrap(control: ControlPlane, tables: list[WatchedTable], at: datetime) -> int:
@@ -117,18 +152,15 @@ def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, po
     candidates = fresh.select("table_fqn", "load_id")
     if not parts:
         return candidates
-    counts = _observe(control, tables, fresh, parts)
+    _observe(control, tables, fresh, parts)
     held = fresh.select("table_fqn", "load_id", "row_count", F.lit("PENDING").alias("status"), F.lit(WATCH).alias("decided_by"))
     control.append("gate_log", _requests(spark, held, at, 0))
     gate = gate_latest(control.read("gate_log"))
     known = structure(candidates, gate, control.read("schema_snapshots"), policy)
     base = known[0].select("table_fqn", F.col("base_load_id").alias("load_id")).distinct()
-    # the baseline is read again only for dropped columns of loads that also added one; profiles serve all else
-    dropped = _dropped_columns(known[1])
-    again = [long_values(df, t.table, columns=dropped[t.table]) for t in tables if t.table in dropped
-             for _, df in t.rows_of(base) if dropped[t.table] & {c.upper() for c in df.columns}]
-    all_counts = counts.unionByName(value_counts(_union(again))) if again else counts
-    inputs = Inputs(candidates, gate, control.read("schema_snapshots"), control.read("column_profiles"), all_counts,
+    profiles = write_through(control.profiles(base.union(candidates)), "profiles")
+    inputs = Inputs(candidates, gate, control.read("schema_snapshots"), profiles,
+                    containment=_containment(tables, fresh, known, profiles, policy),
                     key_columns=spark.createDataFrame([(t.table, t.key) for t in tables if t.key],
                                                       "table_fqn string, key_column string"))
     found = detect(inputs, policy, known)
@@ -171,17 +203,6 @@ def _keep_evidence(control: ControlPlane, tables: list[WatchedTable], decisions:
             preserve_evidence(rows, r["table_fqn"], r["incident_id"], f"{control.root}/evidence", part=i)
 
 
-def _dropped_columns(diff: DataFrame) -> dict[str, set[str]]:
-    """Per table: columns that some load dropped while adding another; names only, bounded by table width."""
-    both = (diff.groupBy("table_fqn", "load_id")
-            .agg(F.collect_set(F.when(F.col("change") == "dropped", F.upper("column_before"))).alias("names"),
-                 F.count_if(F.col("change") == "added").alias("added")).where("added > 0 and size(names) > 0"))
-    out: dict[str, set[str]] = {}
-    for r in both.collect():
-        out.setdefault(r["table_fqn"], set()).update(r["names"])
-    return out
-
-
 def _restated(tables: list[WatchedTable], fresh: DataFrame, gate: DataFrame, found) -> DataFrame | None:
     """Restatement evidence for numeric columns that look rescaled, one join per (table, column)."""
     suspects = (found.events.where(F.col("subtype").isin("unit_change", "scale_shift"))

@@ -12,7 +12,7 @@ TABLES = {
     "schema_snapshots": (SNAPSHOT_SCHEMA, ["table_fqn", "snapshot_id"]),
     "column_profiles": ("table_fqn string, load_id string, column_name string, data_type string, row_count bigint, "
                         "null_rate double, distinct_count bigint, num_mean double, num_median double, num_p05 double, "
-                        "num_p95 double, num_min double, num_max double, top_k map<string,double>",
+                        "num_p95 double, num_min double, num_max double, top_k map<string,double>, hll binary, theta binary",
                         ["table_fqn", "load_id"]),
     "gate_log": (GATE_LOG_SCHEMA, []),
     "drift_events": ("event_id string, incident_id string, table_fqn string, load_id string, drift_class string, "
@@ -48,10 +48,10 @@ class ControlPlane:
         return self.spark.read.schema(empty.schema).parquet(self.path(table)).select(*empty.columns)
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Idempotent write: the partitions named by `rows` are replaced, all others stay."""
+        """Idempotent write: the partitions named by `rows` are replaced, all others stay. Columns that `rows` lacks are null."""
         schema, parts = TABLES[table]
         typed = self.spark.createDataFrame([], schema)
-        (rows.select(*[F.col(f.name).cast(f.dataType) for f in typed.schema.fields])
+        (rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in typed.schema.fields])
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
          .parquet(self.path(table)))
 
