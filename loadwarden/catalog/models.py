@@ -9,6 +9,7 @@ from loadwarden.catalog.sql import STAGING
 from loadwarden.operators.gate import passed_loads
 from loadwarden.operators.staging import misfits, staging
 from loadwarden.plans import marts
+from loadwarden.session import write_through
 
 
 def stg_orders(g: Given):
@@ -68,7 +69,7 @@ SELECT order_date, channel, segment, count(*) AS orders, CAST(sum(amount) AS DOU
        round(median(CAST(amount AS DOUBLE)), 6) AS median_order
 FROM fct WHERE status = 'C' GROUP BY order_date, channel, segment""")
 def revenue_daily(g: Given):
-    return _plain(marts.revenue_daily(fct(g)), revenue=2, median_order=6)
+    return _plain(marts.revenue_daily(write_through(fct(g), "fct-orders")), revenue=2, median_order=6)
 
 
 @query("finance_kpis", f"""WITH {STAGING}
@@ -76,7 +77,7 @@ SELECT order_date, CAST(sum(amount) AS DOUBLE) AS gmv, count(*) AS orders,
        CAST(sum(amount) AS DOUBLE) / nullif(count(*), 0) AS aov
 FROM fct WHERE status = 'C' GROUP BY order_date""")
 def finance_kpis(g: Given):
-    return _plain(marts.finance_kpis(marts.revenue_daily(fct(g))), gmv=2)
+    return _plain(marts.finance_kpis(marts.daily_sums(fct(g))), gmv=2)
 
 
 _NARROW = [{**c, "type": {"amount": "number(8,2)", "order_id": "number(3,0)"}.get(c["alias"], c["type"])} for c in ORDER_COLUMNS]

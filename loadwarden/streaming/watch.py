@@ -105,7 +105,7 @@ def window_profiles(counts: DataFrame, table: str, column: str = "CATEGORY") ->
     nothing = F.lit(None).cast("double")
     agg = shares.groupBy("load_id").agg(
         F.sum("n").alias("row_count"), F.count("category").alias("distinct_count"),
-        F.map_from_entries(F.collect_list(F.struct("category", "share"))).alias("top_k"))
+        F.map_from_entries(F.filter(F.collect_list(F.struct("category", "share")), lambda x: x["category"].isNotNull())).alias("top_k"))
     numbers = {c: nothing for c in ("num_mean", "num_median", "num_p05", "num_p95", "num_min", "num_max")}
     return agg.withColumns({"table_fqn": F.lit(table), "column_name": F.lit(column), "data_type": F.lit("VARCHAR"),
                             "null_rate": F.lit(0.0), **numbers}).select(*PROFILE_COLUMNS)
