@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch: bounds the memory of a Python worker whatever the partition size.
 BATCH_ROWS = 512
+#: Groups over which a class is drawn first.
+DRAW_SALT = 64
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,10 +63,14 @@ def training_sample(docs: DataFrame, labelled: DataFrame, label: str, per_class:
     """(text, label) of at most `per_class` labelled documents of each class, in a fixed order; texts over `max_chars` code points are
     not drawn. `labelled` has doc_id and the label; its smallest hashes per class are drawn from ids alone, and only the drawn ids, a
     bounded table, are broadcast to fetch their texts."""
-    drawn = (labelled.groupBy("doc_id").agg(F.max(label).alias("drawn_label"))
-             .withColumn("draw", F.xxhash64("doc_id"))
-             .withColumn("draw_rank", F.row_number().over(Window.partitionBy("drawn_label").orderBy("draw", "doc_id")))
-             .filter(F.col("draw_rank") <= per_class).select("doc_id", "drawn_label", "draw"))
+    def smallest(df: DataFrame, *groups: str) -> DataFrame:
+        by = Window.partitionBy("drawn_label", *groups).orderBy("draw", "doc_id")
+        return df.withColumn("draw_rank", F.row_number().over(by)).filter(F.col("draw_rank") <= per_class)
+
+    hashed = labelled.groupBy("doc_id").agg(F.max(label).alias("drawn_label")).withColumn("draw", F.xxhash64("doc_id"))
+    # first per class and salt, so that what many tasks have drawn does not meet in one
+    salted = smallest(hashed.withColumn("salt", F.pmod("draw", F.lit(DRAW_SALT))), "salt")
+    drawn = smallest(salted).select("doc_id", "drawn_label", "draw")
     fetched = (docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
                .join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"),
                                                                         F.min("drawn_label").alias("drawn_label"), F.min("draw").alias("draw")))
