@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadwarden.operators.gate import request_order, require_legal
+from loadwarden.operators.incidents import incident_latest, open_incidents
 from loadwarden.session import write_through
 from loadwarden.sources.control import ControlPlane
 
 
+APPROVAL_SCHEMA = "table_fqn string, load_id string, incident_id string, approved boolean"
+
+
 @dataclass
 class Approval:
     table_fqn: str
@@ -22,25 +26,43 @@ class Approval:
     approved: bool
 
 
-def _gate_rows(control: ControlPlane, approvals: list[Approval], status: str, at: datetime, step: int) -> DataFrame:
-    rows = [(request_order(at, 2 + step), a.table_fqn, a.load_id, status, a.incident_id, "audit", at, None, a.approved) for a in approvals]
-    return control.spark.createDataFrame(rows, control.read("gate_log").schema)
+def approve(control: ControlPlane, incident_id: str, by: str, at: datetime, approved: bool = True) -> None:
+    """Note a person's word on an incident; the next release takes it up. The last word counts."""
+    control.append("approvals", control.spark.createDataFrame([(incident_id, approved, by, at)],
+                                                              "incident_id string, approved boolean, approved_by string, approved_at timestamp_ntz"))
+
+
+def waiting(control: ControlPlane) -> DataFrame:
+    """Incidents that are not resolved and whose last word is a yes: table_fqn, load_id, incident_id, approved."""
+    words = control.read("approvals").groupBy("incident_id").agg(F.max_by("approved", "approved_at").alias("approved")).where("approved")
+    return open_incidents(incident_latest(control.read("incident_log"))).join(words, "incident_id").select(
+        "table_fqn", "load_id", "incident_id", "approved")
+
+
+def _gate_rows(control: ControlPlane, approvals: DataFrame, status: str, at: datetime, step: int) -> DataFrame:
+    when = F.lit(at).cast("timestamp_ntz")
+    rows = approvals.withColumns({"seq": F.lit(request_order(at, 2 + step)), "status": F.lit(status), "decided_by": F.lit("audit"),
+                                  "decided_at": when, "row_count": F.lit(None)})
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in control.read("gate_log").schema.fields])
 
 
-def _incident_rows(control: ControlPlane, approvals: list[Approval], status: str, at: datetime) -> DataFrame:
-    seq = int(at.timestamp() * 1_000_000) * 2
-    return control.spark.createDataFrame(
-        [(seq + i, at, a.incident_id, None, None, None, None, None, None, None, status) for i, a in enumerate(approvals)],
-        control.read("incident_log").schema)
+def _incident_rows(control: ControlPlane, approvals: DataFrame, status: str, at: datetime) -> DataFrame:
+    known = {"seq": F.lit(int(at.timestamp() * 1_000_000) * 2), "at": F.lit(at), "incident_id": F.col("incident_id"), "status": F.lit(status)}
+    fields = control.read("incident_log").schema.fields
+    return approvals.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def release(control: ControlPlane, approvals: list[Approval], build: Callable[[DataFrame], dict[str, DataFrame]],
+def release(control: ControlPlane, approvals: list[Approval] | DataFrame | None, build: Callable[[DataFrame], dict[str, DataFrame]],
             tests: Callable[[dict[str, DataFrame]], list[DataFrame]], at: datetime) -> DataFrame:
     """Release the approved loads, rebuild and test; on failure put them back and reopen their incidents.
 
-    `build` gets the gate log with the release in it and returns lazy models; `tests` returns failure rows. Returns
+    `approvals` are those noted in the control plane (None), a table of them or a list. `build` gets the gate log with the release in it and returns lazy models; `tests` returns failure rows. Returns
     the test results. An approval that is missing makes the release of a quarantined load fail.
     """
+    if isinstance(approvals, list):
+        approvals = control.spark.createDataFrame([(a.table_fqn, a.load_id, a.incident_id, a.approved) for a in approvals], APPROVAL_SCHEMA)
+    # read once: what is written below changes which incidents wait
+    approvals = write_through(waiting(control) if approvals is None else approvals, "approvals")
     log = control.read("gate_log")
     asked = require_legal(log, _gate_rows(control, approvals, "PASSED", at, 0))
     control.append("gate_log", write_through(asked, "release"))

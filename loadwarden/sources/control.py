@@ -21,6 +21,7 @@ TABLES = {
     "incident_log": ("seq bigint, at timestamp_ntz, incident_id string, table_fqn string, load_id string, "
                      "top_class string, severity string, route string, blast_radius string, decision string, "
                      "status string", []),
+    "approvals": ("incident_id string, approved boolean, approved_by string, approved_at timestamp_ntz", []),
     "decision_trace": ("surface string, incident_id string, step int, decision string, choice string, "
                        "reasoning string, alternatives array<string>, confidence string", ["surface"]),
 }

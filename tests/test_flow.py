@@ -10,7 +10,7 @@ from loadwarden.operators.gate import gate_latest, passed_loads
 from loadwarden.operators.incidents import incident_latest, replay_decisions
 from loadwarden.operators.quality import not_null_tests, unique_test
 from loadwarden.operators.staging import staging
-from loadwarden.plans.release import Approval, release
+from loadwarden.plans.release import Approval, approve, release, waiting
 from loadwarden.plans.scan import Lineage, WatchedTable, bootstrap, scan
 from loadwarden.policy import Policy
 from loadwarden.sources import bronze, build_results, registry
@@ -96,7 +96,13 @@ def test_loop(spark, bronze_dir, tmp_path):
     assert failed.where("failures > 0").count() == 1
     state = incident_latest(control.read("incident_log")).where(F.col("load_id") == new_id).first()
     assert state.status == "OPEN" and state.resolved_at is None
-    release(control, [ask], build, tests, datetime(2031, 3, 11, 10))
+    # a word noted in the control plane is taken up by the next release; a later no withdraws it
+    approve(control, ask.incident_id, "someone", datetime(2031, 3, 11, 9, 30))
+    approve(control, decisions["D20310310"].incident_id, "someone", datetime(2031, 3, 11, 9, 31))
+    approve(control, decisions["D20310310"].incident_id, "someone", datetime(2031, 3, 11, 9, 32), approved=False)
+    assert [r.load_id for r in waiting(control).collect()] == [new_id]
+    release(control, None, build, tests, datetime(2031, 3, 11, 10))
+    assert waiting(control).count() == 0
     state = incident_latest(control.read("incident_log")).where(F.col("load_id") == new_id).first()
     assert state.status == "RESOLVED" and state.resolved_at == datetime(2031, 3, 11, 10)
     assert gate_latest(control.read("gate_log")).where(F.col("load_id") == new_id).first().status == "PASSED"
