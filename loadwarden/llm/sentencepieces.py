@@ -34,10 +34,12 @@ LONG = 64
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FREE = np.int64(1 << 40)
+#: The leading 21 bits of a hash tell at once that most substrings are no piece.
+_SEEN_SHIFT = np.uint64(43)
 
 
 class PieceEncoder(CachedEncoder):
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = 2 * CACHE_WORDS):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -79,6 +81,8 @@ class PieceEncoder(CachedEncoder):
         ids = np.array([self.id_of[p] for p in pieces], dtype=np.int64)
         self.keys = np.sort(self.hash[ids])
         self.key_ids = ids[np.argsort(self.hash[ids], kind="stable")]
+        self.seen = np.zeros(1 << 21, dtype=bool)
+        self.seen[(self.keys >> _SEEN_SHIFT).astype(np.int64)] = True
 
     @staticmethod
     def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
@@ -126,8 +130,12 @@ class PieceEncoder(CachedEncoder):
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.key_ids[at], -1)
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        some = np.flatnonzero(self.seen[(hashes >> _SEEN_SHIFT).astype(np.int64)])  # most substrings are no piece and end here
+        probes = hashes[some]
+        at = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+        out[some] = np.where(self.keys[at] == probes, self.key_ids[at], -1)
+        return out
 
     def _neighbours(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging the two pieces' text gives back the two pieces.
@@ -158,23 +166,19 @@ class PieceEncoder(CachedEncoder):
         step = np.zeros((m, n + 1), dtype=np.int64)
         rows = np.arange(m)
         for i in range(1, n + 1):
-            best = np.zeros(m, dtype=np.int64)  # the longest valid length so far; in exact arithmetic there is just one
-            for size in range(1, min(i, self.longest) + 1):
+            for size in range(1, min(i, self.longest) + 1):  # a longer valid piece replaces a shorter; in exact arithmetic there is just one
                 piece = self._find(prefix[:, i] - prefix[:, i - size] * self.power[size])
-                free = piece < 0 if size == 1 else np.zeros(m, dtype=bool)  # a character outside the model stands alone
-                some = np.flatnonzero((piece >= 0) & (step[:, i - size] > 0) if i > size else piece >= 0)
-                before = last[some, i - size] if i > size else np.full(len(some), -1)
-                beside = before >= 0
-                valid = np.ones(len(some), dtype=bool)
-                valid[beside] = self._neighbours(before[beside], piece[some[beside]])
-                some = some[valid]
-                value = np.zeros(m, dtype=np.int64)
-                value[some] = size
-                value[free] = 1
-                better = value > best
-                best = np.maximum(best, value)
-                last[better, i] = np.where(free, -1, piece)[better]
-            step[:, i] = best
+                if size == 1:
+                    step[piece < 0, i] = 1  # a character outside the model stands alone
+                some = np.flatnonzero(piece >= 0)
+                if i > size and len(some):
+                    some = some[step[some, i - size] > 0]
+                    before = last[some, i - size]
+                    valid = before < 0
+                    beside = np.flatnonzero(~valid)
+                    valid[beside] = self._neighbours(before[beside], piece[some[beside]])
+                    some = some[valid]
+                last[some, i], step[some, i] = piece[some], size
         at, found = np.full(m, n), []
         while (at > 0).any():
             open_ = at > 0
