@@ -1,9 +1,9 @@
 """Quality rules: base counts and compression bands.
 
 The band of a text is the range its zstandard ratio (compressed by original bytes) may lie in, looked up by its length: repetitive text falls
-below, incompressible text (encoded data, noise) above. The whole text has to lie in its band, and so have its fixed chunks, up to a
-quarter of its bytes, so that a bad stretch in a long text is seen. Texts with too few words or too many repeated five-word windows fail
-before that.
+below, incompressible text (encoded data, noise) above. The whole text has to lie in its band. Longer texts are also cut into overlapping
+chunks of one length with a band of their own, and at most one of them may lie outside: what a bad stretch may measure does not grow with
+the text. Texts with too few words or too many repeated five-word windows fail before that.
 
 Null texts count as empty; empty texts have no word and fail; texts of any length are read whole; repeated rows get equal results; other
 columns are not read.
@@ -21,7 +21,9 @@ SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 # end of fixed values
 
-LEVEL, CHUNK, OUTSIDE_SHARE = 3, 4096, 0.25
+LEVEL, CHUNK, STEP, MOST_OUTSIDE = 3, 1024, 512, 1
+#: Least and greatest ratio of a chunk. Chunks of the sf0.1 texts labelled as good lie between 0.489 and 0.604, no text of them has two outside.
+CHUNK_BAND = (0.43, 0.65)
 #: Up to this many bytes: least and greatest ratio. The least ratios lie some seven per cent below the lowest of texts labelled as good,
 #: the greatest well above the highest and below that of base 64 data of that length.
 BANDS = ((63, 0.0, 9.0), (127, 0.60, 1.30), (255, 0.50, 1.05), (511, 0.49, 0.90), (1023, 0.465, 0.82), (2047, 0.43, 0.76), (4095, 0.415, 0.74),
@@ -66,8 +68,14 @@ def in_bands(data: bytes, press: zstandard.ZstdCompressor, bands=BANDS) -> bool:
         return False
     if len(data) <= CHUNK:
         return True
-    chunks = (data[i:i + CHUNK] for i in range(0, len(data), CHUNK))
-    return sum(len(c) for c in chunks if outside(c)) <= OUTSIDE_SHARE * len(data)
+    low, high = CHUNK_BAND
+    bad = 0
+    for i in range(0, len(data) - CHUNK + STEP, STEP):  # the last one ends with the text
+        i = min(i, len(data) - CHUNK)
+        bad += not low <= len(press.compress(data[i:i + CHUNK])) / CHUNK <= high
+        if bad > MOST_OUTSIDE:
+            return False
+    return True
 
 
 def judge(text: str, press: zstandard.ZstdCompressor) -> tuple[int, int, int, int, int, bool, bool]:

@@ -52,6 +52,17 @@ def test_bad_stretch_in_a_long_text():
     assert quality.in_bands(good.encode(), PRESS) and not quality.in_bands((good + " " + stretch).encode(), PRESS)
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+@pytest.mark.parametrize("n", [6000, 200_000])
+def test_share_of_bad_bytes_does_not_pass(n, share):
+    good, r = prose(n), random.Random(7)
+    size, at = int(len(good) * share), len(good) // 2
+    for stretch in (base64.b64encode(r.randbytes(size)).decode()[:size], "".join(r.choices("xy", k=size))):
+        assert quality.in_bands(good.encode(), PRESS) and not quality.in_bands((good[:at] + stretch + good[at:]).encode(), PRESS)
+    scattered = "".join(good[i:i + 3000] + base64.b64encode(r.randbytes(1200)).decode() for i in range(0, len(good), 20_000))
+    assert not quality.in_bands(scattered.encode(), PRESS)
+
+
 def test_query_on_whole_table(spark):
     from loadwarden.llm.catalog import QUERIES
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
