@@ -2,21 +2,27 @@
 
 Each text is scanned as it stands (the base spans). Then encoded parts are unwrapped layer by layer - percent escapes, Unicode and byte
 escapes, base64 and compressed data - every new layer is scanned again and put on the worklist, until none yields a layer not seen
-before. Escapes are replaced in place, so that a secret partly escaped is seen with its surroundings; base64 and compressed parts become layers
-of their own. Every character of a layer knows the code points of the original text it came from, and what is found is reported there.
+before. Escapes are replaced in place, so that a secret partly escaped is seen with its surroundings; base64 parts become layers of their
+own, one for each of the four characters the encoding may begin with, line by line and joined over lines. Bytes that are no UTF-8 stay as
+single placeholders between the valid stretches. Every character of a layer knows the code points of the original text it came from, and
+what is found is reported there.
 
-Null texts count as empty; texts of any length are read whole; repeated rows get equal results; other columns are not read. A
-compressed part that unfolds to more than LAYER_BYTES is not unwrapped further: it is counted in `n_oversize`, so that a small text
-cannot exhaust a worker. Spans are in code points, end exclusive.
+Compressed data may begin anywhere in a layer. All found in it, however deep, is reported at the whole compressed part, so that only the
+kinds matter there: its content is kept as bytes, in a temporary file once it is over LAYER_BYTES, and read to its end. Parts with such a
+content are counted in `n_oversize`. A disk too small for the content fails the task.
+
+Null texts count as empty; texts of any length are read whole; repeated rows get equal results; other columns are not read. Spans are in
+code points, end exclusive.
 """
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 from itertools import accumulate
 
@@ -40,15 +46,24 @@ HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 
 LAYER_BYTES = 16 << 20
 BASE64_LEAST = 16
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_LEAST)
+_B64 = "[A-Za-z0-9+/_-]"
+_BASE64 = re.compile(_B64 + "{%d,}" % BASE64_LEAST)
+#: Runs that go on in the next line; all but the last have the least length.
+_LINES = re.compile(rf"(?<!{_B64}){_B64}{{{BASE64_LEAST},}}+(?:[ \t]*+\r?\n[ \t]*+{_B64}{{{BASE64_LEAST},}}+)*+(?:[ \t]*+\r?\n[ \t]*+{_B64}++)?+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 
-Span = tuple[int, int, int]  # start, kind, end
-
+#: The same in bytes.
+_ASSIGN_B = re.compile(ASSIGN.pattern.encode(), re.IGNORECASE)
+_ACCESS_B, _HEX_B, _BASE64_B, _LINES_B = (re.compile(p.pattern.encode()) for p in (ACCESS, HEX, _BASE64, _LINES))
+_ESCAPES_B = re.compile(f"{_PERCENT.pattern}|{_ESCAPE.pattern}".encode())
+#: Where compressed data may begin, and what any secret or escape of one needs.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00")
+_LEGIBLE = re.compile(rb"[\x20-\x7e]{12}")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+PIECE = 1 << 18
 
-class Oversize(Exception):
-    pass
+Span = tuple[int, int, int]  # start, kind, end
 
 
 def scan(text: str) -> list[Span]:
@@ -64,41 +79,132 @@ def scan(text: str) -> list[Span]:
     return found
 
 
-def _decompress(data: bytes) -> bytes | None:
-    """The content of compressed data of a known format, None for other data."""
+class _Spool:
+    """Bytes written piece by piece: in memory up to LAYER_BYTES, in an unnamed temporary file beyond."""
+
+    def __init__(self):
+        self.size, self.parts, self.file = 0, [], None
+
+    def write(self, piece: bytes) -> None:
+        self.size += len(piece)
+        self.parts.append(piece)
+        if self.file is None and self.size > LAYER_BYTES:
+            self.file = tempfile.TemporaryFile()
+        if self.file is not None:
+            self.file.writelines(self.parts)
+            self.parts.clear()
+
+    def content(self) -> bytes | mmap.mmap:
+        if self.file is None:
+            return b"".join(self.parts)
+        self.file.flush()
+        with self.file:
+            return mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def _unfold(data, at: int, spool: _Spool) -> int | None:
+    """Writes what the compressed data that begins at `at` unfolds to; where it ends, None if it is damaged or has no end."""
+    head = data[at:at + 4]
+    step, bounded = 64, (PIECE,)
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+        unfold = zlib.decompressobj(47)
+    elif head == b"\x28\xb5\x2f\xfd":
+        unfold, bounded = zstandard.ZstdDecompressor().decompressobj(), ()  # has no bound on its output, so little goes in
+    elif head[:3] == b"BZh":
+        unfold = bz2.BZ2Decompressor()
+    else:
+        unfold = lzma.LZMADecompressor()
     try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
-            unfold = zlib.decompressobj(47)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            unfold = zstandard.ZstdDecompressor().decompressobj()
-            out = b"".join(_pieces(unfold, data))
-            return out
-        elif data[:3] == b"BZh":
-            unfold = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            unfold = lzma.LZMADecompressor()
-        else:
-            return None
-        out = unfold.decompress(data, LAYER_BYTES + 1)
-    except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
+        while at < len(data) and not unfold.eof:
+            piece = data[at:at + step]
+            at += len(piece)
+            out = unfold.decompress(piece, *bounded)
+            spool.write(out)
+            while bounded and not unfold.eof and (len(out) == PIECE or getattr(unfold, "unconsumed_tail", b"")):
+                out = unfold.decompress(getattr(unfold, "unconsumed_tail", b""), PIECE)
+                spool.write(out)
+            if bounded:  # small pieces to begin with, so that what comes before damage is kept
+                step = min(2 * step, 4096)
+    except (zlib.error, zstandard.ZstdError, lzma.LZMAError, EOFError, ValueError):
         return None
-    if len(out) > LAYER_BYTES:
-        raise Oversize
-    return out
+    except OSError as error:
+        if error.errno is not None:  # the disk, not the data
+            raise
+        return None
+    return at - len(unfold.unused_data) if unfold.eof else None
+
+
+def _members(data):
+    """Start, end and content of each compressed part in bytes; members or frames that follow one another are one part."""
+    at = 0
+    while m := _MAGIC.search(data, at):
+        spool, start = _Spool(), m.start()
+        first, end = start, _unfold(data, start, spool)
+        if spool.size:
+            yield first, end or len(data), spool
+        at = start + 1 if end is None else end  # inside of what is damaged or cut off anything else may begin
 
 
-def _pieces(unfold, data: bytes):
-    total = 0
-    for at in range(0, len(data), 4096):
-        piece = unfold.decompress(data[at:at + 4096])
-        total += len(piece)
-        if total > LAYER_BYTES:
-            raise Oversize
-        yield piece
+_MORE = re.compile(rb"\x00*+(%s)" % _MAGIC.pattern)
 
 
-def _printable(text: str) -> bool:
-    return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text)
+def _kinds(content) -> set[int]:
+    """The kinds of secret in bytes and in all they unwrap to."""
+    found: set[int] = set()
+    seen: set[bytes] = set()
+    work = [content]
+    while work and len(found) < len(KINDS):
+        data = work.pop()
+        mark = hashlib.blake2b(data, digest_size=16).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        if any(m.end(2) - m.start(2) >= ASSIGN_LEAST for m in _ASSIGN_B.finditer(data)):
+            found.add(0)
+        found.update(k for k, p in ((1, _ACCESS_B), (2, _HEX_B)) if p.search(data))
+        work += [spool.content() for _, _, spool in _members(data) if spool.file is None]
+        for start, end in _runs(_BASE64_B, _LINES_B, data):
+            for shift in range(4):
+                spool = _Spool()
+                rest = b""
+                for i in range(start, end, PIECE):
+                    rest += data[i:min(i + PIECE, end)].translate(_STANDARD, b" \t\r\n")
+                    if i == start:
+                        rest = rest[shift:]
+                    whole = len(rest) // 4 * 4
+                    spool.write(base64.b64decode(rest[:whole]))
+                    rest = rest[whole:]
+                spool.write(_b64(rest))
+                inner = spool.content()
+                if _LEGIBLE.search(inner) or _MAGIC.search(inner):
+                    work.append(inner)
+        spool, at = _Spool(), 0
+        for m in _ESCAPES_B.finditer(data):
+            for i in range(at, m.start(), PIECE):
+                spool.write(data[i:min(i + PIECE, m.start())])
+            at = m.end()
+            got = m.group()
+            if got[:1] == b"%" or got[:2] == b"\\x":
+                spool.write(bytes.fromhex(got.translate(None, b"%\\x").decode()))
+            else:
+                spool.write("".join(c for c, _ in _units(got.decode())).encode("utf-8", "surrogatepass") or got)
+        if at:
+            for i in range(at, len(data), PIECE):
+                spool.write(data[i:i + PIECE])
+            work.append(spool.content())
+    return found
+
+
+def _runs(single: re.Pattern, lines: re.Pattern, text):
+    """Start and end of the base64 candidates: each run, and runs joined over lines."""
+    for m in single.finditer(text):
+        yield m.span()
+
+
+def _b64(body: bytes) -> bytes:
+    """Decoded base64 without its padding; a single character left over holds no byte."""
+    body = body[:len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + b"=" * (-len(body) % 4))
 
 
 class _Layer:
@@ -120,49 +226,48 @@ class _Layer:
 
 
 def _char_bytes(text: str) -> np.ndarray:
-    """Where the UTF-8 bytes of each character begin, and the end."""
-    return np.array([0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)], dtype=np.int64)
-
-
-def _bytes_to_layers(layer: _Layer, data: bytes, byte_starts: np.ndarray, byte_ends: np.ndarray, strict: bool) -> list[_Layer]:
-    """Layers of decoded bytes: what they unfold to when compressed, else their text."""
-    unfolded, deep = data, False
-    marks = set()
-    while (inner := _decompress(unfolded)) is not None:
-        mark = hashlib.blake2b(inner, digest_size=16).digest()
-        if mark in marks:  # data that unfolds to itself
-            return []
-        marks.add(mark)
-        unfolded, deep = inner, True
-    try:
-        text = unfolded.decode("utf-8")
-    except UnicodeDecodeError:
-        return []
-    if not text or (strict and not deep and not _printable(text)):
-        return []
-    if deep:
-        n = len(text)
-        return [layer.child(text, np.full(n, byte_starts[0]), np.full(n, byte_ends[-1]))]
-    at = np.arange(len(text) + 1) if len(text) == len(data) else _char_bytes(text)
-    return [layer.child(text, byte_starts[at[:-1]], byte_ends[at[1:] - 1])]
+    """Where the UTF-8 bytes of each character begin, and the end; placeholders stand for one byte."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    sizes[(code >= 0xDC80) & (code < 0xDD00)] = 1
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+_LONE = re.compile("[\ud800-\udc7f\udd00-\udfff]")
+
+
+def _compressed(layer: _Layer, found: set, oversize: list) -> None:
+    """Adds what the compressed parts of a layer hold."""
+    data = _LONE.sub("???", layer.text).encode("utf-8", "surrogateescape")
+    if not _MAGIC.search(data):
+        return
+    at = _char_bytes(layer.text)
+    for start, end, spool in _members(data):
+        first, last = np.searchsorted(at, [start, end - 1], "right")
+        a, b = layer.origin(int(first) - 1, int(last))
+        if spool.file is not None:
+            oversize.append((a, b))
+            continue
+        found.update((a, k, b) for k in _kinds(spool.content()))
 
 
-def _base64_layers(layer: _Layer, oversize: list) -> list[_Layer]:
+def _base64_layers(layer: _Layer) -> list[_Layer]:
     out = []
-    for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        byte = np.arange(len(data))
-        starts = m.start() + byte // 3 * 4 + byte % 3
-        try:
-            out += _bytes_to_layers(layer, data, starts, starts + 2, strict=True)
-        except Oversize:
-            oversize.append(layer.origin(m.start(), m.end()))
+    for start, end in _runs(_BASE64, _LINES, layer.text):
+        raw = layer.text[start:end].encode()
+        body = raw.translate(_STANDARD, b" \t\r\n")
+        where = None
+        for shift in range(4):
+            data = _b64(body[shift:])
+            if not (_LEGIBLE.search(data) or _MAGIC.search(data)):
+                continue
+            if where is None:
+                where = start + np.flatnonzero(~np.isin(np.frombuffer(raw, dtype=np.uint8), list(b" \t\r\n")))
+            text = data.decode("utf-8", "surrogateescape")
+            byte = np.arange(len(data))
+            char = shift + byte // 3 * 4 + byte % 3
+            at = np.arange(len(text) + 1) if len(text) == len(data) else _char_bytes(text)
+            out.append(layer.child(text, where[char][at[:-1]], where[char + 1][at[1:] - 1] + 1))
     return out
 
 
@@ -185,9 +290,9 @@ def _units(match: str) -> list[tuple[str, int]]:
     return out
 
 
-def _unescaped(layer: _Layer, pattern: re.Pattern, oversize: list) -> list[_Layer]:
-    """The layer with its escapes replaced in place, and layers of escaped compressed data."""
-    text, parts, starts, ends, at, more = layer.text, [], [], [], 0, []
+def _unescaped(layer: _Layer, pattern: re.Pattern) -> list[_Layer]:
+    """The layer with its escapes replaced in place."""
+    text, parts, starts, ends, at = layer.text, [], [], [], 0
 
     def copy(a, b):
         parts.append(text[a:b])
@@ -199,16 +304,8 @@ def _unescaped(layer: _Layer, pattern: re.Pattern, oversize: list) -> list[_Laye
         width = 3 if got[0] == "%" else 4 if got[:2] == "\\x" else 0
         if width:
             data = bytes.fromhex(got.replace("%", "").replace("\\x", ""))
-            try:
-                chars = data.decode("utf-8")
-            except UnicodeDecodeError:
-                where = a + width * np.arange(len(data))
-                try:
-                    more += _bytes_to_layers(layer, data, where, where + width, strict=True)
-                except Oversize:
-                    oversize.append(layer.origin(a, m.end()))
-                continue
-            sizes = [(c, width * len(c.encode("utf-8"))) for c in chars]
+            chars = data.decode("utf-8", "surrogateescape")
+            sizes = [(c, width * n) for c, n in zip(chars, np.diff(_char_bytes(chars)).tolist())]
         else:
             sizes = _units(got)
         if not sizes:
@@ -219,14 +316,14 @@ def _unescaped(layer: _Layer, pattern: re.Pattern, oversize: list) -> list[_Laye
         starts.append(edge[:-1])
         ends.append(edge[1:])
         at = m.end()
-    if at:
-        copy(at, len(text))
-        more.append(layer.child("".join(parts), np.concatenate(starts), np.concatenate(ends)))
-    return more
+    if not at:
+        return []
+    copy(at, len(text))
+    return [layer.child("".join(parts), np.concatenate(starts), np.concatenate(ends))]
 
 
 def unwrap(text: str) -> tuple[list[Span], list[Span], int]:
-    """Base spans, all spans (base ones first found, then those of decoded layers, each once, in order) and the parts too large to unwrap."""
+    """Base spans, all spans (base ones first found, then those of decoded layers, each once, in order) and the number of parts too large for memory."""
     base = scan(text)
     found, oversize = set(base), []
     seen: set[tuple] = set()
@@ -241,11 +338,12 @@ def unwrap(text: str) -> tuple[list[Span], list[Span], int]:
                 continue
             seen.add(mark)
             found.update((*layer.origin(s, e)[:1], k, layer.origin(s, e)[1]) for s, k, e in scan(layer.text))
+            _compressed(layer, found, oversize)
         if "%" in layer.text:
-            work += _unescaped(layer, _PERCENT, oversize)
+            work += _unescaped(layer, _PERCENT)
         if "\\" in layer.text or "&#" in layer.text:
-            work += _unescaped(layer, _ESCAPE, oversize)
-        work += _base64_layers(layer, oversize)
+            work += _unescaped(layer, _ESCAPE)
+        work += _base64_layers(layer)
     return base, sorted(found), len(set(oversize))
 
 
@@ -254,7 +352,7 @@ def written(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per row: base counts, the digest of the base spans, all spans as text, how many spans decoding added, parts too large."""
+    """Per row: base counts, the digest of the base spans, all spans as text, how many spans decoding added, parts too large for memory."""
     def make():
         def work(texts):
             got = [unwrap(t) for t in texts]

@@ -77,6 +77,29 @@ def test_redaction_of_overlaps():
     assert secrets.redacted("nothing") == "nothing"
 
 
+SECRET = "token=abcdefghij password=hunter2hunter2"
+
+
+@pytest.mark.parametrize("prefix", ["x.com/", "/v1/", "key_", "id-", "a/b_c-d/", "see "])
+@pytest.mark.parametrize("suffix", ["", "/more", "-x", " end"])
+def test_base64_that_touches_its_alphabet(prefix, suffix):
+    for data in (SECRET.encode(), gzip.compress(SECRET.encode())):
+        b64 = base64.b64encode(data).decode().rstrip("=")
+        spans = [(s, e) for s, k, e in secrets.unwrap(prefix + b64 + suffix)[1] if k == 0]
+        assert spans and all(s >= len(prefix) - 3 and e <= len(prefix + b64 + suffix) for s, e in spans)
+        assert "assign removed" in secrets.redacted(prefix + b64 + suffix)
+
+
+def test_one_bad_byte_drops_nothing():
+    rough = b"\xff\xfe " + SECRET.encode() + b" \xc3( \x00"
+    packed = gzip.compress(bytes(range(256)) * 20 + rough)
+    for hidden in (base64.b64encode(rough).decode(), base64.b64encode(packed).decode(), "".join(f"%{b:02x}" for b in rough),
+                   "".join(f"\\x{b:02x}" for b in rough), quote(packed), quote(quote(packed)), base64.b64encode(b"\xff\xff" + packed).decode()):
+        assert any(k == 0 for _, k, _ in secrets.unwrap("a " + hidden + " b")[1]), hidden
+    text = "a %FFtoken%3Dabcdefgh b"
+    assert spans_of(text) == [("assign", "token%3Dabcdefgh")]
+
+
 def test_query_on_whole_table(spark):
     from loadwarden.llm.catalog import QUERIES
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
