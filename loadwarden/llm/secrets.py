@@ -140,6 +140,8 @@ def _members(data):
     while m := _MAGIC.search(data, at):
         spool, start = _Spool(), m.start()
         first, end = start, _unfold(data, start, spool)
+        while end is not None and (more := _MORE.match(data, end)) and more.group(1)[:2] == data[first:first + 2]:
+            start, end = more.start(1), _unfold(data, more.start(1), spool)
         if spool.size:
             yield first, end or len(data), spool
         at = start + 1 if end is None else end  # inside of what is damaged or cut off anything else may begin
@@ -199,6 +201,9 @@ def _runs(single: re.Pattern, lines: re.Pattern, text):
     """Start and end of the base64 candidates: each run, and runs joined over lines."""
     for m in single.finditer(text):
         yield m.span()
+    for m in lines.finditer(text):
+        if single.match(text, m.start()).end() < m.end():
+            yield m.span()
 
 
 def _b64(body: bytes) -> bytes:

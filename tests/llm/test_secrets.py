@@ -1,12 +1,16 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import time
 import zlib
 from urllib.parse import quote
 
 import pytest
+import zstandard
 
 from loadwarden.llm import secrets
 
@@ -100,6 +104,26 @@ def test_one_bad_byte_drops_nothing():
     assert spans_of(text) == [("assign", "token%3Dabcdefgh")]
 
 
+@pytest.mark.parametrize("columns, between", [(64, "\n"), (76, "\r\n"), (76, "\n    ")])
+def test_base64_over_lines(columns, between):
+    r = random.Random(1)
+    for offset in range(57):
+        data = "." * offset + " token=abcdefghijklmn " + "." * 120
+        b64 = base64.b64encode(data.encode()).decode()
+        text = "x " + between.join(b64[i:i + columns] for i in range(0, len(b64), columns)) + "\nend"
+        assert any(k == 0 and len(text[s:e].replace(between, "")) >= 26 for s, k, e in secrets.unwrap(text)[1]), offset
+    b64 = base64.b64encode(gzip.compress((r.randbytes(1000).hex(" ") + " password=hunter2hunter2").encode())).decode()
+    text = between.join(b64[i:i + columns] for i in range(0, len(b64), columns))
+    assert spans_of(text) == [("assign", text.rstrip("="))] or spans_of(text) == [("assign", text)]
+
+
+@pytest.mark.parametrize("press", [gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+def test_all_members_are_unfolded(press):
+    parts = [b"nothing " * 50, b"again nothing, but here begins pass", b"word=hunter2hunter2 "]
+    assert spans_of("a " + base64.b64encode(b"".join(map(press, parts))).decode())
+    assert spans_of("a " + base64.b64encode(press(parts[0]) + b"junk" + press(SECRET.encode())).decode())
+
+
 def test_query_on_whole_table(spark):
     from loadwarden.llm.catalog import QUERIES
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
