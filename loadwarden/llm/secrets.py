@@ -164,7 +164,7 @@ def _kinds(content) -> set[int]:
         if any(m.end(2) - m.start(2) >= ASSIGN_LEAST for m in _ASSIGN_B.finditer(data)):
             found.add(0)
         found.update(k for k, p in ((1, _ACCESS_B), (2, _HEX_B)) if p.search(data))
-        work += [spool.content() for _, _, spool in _members(data) if spool.file is None]
+        work += [spool.content() for _, _, spool in _members(data)]
         for start, end in _runs(_BASE64_B, _LINES_B, data):
             for shift in range(4):
                 spool = _Spool()
@@ -181,7 +181,7 @@ def _kinds(content) -> set[int]:
                 if _LEGIBLE.search(inner) or _MAGIC.search(inner):
                     work.append(inner)
         spool, at = _Spool(), 0
-        for m in _ESCAPES_B.finditer(data):
+        for m in _ESCAPES_B.finditer(data) if any(data.find(c) >= 0 for c in (b"%", b"\\", b"&#")) else ():
             for i in range(at, m.start(), PIECE):
                 spool.write(data[i:min(i + PIECE, m.start())])
             at = m.end()
@@ -252,7 +252,6 @@ def _compressed(layer: _Layer, found: set, oversize: list) -> None:
         a, b = layer.origin(int(first) - 1, int(last))
         if spool.file is not None:
             oversize.append((a, b))
-            continue
         found.update((a, k, b) for k in _kinds(spool.content()))
 
 
