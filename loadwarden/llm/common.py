@@ -3,12 +3,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch: bounds the memory of a Python worker whatever the partition size.
 BATCH_ROWS = 512
+#: Bytes of text that a task works on at once; a longer text is a piece of its own.
+PIECE_BYTES = 4 << 20
 #: Groups over which a class is drawn first.
 DRAW_SALT = 64
 
@@ -23,6 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, the session's settings left as they are; tasks cut their batches with `in_pieces`."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], text_at: int = 1, max_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Non-empty slices of the batches whose texts hold at most `max_bytes` together, or a single row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, before = 0, 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+            yield batch.slice(at, to - at)
+            at, before = to, int(ends[to - 1])
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadwarden.llm.common import texts_of
+from loadwarden.llm.common import in_pieces
 from loadwarden.llm.tokens import WordEncoder, tokenizer_path
 from loadwarden.session import write_through
 
@@ -41,9 +41,10 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: st
 
     def run(batches):
         encoder, part, counts = WordEncoder.shared(path), TaskContext.get().partitionId(), np.zeros(length + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = []
-            for i, ids in enumerate(encoder.encode(texts_of(batch.column(1)))):
+            all_ids, ends = encoder.encode_column(batch.column(1))
+            for i, ids in enumerate(np.split(all_ids, ends[:-1])):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), length)):
                     cut = ids[at:at + length]

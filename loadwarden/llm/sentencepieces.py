@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loadwarden.llm.common import map_texts, texts_of
-from loadwarden.llm.tokens import CACHE_WORDS, CachedEncoder, tokenizer_path
+from loadwarden.llm.tokens import CACHE_BYTES, CachedEncoder, tokenizer_path
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -39,7 +39,7 @@ _SEEN_SHIFT = np.uint64(43)
 
 
 class PieceEncoder(CachedEncoder):
-    def __init__(self, path: str, cache_words: int = 2 * CACHE_WORDS):
+    def __init__(self, path: str, cache_bytes: int = 2 * CACHE_BYTES):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -55,7 +55,7 @@ class PieceEncoder(CachedEncoder):
             self.bytes_of[i] = bytes([b])
         self.pairs = {p[k:k + 2] for p in self.id_of for k in range(len(p) - 1)}
         self._build()
-        super().__init__(cache_words)
+        super().__init__(cache_bytes)
 
     def _build(self) -> None:
         """Tables over the pieces that encode to themselves: hash, rank (single characters -1), length and the halves of the last merge."""
@@ -191,6 +191,11 @@ class PieceEncoder(CachedEncoder):
             out.append([i for v in row if v for i in self._ids_of(word[v // 64 - v % 64:v // 64])])
         return out
 
+    def _cut(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        parts = [self._parts(t or "") for t in column.to_pylist()]
+        coded = pa.array([p for some in parts for p in some], pa.string()).dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.cumsum([len(p) for p in parts], dtype=np.int64)
+
     def _parts(self, text: str) -> list[str]:
         """Words without the one space before them; words after several spaces with all of them."""
         if not text:
@@ -200,7 +205,7 @@ class PieceEncoder(CachedEncoder):
             return parts
         return [w[1:] if w[1:2] != SPACE else w for w in _RUNS.findall(SPACE + text.replace(" ", SPACE))]
 
-    def _cut(self, word: str) -> list[str]:
+    def _pieces(self, word: str) -> list[str]:
         """The parts of a word between characters that no piece has side by side."""
         parts, at = [], 0
         for k in range(1, len(word)):
@@ -209,13 +214,13 @@ class PieceEncoder(CachedEncoder):
                 at = k
         return [*parts, word[at:]]
 
-    def _learn(self, unseen: set[str]) -> None:
+    def _learn(self, unseen: list[str]) -> None:
         by_length = defaultdict(list)
         for part in unseen:
             if part[:1] == SPACE:
                 self._add(part, self._merge(part))
             elif len(part) >= LONG:
-                self._add(part, [i for p in self._cut(SPACE + part) for i in (self._viterbi([p])[0] if len(p) < LONG else self._merge(p))])
+                self._add(part, [i for p in self._pieces(SPACE + part) for i in (self._viterbi([p])[0] if len(p) < LONG else self._merge(p))])
             else:
                 by_length[len(part)].append(part)
         for parts in by_length.values():

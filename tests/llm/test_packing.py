@@ -44,7 +44,7 @@ def check(rows, docs, length, end_id, encode):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=5))
 def test_cached_words_give_the_ids_of_whole_texts(texts):
-    encoder, full = WordEncoder(tokenizer_path(), cache_words=50), library()
+    encoder, full = WordEncoder(tokenizer_path(), cache_bytes=20_000), library()
     for _ in range(2):
         assert [x.tolist() for x in encoder.encode(texts)] == [full.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -52,7 +52,7 @@ def test_cached_words_give_the_ids_of_whole_texts(texts):
 def test_ids_of_the_given_texts(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     texts += ["<|endoftext|> a", "It's Straße. ÉCOLE, don't 12.5!!  x́ ẞ İ K ſ", "a\x1cb\x85c d"]
-    encoder, full = WordEncoder(tokenizer_path(), cache_words=20_000), library()
+    encoder, full = WordEncoder(tokenizer_path(), cache_bytes=20_000), library()
     got = [x for i in range(0, len(texts), 100) for x in encoder.encode(texts[i:i + 100])]
     assert all(a.tolist() == full.encode(t, add_special_tokens=False).ids for a, t in zip(got, texts))
 

@@ -15,7 +15,7 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
 
 @pytest.fixture(scope="module")
 def encoder():
-    return sentencepieces.PieceEncoder(PATH, cache_words=5_000)
+    return sentencepieces.PieceEncoder(PATH, cache_bytes=20_000)
 
 
 @settings(max_examples=150, deadline=None)
