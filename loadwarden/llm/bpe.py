@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loadwarden.llm.common import in_pieces
-from loadwarden.llm.tokens import WordEncoder, tokenizer_path
+from loadwarden.llm.tokens import CACHE_BYTES, WordEncoder, tokenizer_path
 
 #: Pairs of tokens whose compatibility a worker remembers before it starts again.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Symbols: the bytes, and from here on the bytes that end a word.
 END = 256
 
@@ -96,6 +96,9 @@ class SuffixAutomaton:
 class PrefixEncoder(WordEncoder):
     """Ids by the unique last token of every prefix; only words come from the library, not ids."""
 
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES // 2):
+        super().__init__(path, cache_bytes)
+
     def _prepare(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -227,10 +230,30 @@ class PrefixEncoder(WordEncoder):
         ids_of = dict(zip(words, self.words_ids(words)))
         return [[i for w in some for i in (ids_of[w] if isinstance(w, bytes) else [w])] for some in cut]
 
+
+class Decoder:
+    """The tokens joined by spaces, special tokens included, which is what a tokenizer without a decoder does; unknown ids are left out."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec.get("decoder"):
+            raise ValueError("needs a tokenizer without a decoder")
+        self.text_of = dict(sorted((i, t) for t, i in [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]))
+
     def decode(self, ids: np.ndarray) -> str:
-        """The tokens joined by spaces, special tokens included, which is what a tokenizer without a decoder does; unknown ids are left out."""
-        text_of, size = self.text_of, self.size
-        return " ".join([text_of[i] for i in ids.tolist() if 0 <= i < size])
+        return " ".join([self.text_of[i] for i in ids.tolist() if i in self.text_of])
+
+
+def _encoded(piece: pa.RecordBatch, encoder: PrefixEncoder) -> pa.RecordBatch:
+    ids, ends = encoder.encode_column(piece.column(1))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([piece.column(0), lists], names=["doc_id", "ids"])
+
+
+def _decoded(piece: pa.RecordBatch, decoder: Decoder) -> pa.RecordBatch:
+    texts = [decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in piece.column(1)]
+    return pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -241,9 +264,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PrefixEncoder.shared(path)
         for piece in in_pieces(batches):
-            ids, ends = encoder.encode_column(piece.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["doc_id", "ids"])
+            yield _encoded(piece, encoder)
 
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>")
 
@@ -254,11 +275,22 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     source = encoded.select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = PrefixEncoder.shared(path)
+        decoder = Decoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                texts = [decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in piece.column(1)]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                yield _decoded(batch.slice(at, 256), decoder)
+
+    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """`encode` and `decode` in one pass over the texts: doc_id, ids and the text that the ids decode to."""
+    path = path or tokenizer_path()
+    source = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = PrefixEncoder.shared(path), Decoder(path)
+        for piece in in_pieces(batches):
+            yield _decoded(_encoded(piece, encoder), decoder)
 
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>, text string")

@@ -76,7 +76,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(whole_table(spark, sf_dir, "documents")))
+    coded = bpe.round_trip(whole_table(spark, sf_dir, "documents"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                         F.sha2("text", 256).alias("decoded_sha256"))

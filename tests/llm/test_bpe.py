@@ -18,6 +18,7 @@ def library():
 
 
 ENCODER = bpe.PrefixEncoder(tokenizer_path(), cache_bytes=200_000)
+DECODER = bpe.Decoder(tokenizer_path())
 
 
 def test_automaton_knows_all_words_that_end_at_a_place():
@@ -69,7 +70,7 @@ def test_any_text_as_the_library(texts):
         for t, ids in zip(texts, ENCODER.encode(texts)):
             want = full.encode(t, add_special_tokens=False).ids
             assert ids.tolist() == want
-            assert ENCODER.decode(ids) == full.decode(want, skip_special_tokens=False)
+            assert DECODER.decode(ids) == full.decode(want, skip_special_tokens=False)
 
 
 def test_unbroken_text_takes_time_in_proportion():
@@ -115,7 +116,8 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id, r.ids, r.text) for r in bpe.decode(coded).collect()), key=repr)
     ids = [(d, full.encode(t or "", add_special_tokens=False).ids) for d, t, _ in rows]
     assert got == sorted(((d, i, full.decode(i, skip_special_tokens=False)) for d, i in ids), key=repr)
-    assert bpe.decode(bpe.encode(docs.limit(0))).count() == 0
+    assert sorted(((r.doc_id, r.ids, r.text) for r in bpe.round_trip(docs).collect()), key=repr) == got
+    assert bpe.decode(bpe.encode(docs.limit(0))).count() == bpe.round_trip(docs.limit(0)).count() == 0
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert bpe.decode(nothing).first().text == ""
-    assert ENCODER.decode(np.array([49407, 60000])) == "<|endoftext|>"
+    assert DECODER.decode(np.array([49407, 60000])) == "<|endoftext|>"
