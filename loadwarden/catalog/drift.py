@@ -9,6 +9,7 @@ from loadwarden.catalog.given import EDGES, NODES, ORDERS, OWNERS, PROJECT, Give
 from loadwarden.catalog.registry import query
 from loadwarden.catalog.sql import BRONZE, DETECT, values
 from loadwarden.operators import lineage, rename, routing, semantic
+from loadwarden.operators.gate import gate_latest
 from loadwarden.operators.schema_diff import diff_summary, schema_diff
 from loadwarden.plans.detect import decide
 from loadwarden.plans.scan import Lineage, WatchedTable, bootstrap, scan
@@ -30,7 +31,7 @@ def _baseline(g: Given):
 # ------------------------------------------------------------------ schemas
 
 _SUMMARY = values([
-    ("L2001.additive", "DISCOUNT_CODE", "", "", 6), ("L2001.breaking", "IS_ACTIVE", "STATUS", "", 5),
+    ("L2001.additive", "ORDER_MONTH", "", "", 6), ("L2001.breaking", "SETTLED", "STATUS", "", 5),
     ("L2001.clean", "", "", "", 6), ("L2001.codes", "", "", "", 6), ("L2001.rename", "CUSTOMER_KEY", "CUST_ID", "", 5),
     ("L2001.replaced", "ACCOUNT_NO,CHANNEL_CODE", "CHANNEL,CUST_ID", "", 4), ("L2001.semantic", "", "", "", 6),
     ("L2001.widening", "", "", "AMOUNT:NUMBER(12,2)→NUMBER(18,2)", 5)])
@@ -241,14 +242,37 @@ def route_decisions(g: Given):
 
 @query("scan_decisions", f"WITH {DETECT}, {_GRAPH}, {_ROUTES} SELECT * EXCLUDE (classes, n_events) FROM decisions")
 def scan_decisions(g: Given):
-    """The production scan, sketches and all, over a fresh control folder: the past loads become the baseline, then every variant is decided."""
+    """The production scan, sketches and all, over a fresh control folder: the past loads become the baseline, then every variant is decided. The variants are
+    alternatives of one load, so none becomes the baseline of another."""
     control = ControlPlane(g.spark, scratch_path(g.spark, "scan-control"))
     bootstrap(control, [WatchedTable(ORDERS, "order_id", [g.baseline])], datetime(2002, 1, 1))
     now = WatchedTable(ORDERS, "order_id", [g.baseline, *g.variants.values()])
-    decisions = scan(control, [now], Lineage(g.column_map, *g.lineage, PROJECT), g.policy, datetime(2002, 1, 2))
+    decisions = scan(control, [now], Lineage(g.column_map, *g.lineage, PROJECT), g.policy, datetime(2002, 1, 2), rolling=False)
     return decisions.drop("table_fqn", "staging_models", "downstream_models", "exposures", "event_ids", "classes")
 
 
+_LOADS = """loads AS (SELECT DISTINCT _load_id AS load_id FROM bronze),
+judged AS (SELECT load_id, load_id = 'L1999' AS bad FROM loads WHERE load_id > 'L1997')"""
+
+
+@query("rolling_scan", f"""WITH {BRONZE}, {_LOADS},
+pairs AS (
+  SELECT j.load_id, j.bad, b.load_id AS base_load_id FROM judged j JOIN loads b ON b.load_id < j.load_id AND b.load_id <> 'L1999'
+  QUALIFY row_number() OVER (PARTITION BY j.load_id ORDER BY b.load_id DESC) <= 7)
+SELECT load_id, CASE WHEN bad THEN 'semantic' ELSE 'no_drift' END AS top_class, CASE WHEN bad THEN 'QUARANTINED' ELSE 'PASSED' END AS status,
+       string_agg(base_load_id, ',' ORDER BY base_load_id) AS compared_with FROM pairs GROUP BY load_id, bad""")
+def rolling_scan(g: Given):
+    """Four loads that arrive together, the second of them in another unit: each is compared with the loads that pass before it, also with
+    those of the same scan, and never with the one that does not pass."""
+    control = ControlPlane(g.spark, scratch_path(g.spark, "rolling-control"))
+    rows = g.orders.withColumn("amount", F.when(F.col("_load_id") == "L1999", F.round(F.col("amount") / 84, 2)).otherwise(F.col("amount")).cast("decimal(12,2)"))
+    bootstrap(control, [WatchedTable(ORDERS, "order_id", [rows.where(F.col("_load_id") <= "L1997")])], datetime(2002, 1, 1))
+    decisions = scan(control, [WatchedTable(ORDERS, "order_id", [rows])], Lineage(g.column_map, *g.lineage, PROJECT), g.policy, datetime(2002, 1, 2))
+    status = gate_latest(control.read("gate_log")).select("load_id", "status")
+    compared = control.read("comparisons").groupBy("load_id").agg(F.array_join(F.array_sort(F.collect_list("base_load_id")), ",").alias("compared_with"))
+    return decisions.select("load_id", "top_class").join(status, "load_id").join(compared, "load_id")
+
+
 @query("adoption_gate", f"""WITH {DETECT}, {_GRAPH}, {_ROUTES},
 modes(mode) AS (VALUES ('observe'), ('advise'), ('protect')),
 asked AS (SELECT *, CASE gate WHEN 'PASS' THEN 'PASSED' WHEN 'HOLD' THEN 'PENDING' ELSE 'QUARANTINED' END AS would FROM decisions, modes)

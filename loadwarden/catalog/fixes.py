@@ -47,10 +47,10 @@ def remap_staging(g: Given):
 
 _PAIRS = """old_ranked AS (SELECT column_name, v, row_number() OVER (PARTITION BY column_name ORDER BY share DESC, v) AS rank
                 FROM base_shares WHERE _load_id = 'L2000'),
-flags AS (SELECT CASE WHEN status = 'A' THEN 'true' ELSE 'false' END AS v, count(*) AS n FROM new GROUP BY 1),
+flags AS (SELECT CASE WHEN status = 'C' THEN 'true' ELSE 'false' END AS v, count(*) AS n FROM new GROUP BY 1),
 codes AS (SELECT substr(channel, 1, 1) AS v, count(*) AS n FROM new GROUP BY 1),
 pairs AS (
-  SELECT 'L2001.breaking' AS load_id, 'STATUS' AS column_before, 'IS_ACTIVE' AS column_after, o.rank, n.v AS new_value, o.v AS old_value
+  SELECT 'L2001.breaking' AS load_id, 'STATUS' AS column_before, 'SETTLED' AS column_after, o.rank, n.v AS new_value, o.v AS old_value
   FROM old_ranked o JOIN (SELECT v, row_number() OVER (ORDER BY n DESC, v) AS rank FROM flags) n USING (rank)
   WHERE o.column_name = 'STATUS'
   UNION ALL SELECT 'L2001.replaced', 'CHANNEL', 'CHANNEL_CODE', o.rank, n.v, o.v
@@ -70,7 +70,7 @@ def recode_pairs(g: Given):
 
 @query("recode_apply", f"""WITH {DETECT}, {_PAIRS}
 SELECT order_id, p.old_value AS status FROM new
-JOIN pairs p ON p.load_id = 'L2001.breaking' AND p.new_value = CASE WHEN status = 'A' THEN 'true' ELSE 'false' END""")
+JOIN pairs p ON p.load_id = 'L2001.breaking' AND p.new_value = CASE WHEN status = 'C' THEN 'true' ELSE 'false' END""")
 def recode_apply(g: Given):
     """The load that lost its status, with the status derived from its replacement by the proposed recoding."""
     load = "L2001.breaking"

@@ -112,10 +112,9 @@ class Given:
     def variants(self) -> dict[str, DataFrame]:
         """The new load as it came, and as it would have come with each kind of drift."""
         new = self.new_load
-        code = F.when(F.col("amount") >= 300000, "NEWUSER").when(F.col("amount") >= 150000, "FESTIVE15")
         made = {
-            "additive": bronze.with_added_column(new, "discount_code", code),
-            "breaking": bronze.with_replaced_column(new, "status", "is_active", F.col("status") == "A"),
+            "additive": bronze.with_added_column(new, "order_month", F.date_format("order_ts", "yyyy-MM")),
+            "breaking": bronze.with_replaced_column(new, "status", "settled", F.col("status") == "C"),
             "clean": new,
             "codes": bronze.with_swapped_codes(new, "status", "A", "C"),
             "rename": bronze.with_renamed_column(new, "cust_id", "customer_key"),

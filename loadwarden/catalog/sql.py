@@ -104,7 +104,7 @@ ratio AS (SELECT c, least(n_new, n_old) / greatest(n_new, n_old) AS r FROM conta
 fingerprint AS (SELECT round(c, 4) AS c, round(r, 4) AS r, round(0.6 * c + 0.2 + 0.2 * r, 4) AS score,
                        round(0.2 + 0.2 * r, 4) AS no_overlap FROM ratio),
 rejected AS (
-  SELECT 'L2001.breaking' AS load_id, 'STATUS' AS column_before, 'IS_ACTIVE' AS column_after,
+  SELECT 'L2001.breaking' AS load_id, 'STATUS' AS column_before, 'SETTLED' AS column_after,
          'type family VARCHAR vs BOOLEAN' AS reason
   UNION ALL SELECT 'L2001.replaced', 'CUST_ID', 'ACCOUNT_NO', 'score ' || no_overlap || ' < 0.9' FROM fingerprint
   UNION ALL SELECT 'L2001.replaced', 'CUST_ID', 'CHANNEL_CODE', 'type family NUMBER(19,0) vs VARCHAR'
@@ -117,9 +117,9 @@ restated AS (
         FROM new n JOIN (SELECT order_id, amount FROM base QUALIFY row_number() OVER (
                PARTITION BY order_id ORDER BY _loaded_at DESC, _load_id DESC) = 1) o USING (order_id), kinds) GROUP BY 1),
 found AS (
-  {values([("L2001.additive", "additive", "column_added", None, "DISCOUNT_CODE", None, "VARCHAR", 1.0),
+  {values([("L2001.additive", "additive", "column_added", None, "ORDER_MONTH", None, "VARCHAR", 1.0),
            ("L2001.breaking", "breaking", "column_dropped", "STATUS", None, "VARCHAR", None, 1.0),
-           ("L2001.breaking", "additive", "column_added", None, "IS_ACTIVE", None, "BOOLEAN", 1.0),
+           ("L2001.breaking", "additive", "column_added", None, "SETTLED", None, "BOOLEAN", 1.0),
            ("L2001.replaced", "breaking", "column_dropped", "CUST_ID", None, "NUMBER(19,0)", None, 1.0),
            ("L2001.replaced", "breaking", "column_dropped", "CHANNEL", None, "VARCHAR", None, 1.0),
            ("L2001.replaced", "additive", "column_added", None, "ACCOUNT_NO", None, "NUMBER(19,0)", 1.0),

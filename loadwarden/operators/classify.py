@@ -98,6 +98,18 @@ def classify(diff: DataFrame, scored: DataFrame, profiles: DataFrame, baseline_l
     return events.select(ident.alias("event_id"), *FIELDS, F.struct(*EVIDENCE).alias("evidence"))
 
 
+def with_restatement(events: DataFrame, restated: DataFrame) -> DataFrame:
+    """The events with restatement evidence put in where there is some, and the confidence that follows from it."""
+    check = F.struct("matched_rows", "ratio_median", "ratio_cv")
+    found = restated.select(*KEYS, F.col("column_name").alias("column_before"), check.alias("_check"), F.lit("numeric_scale_shift").alias("_kind"))
+    joined = events.withColumn("_kind", F.col("evidence.check")).join(found, [*KEYS, "column_before", "_kind"], "left")
+    surer = semantic_confidence(F.lit(False), F.col("subtype"), F.col("evidence.hypothesis").isNotNull(), F.col("_check.matched_rows"), F.col("_check.ratio_cv"))
+    has = F.col("_check").isNotNull()
+    return joined.withColumns({"confidence": F.when(has, surer).otherwise(F.col("confidence")),
+                               "evidence": F.when(has, F.col("evidence").withField("restatement_check", F.col("_check"))).otherwise(F.col("evidence"))}
+                              ).select(*events.columns)
+
+
 def event_order() -> list:
     """The stable order of events inside a load."""
     return [F.col("drift_class"), F.coalesce("column_before", F.lit("")), F.coalesce("column_after", F.lit(""))]

@@ -135,6 +135,33 @@ def last_passed_snapshot(snapshots: DataFrame, gate: DataFrame, candidates: Data
             .select(*KEYS, F.coalesce("_passed", "_earlier").alias("before_id")))
 
 
+def rolling_baseline(gate: DataFrame, ranked: DataFrame, n: int = 7) -> DataFrame:
+    """For each load of `ranked` (table_fqn, load_id, rank: its place among the new loads of its table): the last n loads it is to be compared with, newest
+    first, out of the PASSED ones and the new loads before it, as if those had passed.
+
+    A load meets n passed and n new loads at most, so the ranking stays as small as the list of loads.
+    """
+    newest = Window.partitionBy("table_fqn").orderBy(F.desc("load_id"))
+    passed = (passed_loads(gate).join(ranked.select(*KEYS), KEYS, "left_anti").withColumn("_newest", F.row_number().over(newest))
+              .where(F.col("_newest") <= n).select("table_fqn", F.col("load_id").alias("base_load_id")))
+    before = ranked.select(*KEYS, F.explode(F.sequence(F.greatest(F.lit(1), F.col("rank") - n), F.col("rank"))).alias("rank")).join(
+        ranked.select("table_fqn", F.col("load_id").alias("base_load_id"), "rank"), ["table_fqn", "rank"]).where("base_load_id <> load_id")
+    pool = ranked.select(*KEYS).join(passed, "table_fqn").unionByName(before.select(*KEYS, "base_load_id"))
+    order = Window.partitionBy(*KEYS).orderBy(F.desc("base_load_id"))
+    return pool.withColumn("base_rank", F.row_number().over(order)).where(F.col("base_rank") <= n)
+
+
+def rolling_snapshot(snapshots: DataFrame, gate: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The snapshot each load of `ranked` is compared with when the new loads before it are taken as passed: the newest of those and of the PASSED ones, or, where
+    there is none, the newest one before the load itself."""
+    as_before = last_passed_snapshot(snapshots, gate, ranked)
+    previous = ranked.select("table_fqn", F.col("load_id").alias("_previous"), (F.col("rank") + 1).alias("rank"))
+    passed = passed_loads(gate).join(ranked.select(*KEYS), KEYS, "left_anti").join(
+        snapshots.select("table_fqn", F.col("snapshot_id").alias("load_id")).distinct(), KEYS, "left_semi").groupBy("table_fqn").agg(F.max("load_id").alias("_passed"))
+    return (ranked.join(previous, ["table_fqn", "rank"], "left").join(passed, "table_fqn", "left").join(as_before, KEYS)
+            .select(*KEYS, F.coalesce(F.greatest("_previous", "_passed"), "before_id").alias("before_id")))
+
+
 def gate_listing(gate: DataFrame, limit: int = 200) -> DataFrame:
     """Newest loads of each table first; the limit is the page size of the listing."""
     return gate.orderBy("table_fqn", F.desc("load_id")).limit(limit)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from loadwarden.operators.classify import classify
-from loadwarden.operators.gate import baseline_loads, last_passed_snapshot
+from loadwarden.operators.gate import baseline_loads, last_passed_snapshot, rolling_baseline, rolling_snapshot
 from loadwarden.operators.lineage import blast_radius
 from loadwarden.operators.rename import exact_containment, scored_pairs
 from loadwarden.operators.routing import route
@@ -39,10 +39,15 @@ class Detection:
 def structure(candidates: DataFrame, gate: DataFrame, snapshots: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
     """(baseline loads, schema differences) of the candidates: schema rows only, no data is read.
 
-    Both are small and read by every later step, so each is written once instead of being planned in every branch.
+    Candidates with a `rank` are taken in that order, each as if those of its table before it had passed; without one, none becomes the baseline
+    of another. Both results are small and read by every later step, so each is written once instead of being planned in every branch.
     """
-    baseline = baseline_loads(gate, candidates, policy.thresholds["semantic_baseline_loads"])
-    diff = schema_diff(snapshots, last_passed_snapshot(snapshots, gate, candidates))
+    n = policy.thresholds["semantic_baseline_loads"]
+    if "rank" in candidates.columns:
+        baseline, before = rolling_baseline(gate, candidates, n), rolling_snapshot(snapshots, gate, candidates)
+    else:
+        baseline, before = baseline_loads(gate, candidates, n), last_passed_snapshot(snapshots, gate, candidates)
+    diff = schema_diff(snapshots, before)
     return write_through(baseline, "baselines"), write_through(diff, "schema-diff")
 
 

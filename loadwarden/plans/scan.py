@@ -5,10 +5,10 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadwarden.operators.classify import FIELDS
+from loadwarden.operators.classify import FIELDS, with_restatement
 from loadwarden.operators.gate import GATE_LOG_SCHEMA, gate_latest, new_loads, passed_loads, request_order, require_legal
 from loadwarden.operators.incidents import incident_entries
 from loadwarden.operators.profile import long_values, sketch_profile, value_counts
@@ -27,6 +27,8 @@ from loadwarden.sources.control import ControlPlane, preserve_evidence
 WATCH = "watch"
 #: Rename scores this close to the threshold are settled by exact counts: three standard errors of a containment from sketches, as weighted.
 NEAR = 0.03
+KEYS = ["table_fqn", "load_id"]
+RESCALED = "subtype IN ('unit_change', 'scale_shift')"
 
 
 @dataclass
@@ -70,10 +72,12 @@ def _requests(spark, rows: DataFrame, at: datetime, step: int) -> DataFrame:
     return numbered.withColumns(missing).select(*[F.col(f.name).cast(f.dataType) for f in typed.schema.fields])
 
 
-def _discover(control: ControlPlane, tables: list[WatchedTable]) -> DataFrame:
+def _discover(control: ControlPlane, tables: list[WatchedTable], only: DataFrame | None = None) -> DataFrame:
     """New loads of all tables, and those an interrupted scan has left undecided, with the part that holds them."""
     present = _union([p.select(F.lit(t.table).alias("table_fqn"), F.col("_load_id").alias("load_id")).distinct().withColumn("part", F.lit(i))
                       for t in tables for i, p in enumerate(t.parts)])
+    if only is not None:
+        present = present.join(only.select(*KEYS), KEYS, "left_semi")
     gate = gate_latest(control.read("gate_log"))
     decided = gate.where((F.col("status") != "PENDING") | (F.col("decided_by") != WATCH))
     fresh = write_through(new_loads(present, decided), "fresh-loads")
@@ -140,39 +144,65 @@ def bootstrap(control: ControlPlane, tables: list[WatchedTable], at: datetime) -
 
 
 def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, policy: Policy, at: datetime,
-         mode: str = "protect") -> DataFrame:
-    """Snapshot, hold, profile, classify, route and gate every new load; returns the decisions.
+         mode: str = "protect", only: DataFrame | None = None, rolling: bool = True) -> DataFrame:
+    """Snapshot, hold, profile, classify, route and gate every new load; returns the decisions. `only` (table_fqn, load_id) leaves other new loads for later.
+
+    Loads that arrive together are decided as if they had come one by one: a load that passes joins the baseline of the next. For that, every load is first judged as
+    if the new ones before it passed. That holds up to the first load of a table that does not pass, so these decisions are final, and the loads behind it are judged
+    again in the next round. There are as many rounds as loads that do not pass, whatever the number of loads, and a round works on the stored schemas and sketches
+    of all tables at once. With `rolling` off every load is compared with the baseline from before the scan, for loads that are alternatives of one another.
 
     Running it again is a no-op for decided loads. A scan that was interrupted is taken up again: snapshots and
     profiles are replaced, events, incidents and trace rows are inserted once.
     """
-    spark = control.spark
-    fresh = _discover(control, tables)
+    fresh = _discover(control, tables, only)
     parts = _parts_in(fresh)
-    candidates = fresh.select("table_fqn", "load_id")
+    left = fresh.select("table_fqn", "load_id").distinct()
     if not parts:
-        return candidates
+        return left
     _observe(control, tables, fresh, parts)
     held = fresh.select("table_fqn", "load_id", "row_count", F.lit("PENDING").alias("status"), F.lit(WATCH).alias("decided_by"))
-    control.append("gate_log", _requests(spark, held, at, 0))
-    gate = gate_latest(control.read("gate_log"))
+    control.append("gate_log", _requests(control.spark, held, at, 0))
+    arrival = Window.partitionBy("table_fqn").orderBy("load_id")
+    decided = []
+    while True:
+        ranked = write_through(left.withColumn("rank", F.row_number().over(arrival)), "ranked-loads") if rolling else left
+        decided.append(_round(control, tables, lineage, policy, at, mode, ranked))
+        left = left.join(decided[-1].select("table_fqn", "load_id"), ["table_fqn", "load_id"], "left_anti")
+        if not rolling or left.isEmpty():
+            return _union(decided)
+
+
+def _round(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, policy: Policy, at: datetime, mode: str, candidates: DataFrame) -> DataFrame:
+    """Decides the candidates whose decision is final in this round (all of them without a `rank`) and writes what was found; returns their decisions."""
+    spark = control.spark
+    gate = write_through(gate_latest(control.read("gate_log")), "gate")
     known = structure(candidates, gate, control.read("schema_snapshots"), policy)
     base = known[0].select("table_fqn", F.col("base_load_id").alias("load_id")).distinct()
-    profiles = write_through(control.profiles(base.union(candidates)), "profiles")
+    profiles = write_through(control.profiles(base.union(candidates.select("table_fqn", "load_id"))), "profiles")
     inputs = Inputs(candidates, gate, control.read("schema_snapshots"), profiles,
-                    containment=_containment(tables, fresh, known, profiles, policy),
+                    containment=_containment(tables, candidates, known, profiles, policy),
                     key_columns=spark.createDataFrame([(t.table, t.key) for t in tables if t.key],
                                                       "table_fqn string, key_column string"))
     found = detect(inputs, policy, known)
-    restated = _restated(tables, fresh, gate, found)
-    if restated is not None:
-        inputs.restated = restated
-        found = detect(inputs, policy, known)
     events = write_through(found.events, "events")
     decisions, _ = decide(candidates, events, lineage.column_map, lineage.nodes, lineage.edges, lineage.project, policy)
     decisions = write_through(decisions, "decisions")
-    _keep_evidence(control, tables, decisions, known[0])
     asked = gate_requests(decisions, mode)
+    earlier = passed_loads(gate)
+    if "rank" in candidates.columns:
+        # a rescaled column ends a round too, as its evidence is taken from the rows accepted before it
+        ends = asked.where(F.col("status") != "PASSED").select(*KEYS).union(events.where(RESCALED).select(*KEYS)).distinct()
+        stop = candidates.join(ends, KEYS).groupBy("table_fqn").agg(F.min("rank").alias("stop"))
+        final = write_through(candidates.join(stop, "table_fqn", "left").where("stop IS NULL OR rank <= stop").select(*KEYS, "stop", "rank"), "final-loads")
+        decisions, events, asked = (write_through(df.join(final.select(*KEYS), KEYS, "left_semi").select(*df.columns), "final") for df in (decisions, events, asked))
+        earlier = earlier.union(final.where("stop IS NULL OR rank < stop").select(*KEYS)).distinct()
+    restated = _restated(tables, events, earlier)
+    if restated is not None:
+        events = write_through(with_restatement(events, restated), "events")
+    judged = decisions.select(*KEYS)
+    control.insert_absent("comparisons", known[0].join(judged, KEYS, "left_semi"), [*KEYS, "base_load_id"])
+    _keep_evidence(control, tables, decisions, known[0])
     incident = F.when(F.col("decided_by").endswith(":clean"), F.lit(None)).otherwise(F.col("incident_id"))
     rows = asked.withColumn("incident_id", incident)
     requests = write_through(require_legal(control.read("gate_log"), _requests(spark, rows, at, 1)), "requests")
@@ -203,19 +233,18 @@ def _keep_evidence(control: ControlPlane, tables: list[WatchedTable], decisions:
             preserve_evidence(rows, r["table_fqn"], r["incident_id"], f"{control.root}/evidence", part=i)
 
 
-def _restated(tables: list[WatchedTable], fresh: DataFrame, gate: DataFrame, found) -> DataFrame | None:
-    """Restatement evidence for numeric columns that look rescaled, one join per (table, column)."""
-    suspects = (found.events.where(F.col("subtype").isin("unit_change", "scale_shift"))
-                .select("table_fqn", "column_before").distinct().collect())
+def _restated(tables: list[WatchedTable], events: DataFrame, earlier: DataFrame) -> DataFrame | None:
+    """Restatement evidence for the rescaled columns of `events`, from the rows of the loads in `earlier`: one join per (table, column), over the loads concerned."""
+    suspects = write_through(events.where(RESCALED).select(*KEYS, "column_before"), "suspects")
     by_name = {t.table: t for t in tables}
     parts = []
-    for table, column in suspects:
+    for table, column in suspects.select("table_fqn", "column_before").distinct().collect():  # names, bounded by the width of the tables
         t = by_name[table]
-        cols = [t.key, column, "_load_id", "_loaded_at"]
         if not t.key:
             continue
+        cols = [t.key, column, "_load_id", "_loaded_at"]
         new, old = ([df.select(*cols) for _, df in t.rows_of(loads) if {c.upper() for c in cols} <= {c.upper() for c in df.columns}]
-                    for loads in (fresh, passed_loads(gate)))
+                    for loads in (suspects.where(F.col("column_before") == column).select(*KEYS), earlier))
         if new and old:
             parts.append(restatement(_union(new), _union(old), t.table, t.key, column))
     return _union(parts) if parts else None

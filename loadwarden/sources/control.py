@@ -21,15 +21,23 @@ TABLES = {
     "incident_log": ("seq bigint, at timestamp_ntz, incident_id string, table_fqn string, load_id string, "
                      "top_class string, severity string, route string, blast_radius string, decision string, "
                      "status string", []),
+    "comparisons": ("table_fqn string, load_id string, base_load_id string, base_rank int", []),
     "approvals": ("incident_id string, approved boolean, approved_by string, approved_at timestamp_ntz", []),
+    "publications": ("release_id string, model string, version string, path string, row_count bigint, published_at timestamp_ntz", []),
+    "release_results": ("release_id string, model string, version string, level int, row_count bigint, failures bigint, published boolean", []),
     "decision_trace": ("surface string, incident_id string, step int, decision string, choice string, "
                        "reasoning string, alternatives array<string>, confidence string", ["surface"]),
 }
 # Tables a reset empties.
-RESET_TABLES = ("schema_snapshots", "column_profiles", "gate_log", "drift_events", "incident_log")
+RESET_TABLES = ("schema_snapshots", "column_profiles", "gate_log", "drift_events", "incident_log", "comparisons")
 SURFACES = ("operational", "cognitive", "contextual")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class ControlPlane:
     """Paths and write modes of the control tables below one shared folder."""
 
@@ -42,9 +50,7 @@ class ControlPlane:
     def read(self, table: str) -> DataFrame:
         schema, _ = TABLES[table]
         empty = self.spark.createDataFrame([], schema)
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
+        if not exists(self.spark, self.path(table)):
             return empty
         return self.spark.read.schema(empty.schema).parquet(self.path(table)).select(*empty.columns)
 
@@ -93,5 +99,7 @@ def preserve_evidence(load_rows: DataFrame, table: str, incident_id: str, folder
     written. A copy that exists is kept. Returns the folder of the incident's copy."""
     path = f"{folder.rstrip('/')}/{table.split('.')[-1].upper()}_PRE_{incident_id.replace('-', '_')}"
     rows = load_rows if before is None else load_rows.where(F.col("_loaded_at") <= F.lit(before))
-    rows.write.mode("ignore").parquet(f"{path}/part={part}")
+    # a folder without the success marker is what a killed write has left
+    if not exists(load_rows.sparkSession, f"{path}/part={part}/_SUCCESS"):
+        rows.write.mode("overwrite").parquet(f"{path}/part={part}")
     return path

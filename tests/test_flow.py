@@ -54,7 +54,7 @@ def test_loop(spark, bronze_dir, tmp_path):
     drifted = bronze.with_scaled_column(loads[new_id].unionByName(resent), "amount", 84.0)
     path = str(tmp_path / "drifted")
     drifted.write.parquet(path)
-    lost = bronze.with_replaced_column(loads[new_id], "status", "is_active", F.col("status") == "A").withColumn("_load_id", F.lit("D20310310"))
+    lost = bronze.with_replaced_column(loads[new_id], "channel", "phone_minutes", F.rand(9) * 30).withColumn("_load_id", F.lit("D20310310"))
     now = WatchedTable(TABLE, "order_id", [*known.parts, bronze.read_load(spark, path), lost])
     decisions = {r.load_id: r for r in scan(control, [now], lineage, Policy(), datetime(2031, 3, 10, 8)).collect()}
     assert decisions[new_id].top_class == "semantic" and decisions["D20310310"].top_class == "breaking"
@@ -67,7 +67,7 @@ def test_loop(spark, bronze_dir, tmp_path):
     # the breaking load has a copy of the last accepted load beside it
     copies = str(tmp_path / "control" / "evidence" / f"ORDERS_PRE_{decisions['D20310310'].incident_id.replace('-', '_')}")
     copy = spark.read.option("mergeSchema", True).parquet(copies)
-    assert copy.count() == 600 and "status" in copy.columns
+    assert copy.count() == 600 and "channel" in copy.columns
     # nothing new: a second scan decides nothing and writes nothing
     assert scan(control, [now], lineage, Policy(), datetime(2031, 3, 10, 9)).count() == 0
     assert control.read("drift_events").count() == len(events)
@@ -77,7 +77,7 @@ def test_loop(spark, bronze_dir, tmp_path):
     assert {r.incident_id for r in replay.collect()} == {d.incident_id for d in decisions.values()}
     assert control.read("decision_trace").where(F.col("incident_id") == inc[new_id].incident_id).count() == 6
     assert [e.event_id for e in control.events_of(inc[new_id].incident_id).collect()] == [unit.event_id]
-    assert [c.column_name for c in control.snapshot(TABLE, "D20310310").collect()][-1] == "IS_ACTIVE"
+    assert [c.column_name for c in control.snapshot(TABLE, "D20310310").collect()][-1] == "PHONE_MINUTES"
 
     def build(log):
         rows = bronze.read_load(spark, path)
