@@ -3,12 +3,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadwarden.catalog.given import Given
+from datetime import datetime
+
+from loadwarden.catalog.given import ORDERS, PROJECT, Given
 from loadwarden.catalog.registry import query
+from loadwarden.catalog.sql import BRONZE
 from loadwarden.functions.stats import psi_term
 from loadwarden.operators.gate import gate_latest
+from loadwarden.plans.scan import Lineage, WatchedTable, bootstrap
 from loadwarden.session import scratch_path
 from loadwarden.sources.control import ControlPlane
+from loadwarden.streaming.closing import scan_closed
+from loadwarden.streaming.drift import numeric_drift, window_sketches, with_ring
 from loadwarden.streaming.watch import arrived_loads, file_stream, latest_versions, window_counts, write_windows
 
 
@@ -90,3 +96,77 @@ def stream_scan(g: Given):
                                                 F.lit("PENDING").alias("status"), F.lit(None).alias("incident_id"), F.lit("watch").alias("decided_by"),
                                                 F.lit(False).alias("approved")))
     return gate_latest(control.read("gate_log")).select("table_fqn", "load_id", "row_count", "status")
+
+
+@query("stream_decisions", f"""WITH {BRONZE}
+SELECT _load_id AS load_id, count(*) AS row_count, CASE WHEN _load_id = 'L2000' THEN 'QUARANTINED' WHEN _load_id = 'L2001' THEN 'not closed' ELSE 'PASSED' END AS status,
+       CASE WHEN _load_id = 'L2000' THEN 'unit_change' END AS subtype
+FROM bronze WHERE _load_id >= 'L1999' GROUP BY 1""")
+def stream_decisions(g: Given):
+    """Three loads that come in pieces over several micro-batches, with a restart in between: each is scanned when its timer has run out, against the loads that
+    passed before it. One comes in another unit; the last stays open, as nothing later has come."""
+    root = scratch_path(g.spark, "stream-decisions")
+    control = ControlPlane(g.spark, f"{root}/control")
+    amount = F.when(F.col("_load_id") == "L2000", F.round(F.col("amount") / 84, 2)).otherwise(F.col("amount")).cast("decimal(12,2)")
+    rows = g.orders.withColumn("amount", amount)
+    rows.where(F.col("_load_id") < "L1999").write.parquet(f"{root}/bronze")
+    schema = g.spark.read.parquet(f"{root}/bronze").schema
+
+    def watched():
+        return WatchedTable(ORDERS, "order_id", [g.spark.read.schema(schema).parquet(f"{root}/bronze")])
+
+    bootstrap(control, [watched()], datetime(2002, 1, 1))
+    late = F.pmod(F.xxhash64("order_id"), F.lit(2)) == 1
+    pieces = [[("L1999", None)], [("L2000", False)], [("L2000", True), ("L2001", None)]]
+    for run in (pieces[:2], pieces[2:]):
+        for piece in run:
+            for load, half in piece:
+                some = rows.where(F.col("_load_id") == load)
+                (some if half is None else some.where(late == half)).coalesce(1).write.mode("append").parquet(f"{root}/bronze")
+        stream = file_stream(g.spark, f"{root}/bronze", schema, max_files=4)
+        scan_closed(g.spark, stream, F.col("_load_id"), "_loaded_at", watched(), control, Lineage(g.column_map, *g.lineage, PROJECT), g.policy, root,
+                    datetime(2002, 1, 2), "30 days", "1 day")
+    sizes = watched().parts[0].groupBy(F.col("_load_id").alias("load_id")).agg(F.count(F.lit(1)).alias("row_count")).where("load_id >= 'L1999'")
+    gate = gate_latest(control.read("gate_log")).select("load_id", "status", F.col("row_count").alias("_scanned"))
+    events = control.read("drift_events").select("load_id", "subtype")
+    # where the scan has decided a load, it saw all of its rows
+    return sizes.join(gate, "load_id", "left").join(events, "load_id", "left").select(
+        "load_id", F.coalesce("_scanned", "row_count").alias("row_count"), F.coalesce("status", F.lit("not closed")).alias("status"), "subtype")
+
+
+_MOVED = "event_type = 'purchase' AND date_trunc('day', ts) = TIMESTAMP '2024-01-12'"
+
+
+@query("stream_numeric_drift", f"""WITH moved AS (SELECT event_type, date_trunc('day', ts) AS day, value * CASE WHEN {_MOVED} THEN 100 ELSE 1 END AS v FROM events),
+windows AS (
+  SELECT day, event_type, count(*) AS n, quantile_disc(v, 0.5) AS med FROM moved
+  WHERE v IS NOT NULL AND day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS pos FROM windows),
+base AS (
+  SELECT a.event_type, a.day, a.n, a.med, count(*) AS k, median(b.med) AS base, list(b.med) AS meds
+  FROM ranked a JOIN ranked b ON b.event_type = a.event_type AND b.pos BETWEEN a.pos - 7 AND a.pos - 1 GROUP BY ALL HAVING count(*) >= 3),
+tested AS (SELECT *, list_median(list_transform(meds, lambda m: abs(m - base))) AS mad FROM base)
+SELECT 'E' || strftime(day, '%Y%m%d') AS load_id, event_type AS "column", n, k AS baseline_windows,
+       greatest(base / med, med / base) >= 3 AND abs(med - base) / (1.4826 * CASE WHEN mad <> 0 THEN mad ELSE abs(base) * 0.01 END) >= 6 AS flagged,
+       true AS median_close, true AS pooled_close
+FROM tested""")
+def stream_numeric_drift(g: Given):
+    """Every closed daily window of each kind of event against the ring of up to seven windows before it; one window comes in another unit. Medians come from
+    sketches: they must lie between the exact values of the ranks 0.5 - 0.04 and 0.5 + 0.04, three times the sketch's guaranteed error."""
+    from pyspark.sql import Window
+
+    moved = F.expr(_MOVED)
+    events = _events(g).withColumn("value", F.when(moved, F.col("value") * 100).otherwise(F.col("value")))
+    root = scratch_path(g.spark, "numeric-drift")
+    rings = with_ring(window_sketches(events, "ts", "event_type", "value", "1 day", "2 hours"))
+    found = numeric_drift(g.spark.read.schema(rings.schema).parquet(write_windows(rings, root)), g.policy.thresholds)
+    exact = g.table("events").withColumn("value", F.when(moved, F.col("value") * 100).otherwise(F.col("value"))).where("value IS NOT NULL").select(
+        F.col("event_type").alias("column"), F.date_trunc("day", "ts").alias("start"), "value")
+    ranked = exact.withColumn("_r", F.percent_rank().over(Window.partitionBy("column", "start").orderBy("value")))
+    bounds = ranked.groupBy("column", "start").agg(F.max(F.when(F.col("_r") <= 0.46, F.col("value"))).alias("low"), F.min(F.when(F.col("_r") >= 0.54, F.col("value"))).alias("high"))
+    spread = bounds.groupBy("column").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    start = F.date_format("start", "yyyyMMdd")
+    return (found.withColumn("start", F.col("start").cast("timestamp_ntz")).join(bounds.withColumn("start", F.col("start").cast("timestamp_ntz")), ["column", "start"])
+            .join(spread, "column").select(
+                F.concat(F.lit("E"), start).alias("load_id"), "column", "n", F.col("baseline_windows").cast("bigint").alias("baseline_windows"), "flagged",
+                F.col("median").between(F.col("low"), F.col("high")).alias("median_close"), F.col("pooled_median").between(F.col("least"), F.col("most")).alias("pooled_close")))

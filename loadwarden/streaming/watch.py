@@ -68,11 +68,6 @@ def arrived_loads(spark: SparkSession, stream: DataFrame, load: Column, at: str,
     return parts.groupBy("load_id").agg(F.sum("rows").alias("row_count"), F.max("last_at").alias("last_at"))
 
 
-def scan_stream(spark: SparkSession, stream: DataFrame, on_loads: Callable[[DataFrame, int], None], root: str) -> StreamingQuery:
-    """Hand each micro-batch of newly arrived bronze rows to the batch scan; its gate table makes replays no-ops."""
-    return run_available(stream, on_loads, f"{root}/checkpoint")
-
-
 def window_counts(events: DataFrame, time: str, category: str, value: str, width: str, delay: str) -> DataFrame:
     """Category counts and value sums per closed window; one window is one load of the stream.
 
@@ -93,19 +88,3 @@ def write_windows(windows: DataFrame, root: str) -> str:
              .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
     return path
-
-
-def window_profiles(counts: DataFrame, table: str, column: str = "CATEGORY") -> DataFrame:
-    """Closed windows in the shape of column profiles: shares per category."""
-    from loadwarden.operators.profile import PROFILE_COLUMNS
-    from pyspark.sql import Window
-
-    total = F.sum("n").over(Window.partitionBy("load_id"))
-    shares = counts.withColumn("share", F.col("n") / total)
-    nothing = F.lit(None).cast("double")
-    agg = shares.groupBy("load_id").agg(
-        F.sum("n").alias("row_count"), F.count("category").alias("distinct_count"),
-        F.map_from_entries(F.filter(F.collect_list(F.struct("category", "share")), lambda x: x["category"].isNotNull())).alias("top_k"))
-    numbers = {c: nothing for c in ("num_mean", "num_median", "num_p05", "num_p95", "num_min", "num_max")}
-    return agg.withColumns({"table_fqn": F.lit(table), "column_name": F.lit(column), "data_type": F.lit("VARCHAR"),
-                            "null_rate": F.lit(0.0), **numbers}).select(*PROFILE_COLUMNS)
