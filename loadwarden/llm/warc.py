@@ -208,3 +208,17 @@ def _digest(body: bytes) -> str:
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes the archives to the shared folder and reads them back."""
     return read(write(pages, new_folder(pages.sparkSession, "warc"), min_bytes))
+
+
+#: The same rows in DuckDB: 20 bits of the digest are five hexadecimal and four base 32 digits.
+SQL = f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+coded AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda k:
+    substr('{BASE32_DIGITS}', ((('0x' || substr(h, CAST(k // 4 AS INTEGER) * 5 + 1, 5))::BIGINT >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM hashed),
+firsts AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM coded)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
