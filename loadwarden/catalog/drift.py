@@ -273,6 +273,26 @@ def rolling_scan(g: Given):
     return decisions.select("load_id", "top_class").join(status, "load_id").join(compared, "load_id")
 
 
+@query("scan_trace", f"""WITH {BRONZE}, sizes AS (SELECT count(DISTINCT _load_id) AS loads, count(*) AS n FROM bronze WHERE _load_id >= 'L2000')
+SELECT 'operational' AS surface, 'list new loads' AS step, CAST(loads AS BIGINT) AS "rows", CAST(NULL AS BIGINT) AS load_rows FROM sizes
+UNION ALL SELECT 'operational', s, loads, n FROM sizes, (VALUES ('count their rows'), ('profile them')) t(s)
+UNION ALL SELECT 'operational', 'round 0: detect', 0, NULL
+UNION ALL SELECT 'operational', s, loads, NULL FROM sizes, (VALUES ('round 0: decide'), ('round 0: conclude')) t(s)
+UNION ALL SELECT 'contextual', s, loads, NULL FROM sizes, (VALUES ('arrival'), ('baseline'), ('thresholds')) t(s)
+UNION ALL SELECT 'cognitive', s, loads, NULL FROM sizes, (VALUES ('schema_diff'), ('top_class'), ('severity'), ('gate'), ('human_approval')) t(s)""")
+def scan_trace(g: Given):
+    """The three surfaces of the trace of a scan of two clean loads: what the run counted in each step, what each decision was made against, and how
+    it was made. The rows that the profiles read are those that were counted before."""
+    control = ControlPlane(g.spark, scratch_path(g.spark, "trace-control"))
+    bootstrap(control, [WatchedTable(ORDERS, "order_id", [g.orders.where(F.col("_load_id") < "L2000")])], datetime(2002, 1, 1))
+    scan(control, [WatchedTable(ORDERS, "order_id", [g.orders])], Lineage(g.column_map, *g.lineage, PROJECT), g.policy, datetime(2002, 1, 2))
+    trace = control.read("decision_trace")
+    counted = F.from_json("reasoning", "rows bigint, load_rows bigint")
+    run = trace.where(F.col("surface") == "operational").select("surface", F.col("decision").alias("step"), counted.alias("c")).select("surface", "step", "c.*")
+    others = trace.where(F.col("surface") != "operational").groupBy("surface", F.col("decision").alias("step")).agg(F.count(F.lit(1)).alias("rows"))
+    return run.unionByName(others.withColumn("load_rows", F.lit(None).cast("bigint")))
+
+
 @query("adoption_gate", f"""WITH {DETECT}, {_GRAPH}, {_ROUTES},
 modes(mode) AS (VALUES ('observe'), ('advise'), ('protect')),
 asked AS (SELECT *, CASE gate WHEN 'PASS' THEN 'PASSED' WHEN 'HOLD' THEN 'PENDING' ELSE 'QUARANTINED' END AS would FROM decisions, modes)

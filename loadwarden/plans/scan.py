@@ -1,11 +1,14 @@
 """Scan and bootstrap: what happens to loads that no gate row knows yet, written to the control plane."""
 from __future__ import annotations
 
+import json
+import time
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loadwarden.operators.classify import FIELDS, with_restatement
@@ -55,6 +58,36 @@ class Lineage:
     project: str
 
 
+class Steps:
+    """What a run did and how long it took: one row per step, with what was counted while its result was written."""
+
+    def __init__(self, at: datetime):
+        self.run_id = f"RUN-{int(at.timestamp() * 1_000_000)}"
+        self.rows: list[tuple[int, str, float, str]] = []
+
+    @contextmanager
+    def __call__(self, name: str):
+        counted: dict[str, int] = {}
+        start = time.perf_counter()
+        yield counted
+        took = time.perf_counter() - start
+        self.rows.append((len(self.rows), name, round(took, 3), json.dumps(counted, sort_keys=True)))
+
+    def trace(self, spark) -> DataFrame:
+        rows = spark.createDataFrame(self.rows, "step int, decision string, seconds double, reasoning string")
+        return rows.select(F.lit("operational").alias("surface"), F.lit(self.run_id).alias("run_id"), F.lit(None).cast("string").alias("incident_id"), "step", "decision",
+                           F.concat(F.col("seconds").cast("string"), F.lit(" s")).alias("choice"), "reasoning",
+                           F.array().cast("array<string>").alias("alternatives"), F.lit("measured").alias("confidence"))
+
+
+def _counting(df: DataFrame, counted: dict, name: str, **sums) -> DataFrame:
+    """Writes `df` and notes rows and sums of it as they pass by, without another pass."""
+    seen = Observation()
+    out = write_through(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()]), name)
+    counted.update({k: v or 0 for k, v in seen.get.items()})
+    return out
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -72,7 +105,7 @@ def _requests(spark, rows: DataFrame, at: datetime, step: int) -> DataFrame:
     return numbered.withColumns(missing).select(*[F.col(f.name).cast(f.dataType) for f in typed.schema.fields])
 
 
-def _discover(control: ControlPlane, tables: list[WatchedTable], only: DataFrame | None = None) -> DataFrame:
+def _discover(control: ControlPlane, tables: list[WatchedTable], steps: Steps, only: DataFrame | None = None) -> DataFrame:
     """New loads of all tables, and those an interrupted scan has left undecided, with the part that holds them."""
     present = _union([p.select(F.lit(t.table).alias("table_fqn"), F.col("_load_id").alias("load_id")).distinct().withColumn("part", F.lit(i))
                       for t in tables for i, p in enumerate(t.parts)])
@@ -80,7 +113,8 @@ def _discover(control: ControlPlane, tables: list[WatchedTable], only: DataFrame
         present = present.join(only.select(*KEYS), KEYS, "left_semi")
     gate = gate_latest(control.read("gate_log"))
     decided = gate.where((F.col("status") != "PENDING") | (F.col("decided_by") != WATCH))
-    fresh = write_through(new_loads(present, decided), "fresh-loads")
+    with steps("list new loads") as n:
+        fresh = _counting(new_loads(present, decided), n, "fresh-loads")
     parts = _parts_in(fresh)
     if not parts:
         return fresh.select("table_fqn", "load_id", F.lit(None).cast("bigint").alias("row_count"),
@@ -88,7 +122,8 @@ def _discover(control: ControlPlane, tables: list[WatchedTable], only: DataFrame
     # rows are counted in the new loads alone: the load id prunes the partitions
     counted = _union([observed_loads(df, t.table).withColumn("part", F.lit(i)) for t in tables for i, df in t.rows_of(fresh)
                       if (t.table, i) in parts])
-    return write_through(counted, "new-loads")
+    with steps("count their rows") as n:
+        return _counting(counted, n, "new-loads", load_rows="row_count")
 
 
 def _parts_in(fresh: DataFrame) -> set[tuple[str, int]]:
@@ -132,7 +167,7 @@ def _containment(tables: list[WatchedTable], fresh: DataFrame, known: tuple[Data
 
 def bootstrap(control: ControlPlane, tables: list[WatchedTable], at: datetime) -> int:
     """First run: every load present becomes the PASSED baseline. Returns the number of loads."""
-    fresh = _discover(control, tables)
+    fresh = _discover(control, tables, Steps(at))
     parts = _parts_in(fresh)
     if not parts:
         return 0
@@ -155,25 +190,33 @@ def scan(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, po
     Running it again is a no-op for decided loads. A scan that was interrupted is taken up again: snapshots and
     profiles are replaced, events, incidents and trace rows are inserted once.
     """
-    fresh = _discover(control, tables, only)
+    steps = Steps(at)
+    fresh = _discover(control, tables, steps, only)
     parts = _parts_in(fresh)
     left = fresh.select("table_fqn", "load_id").distinct()
     if not parts:
         return left
-    _observe(control, tables, fresh, parts)
+    with steps("profile them") as n:
+        _observe(control, tables, fresh, parts)
+        # what the profiles have read, which must be what was counted
+        read = control.profiles(left).groupBy(*KEYS).agg(F.max("row_count").alias("row_count")).agg(F.count(F.lit(1)), F.sum("row_count")).first()
+        n.update(rows=read[0], load_rows=read[1] or 0)
     held = fresh.select("table_fqn", "load_id", "row_count", F.lit("PENDING").alias("status"), F.lit(WATCH).alias("decided_by"))
     control.append("gate_log", _requests(control.spark, held, at, 0))
     arrival = Window.partitionBy("table_fqn").orderBy("load_id")
     decided = []
     while True:
         ranked = write_through(left.withColumn("rank", F.row_number().over(arrival)), "ranked-loads") if rolling else left
-        decided.append(_round(control, tables, lineage, policy, at, mode, ranked))
+        decided.append(_round(control, tables, lineage, policy, at, mode, ranked, steps, len(decided)))
         left = left.join(decided[-1].select("table_fqn", "load_id"), ["table_fqn", "load_id"], "left_anti")
         if not rolling or left.isEmpty():
-            return _union(decided)
+            break
+    control.insert_absent("decision_trace", steps.trace(control.spark), ["surface", "run_id", "step"])
+    return _union(decided)
 
 
-def _round(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, policy: Policy, at: datetime, mode: str, candidates: DataFrame) -> DataFrame:
+def _round(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage, policy: Policy, at: datetime, mode: str, candidates: DataFrame,
+           steps: Steps, number: int) -> DataFrame:
     """Decides the candidates whose decision is final in this round (all of them without a `rank`) and writes what was found; returns their decisions."""
     spark = control.spark
     gate = write_through(gate_latest(control.read("gate_log")), "gate")
@@ -184,10 +227,12 @@ def _round(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage,
                     containment=_containment(tables, candidates, known, profiles, policy),
                     key_columns=spark.createDataFrame([(t.table, t.key) for t in tables if t.key],
                                                       "table_fqn string, key_column string"))
-    found = detect(inputs, policy, known)
-    events = write_through(found.events, "events")
-    decisions, _ = decide(candidates, events, lineage.column_map, lineage.nodes, lineage.edges, lineage.project, policy)
-    decisions = write_through(decisions, "decisions")
+    with steps(f"round {number}: detect") as n:
+        found = detect(inputs, policy, known)
+        events = _counting(found.events, n, "events")
+    with steps(f"round {number}: decide") as n:
+        decisions, _ = decide(candidates, events, lineage.column_map, lineage.nodes, lineage.edges, lineage.project, policy)
+        decisions = _counting(decisions, n, "decisions")
     asked = gate_requests(decisions, mode)
     earlier = passed_loads(gate)
     if "rank" in candidates.columns:
@@ -210,15 +255,33 @@ def _round(control: ControlPlane, tables: list[WatchedTable], lineage: Lineage,
         "event_id", "incident_id", *FIELDS, F.to_json("evidence").alias("evidence"))
     control.insert_absent("drift_events", flat, ["event_id"])
     control.insert_absent("incident_log", incident_entries(decisions, asked, at), ["incident_id", "status"])
+    with steps(f"round {number}: conclude") as n:
+        n["rows"] = judged.count()
     trace = decision_trace(decisions, events, diff_summary(found.diff), policy, found.scored.where(F.col("reason").isNotNull()))
     control.insert_absent("decision_trace", trace.select(
-        F.lit("cognitive").alias("surface"), "incident_id", "step", "decision", "choice", "reasoning",
-        F.array("alternatives").alias("alternatives"), "confidence"), ["incident_id", "step"])
+        F.lit("cognitive").alias("surface"), F.lit(steps.run_id).alias("run_id"), "incident_id", "step", "decision", "choice", "reasoning",
+        F.array("alternatives").alias("alternatives"), "confidence"), ["surface", "incident_id", "step"])
+    control.insert_absent("decision_trace", _context(decisions, known[0], policy, steps.run_id, candidates), ["surface", "incident_id", "step"])
     # last: until its decision is in the gate log, a load counts as undecided and the next scan takes it up again
     control.append("gate_log", requests)
     return decisions
 
 
+def _context(decisions: DataFrame, baseline: DataFrame, policy: Policy, run_id: str, candidates: DataFrame) -> DataFrame:
+    """What each decision was made against: the loads compared with, the place among the loads that came together, and the thresholds in force."""
+    against = baseline.groupBy(*KEYS).agg(F.array_sort(F.collect_list("base_load_id")).alias("_loads"))
+    limits = json.dumps({k: v for k, v in sorted(policy.thresholds.items()) if isinstance(v, int | float)}, sort_keys=True)
+    place = candidates.select(*KEYS, (F.col("rank") if "rank" in candidates.columns else F.lit(1)).alias("_place"))
+    rows = decisions.select(*KEYS, "incident_id").join(against, KEYS, "left").join(place, KEYS)
+    entries = F.inline(F.array(
+        F.struct(F.lit(0).alias("step"), F.lit("baseline").alias("decision"), F.concat(F.coalesce(F.size("_loads"), F.lit(0)).cast("string"), F.lit(" loads")).alias("choice"),
+                 F.coalesce(F.array_join("_loads", ", "), F.lit("")).alias("reasoning")),
+        F.struct(F.lit(1).alias("step"), F.lit("arrival").alias("decision"), F.col("_place").cast("string").alias("choice"), F.lit("place among the loads judged together").alias("reasoning")),
+        F.struct(F.lit(2).alias("step"), F.lit("thresholds").alias("decision"), F.lit("policy").alias("choice"), F.lit(limits).alias("reasoning"))))
+    return rows.select("incident_id", entries).select(F.lit("contextual").alias("surface"), F.lit(run_id).alias("run_id"), "incident_id", "step", "decision", "choice", "reasoning",
+                                                      F.array().cast("array<string>").alias("alternatives"), F.lit("recorded").alias("confidence"))
+
+
 def _keep_evidence(control: ControlPlane, tables: list[WatchedTable], decisions: DataFrame, baseline: DataFrame) -> None:
     """For each breaking incident, a copy of the last PASSED load, which still has what the new load lost.
 

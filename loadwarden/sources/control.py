@@ -25,12 +25,11 @@ TABLES = {
     "approvals": ("incident_id string, approved boolean, approved_by string, approved_at timestamp_ntz", []),
     "publications": ("release_id string, model string, version string, path string, row_count bigint, published_at timestamp_ntz", []),
     "release_results": ("release_id string, model string, version string, level int, row_count bigint, failures bigint, published boolean", []),
-    "decision_trace": ("surface string, incident_id string, step int, decision string, choice string, "
+    "decision_trace": ("surface string, run_id string, incident_id string, step int, decision string, choice string, "
                        "reasoning string, alternatives array<string>, confidence string", ["surface"]),
 }
 # Tables a reset empties.
-RESET_TABLES = ("schema_snapshots", "column_profiles", "gate_log", "drift_events", "incident_log", "comparisons")
-SURFACES = ("operational", "cognitive", "contextual")
+RESET_TABLES = ("schema_snapshots", "column_profiles", "gate_log", "drift_events", "incident_log", "comparisons", "approvals", "decision_trace")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -75,7 +75,7 @@ def test_loop(spark, bronze_dir, tmp_path):
     assert inc[new_id].status == "MITIGATED" and inc[new_id].mitigated_at is not None
     replay = replay_decisions(incident_latest(control.read("incident_log")), "incident_id string, top_class string, event_ids array<string>")
     assert {r.incident_id for r in replay.collect()} == {d.incident_id for d in decisions.values()}
-    assert control.read("decision_trace").where(F.col("incident_id") == inc[new_id].incident_id).count() == 6
+    assert control.read("decision_trace").where((F.col("incident_id") == inc[new_id].incident_id) & (F.col("surface") == "cognitive")).count() == 6
     assert [e.event_id for e in control.events_of(inc[new_id].incident_id).collect()] == [unit.event_id]
     assert [c.column_name for c in control.snapshot(TABLE, "D20310310").collect()][-1] == "PHONE_MINUTES"
 
@@ -109,7 +109,7 @@ def test_loop(spark, bronze_dir, tmp_path):
     kept = preserve_evidence(loads[ids[4]], TABLE, inc[new_id].incident_id, str(tmp_path / "evidence"), datetime(2032, 1, 1))
     assert kept.endswith(f"ORDERS_PRE_{inc[new_id].incident_id.replace('-', '_')}") and spark.read.parquet(kept).count() == 600
     control.reset()
-    assert control.read("gate_log").count() == 0 and control.read("column_profiles").count() == 0
+    assert all(control.read(t).count() == 0 for t in ("gate_log", "column_profiles", "approvals", "decision_trace"))
 
 
 def test_profiles_are_replaced_not_doubled(spark, tmp_path):
