@@ -2,7 +2,8 @@
 
 Each text is scanned as it stands (the base spans). Then encoded parts are unwrapped layer by layer - percent escapes, Unicode and byte
 escapes, base64 and compressed data - every new layer is scanned again and put on the worklist, until none yields a layer not seen
-before. Escapes are replaced in place, so that a secret partly escaped is seen with its surroundings; base64 parts become layers of their
+before. Escapes are replaced in place, so that a secret partly escaped is seen with its surroundings; where one gives the beginning of the next, the chain is followed to its
+end within one layer, so that the time does not grow with the square of its length. Base64 parts become layers of their
 own, one for each of the four characters the encoding may begin with, line by line and joined over lines. Bytes that are no UTF-8 stay as
 single placeholders between the valid stretches. Every character of a layer knows the code points of the original text it came from, and
 what is found is reported there.
@@ -52,6 +53,9 @@ _BASE64 = re.compile(_B64 + "{%d,}" % BASE64_LEAST)
 _LINES = re.compile(rf"(?<!{_B64}){_B64}{{{BASE64_LEAST},}}+(?:[ \t]*+\r?\n[ \t]*+{_B64}{{{BASE64_LEAST},}}+)*+(?:[ \t]*+\r?\n[ \t]*+{_B64}++)?+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+#: Characters that escapes begin with, and a single escape.
+_FIRST = "%\\&"
+_ONE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 
 #: The same in bytes.
 _ASSIGN_B = re.compile(ASSIGN.pattern.encode(), re.IGNORECASE)
@@ -294,8 +298,28 @@ def _units(match: str) -> list[tuple[str, int]]:
     return out
 
 
+def _chained(text: str, char: str, end: int) -> tuple[str, int]:
+    """An escape may give the first character of another one, as in %25252541: follows the chain from `char`, which stands for what ends at `end`, and returns the last
+    character and where it ends. Bytes above ASCII are left as escapes, as the next layer reads them together with their neighbours."""
+    while char in _FIRST:
+        m = _ONE.match(char + text[end:end + 10])
+        if not m:
+            break
+        got = m.group()
+        if got[0] == "%" or got[:2] == "\\x":
+            code = int(got[-2:], 16)
+            after = chr(code) if code < 0x80 else None
+        else:
+            units = _units(got)
+            after = units[0][0] if units else None
+        if after is None:
+            break
+        char, end = after, end + len(got) - 1
+    return char, end
+
+
 def _unescaped(layer: _Layer, pattern: re.Pattern) -> list[_Layer]:
-    """The layer with its escapes replaced in place."""
+    """The layer with its escapes replaced in place. Chains of escapes are followed to their end at once, so that their depth costs no layers."""
     text, parts, starts, ends, at = layer.text, [], [], [], 0
 
     def copy(a, b):
@@ -303,8 +327,9 @@ def _unescaped(layer: _Layer, pattern: re.Pattern) -> list[_Layer]:
         starts.append(np.arange(a, b))
         ends.append(np.arange(a + 1, b + 1))
 
-    for m in pattern.finditer(text):
-        got, a = m.group(), m.start()
+    m = pattern.search(text)
+    while m:
+        got, a, e = m.group(), m.start(), m.end()
         width = 3 if got[0] == "%" else 4 if got[:2] == "\\x" else 0
         if width:
             data = bytes.fromhex(got.replace("%", "").replace("\\x", ""))
@@ -312,14 +337,16 @@ def _unescaped(layer: _Layer, pattern: re.Pattern) -> list[_Layer]:
             sizes = [(c, width * n) for c, n in zip(chars, np.diff(_char_bytes(chars)).tolist())]
         else:
             sizes = _units(got)
-        if not sizes:
-            continue
-        copy(at, a)
-        parts.append("".join(c for c, _ in sizes))
-        edge = a + np.array([0, *accumulate(n for _, n in sizes)])
-        starts.append(edge[:-1])
-        ends.append(edge[1:])
-        at = m.end()
+        if sizes:
+            copy(at, a)
+            last, e = _chained(text, sizes[-1][0], e)
+            sizes[-1] = last, sizes[-1][1] + e - m.end()
+            parts.append("".join(c for c, _ in sizes))
+            edge = a + np.array([0, *accumulate(n for _, n in sizes)])
+            starts.append(edge[:-1])
+            ends.append(edge[1:])
+            at = e
+        m = pattern.search(text, e)
     if not at:
         return []
     copy(at, len(text))

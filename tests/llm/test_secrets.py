@@ -159,3 +159,26 @@ def test_edge_rows(spark):
     out = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
     assert out[1] == (None, 0) and out[None] == ("[assign removed]", 16) and out[5][1] == 600_016
     assert secrets.find(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_chains_of_escapes_take_time_in_proportion():
+    import time
+    for head, link, last in (("%", "25", "3D"), ("\\", "x5c", "x3D"), ("&", "#38;", "#61;"), ("\\", "u005c", "u003D")):
+        for n in (1, 2, 7):
+            text = "password" + head + link * n + last + "hunter2hunter2"
+            assert (0, 0, len(text)) in secrets.unwrap(text)[1], text
+        start = time.time()
+        text = "token" + head + link * 100_000 + last + "abcdefghij"
+        assert (0, 0, len(text)) in secrets.unwrap(text)[1]
+        assert time.time() - start < 20
+    mixed = "token" + "%" + "5cx25" * 30_000 + "3Dabcdefghij"
+    assert (0, 0, len(mixed)) in secrets.unwrap(mixed)[1]
+
+
+def test_chained_bytes_of_one_character_stay_together():
+    layer = secrets._Layer("caf%25C3%25A9 %2525E2%252582%2525AC")
+    one = secrets._unescaped(layer, secrets._PERCENT)[0]
+    two = secrets._unescaped(one, secrets._PERCENT)[0]
+    assert one.text == "caf%C3%A9 %E2%82%AC" and two.text == "café €"
+    assert two.origin(3, 4) == (3, 13) and two.origin(5, 6) == (14, 35)
+    assert (0, 0, len("secret%25253Dabcd%2565fgh")) in secrets.unwrap("secret%25253Dabcd%2565fgh")[1]
