@@ -71,7 +71,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.round_trip(table(spark, sf_dir, "documents"))
+    return sentencepieces.round_trip(whole_table(spark, sf_dir, "documents"))
 
 
 @query

@@ -20,9 +20,11 @@ import heapq
 import re
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loadwarden.llm.common import map_texts, texts_of
@@ -192,9 +194,20 @@ class PieceEncoder(CachedEncoder):
         return out
 
     def _cut(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        parts = [self._parts(t or "") for t in column.to_pylist()]
-        coded = pa.array([p for some in parts for p in some], pa.string()).dictionary_encode()
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.cumsum([len(p) for p in parts], dtype=np.int64)
+        texts = pc.replace_substring(pc.fill_null(column, ""), SPACE, " ")
+        lists = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, ends = lists.flatten(), np.r_[0, np.cumsum(counts)]
+        # texts with runs of spaces, or with spaces at an end, are cut one by one
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, "")))
+        some, at = [], 0
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            parts = self._parts(texts[i].as_py())
+            some += [flat.slice(ends[at], ends[i] - ends[at]), pa.array(parts, pa.string())]
+            counts[i], at = len(parts), i + 1
+        flat = pa.concat_arrays([*some, flat.slice(ends[at])]) if some else flat
+        coded = flat.dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.cumsum(counts)
 
     def _parts(self, text: str) -> list[str]:
         """Words without the one space before them; words after several spaces with all of them."""
@@ -215,19 +228,20 @@ class PieceEncoder(CachedEncoder):
         return [*parts, word[at:]]
 
     def _learn(self, unseen: list[str]) -> None:
-        by_length = defaultdict(list)
+        by_length, found = defaultdict(list), {}
         for part in unseen:
             if part[:1] == SPACE:
-                self._add(part, self._merge(part))
+                found[part] = self._merge(part)
             elif len(part) >= LONG:
-                self._add(part, [i for p in self._pieces(SPACE + part) for i in (self._viterbi([p])[0] if len(p) < LONG else self._merge(p))])
+                found[part] = [i for p in self._pieces(SPACE + part) for i in (self._viterbi([p])[0] if len(p) < LONG else self._merge(p))]
             else:
                 by_length[len(part)].append(part)
         for parts in by_length.values():
             for at in range(0, len(parts), 8192):
                 some = parts[at:at + 8192]
-                for part, ids in zip(some, self._viterbi([SPACE + p for p in some])):
-                    self._add(part, ids)
+                found.update(zip(some, self._viterbi([SPACE + p for p in some])))
+        if found:
+            self._add_all(list(found), np.fromiter(chain.from_iterable(found.values()), dtype=np.uint32), np.fromiter(map(len, found.values()), dtype=np.int64))
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
