@@ -8,8 +8,9 @@ A BPE model does not maximise a sum of scores, so the value maximised is validit
 neighbours are (no merge across their border comes before the merges that close it), and then every prefix has exactly one such last
 piece. Whether two pieces may be neighbours is decided by going down their merge trees, for all pairs of a batch at once.
 
-Words between spaces are encoded once per Python worker and cache filling. Runs of spaces, whose pieces share one score, and words of more than
-LONG characters that no impossible pair of characters cuts take the same merges one by one, over a heap. Characters outside the model fall back to
+Words between spaces are encoded once per Python worker and cache filling. Words of LONG characters and more are cut at pairs of characters that no
+piece has side by side, and their parts join the batches of their length; parts over LONG characters, and runs of spaces, whose pieces share one
+score, take the same merges one by one, over a heap. Characters outside the model fall back to
 bytes. Decoding is the reverse; bytes that are no UTF-8 become replacement characters. As in the library, a text that has U+2581 decodes to spaces.
 
 Null texts count as empty and have no ids; texts of any length are read whole; repeated rows get equal results; other columns are not read.
@@ -228,18 +229,30 @@ class PieceEncoder(CachedEncoder):
         return [*parts, word[at:]]
 
     def _learn(self, unseen: list[str]) -> None:
-        by_length, found = defaultdict(list), {}
+        by_length, found, cut = defaultdict(dict), {}, {}
         for part in unseen:
             if part[:1] == SPACE:
                 found[part] = self._merge(part)
             elif len(part) >= LONG:
-                found[part] = [i for p in self._pieces(SPACE + part) for i in (self._viterbi([p])[0] if len(p) < LONG else self._merge(p))]
+                cut[part] = self._pieces(SPACE + part)
+                for p in cut[part]:
+                    by_length[len(p)][p] = None
             else:
-                by_length[len(part)].append(part)
-        for parts in by_length.values():
-            for at in range(0, len(parts), 8192):
-                some = parts[at:at + 8192]
-                found.update(zip(some, self._viterbi([SPACE + p for p in some])))
+                by_length[len(part) + 1][SPACE + part] = None
+        ids_of = {}
+        for size, words in by_length.items():
+            words = list(words)
+            if size > LONG:
+                ids_of.update((w, self._merge(w)) for w in words)
+                continue
+            for at in range(0, len(words), 8192):
+                some = words[at:at + 8192]
+                ids_of.update(zip(some, self._viterbi(some)))
+        for part in unseen:
+            if part in cut:
+                found[part] = list(chain.from_iterable(map(ids_of.__getitem__, cut[part])))
+            elif part not in found:
+                found[part] = ids_of[SPACE + part]
         if found:
             self._add_all(list(found), np.fromiter(chain.from_iterable(found.values()), dtype=np.uint32), np.fromiter(map(len, found.values()), dtype=np.int64))
 

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -32,6 +33,16 @@ def test_edge_texts(encoder, text):
     assert encoder.encode([text])[0].tolist() == LIBRARY.encode(text)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x5E00))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+                                     "aé漢 ,x"])
+def test_a_long_text_without_spaces_takes_seconds(encoder, letters):
+    text = "".join(np.random.default_rng(2).choice(list(letters), 300_000))
+    start = time.process_time()
+    got = encoder.encode([text])[0].tolist()
+    assert time.process_time() - start < 15
+    assert got == LIBRARY.encode(text)
+
+
 def test_query_on_whole_table(spark):
     from loadwarden.llm.catalog import QUERIES
     sf = "/root/testdata/sf0.01"
