@@ -9,6 +9,7 @@ run of ranks goes to which run of sequences.
   the groups allow; this repeats until the groups are empty. Each slot of a combination takes a run of ranks, so actual
   documents, never longer than their group's size, take the places.
 * The true room left in every sequence is known from the ranks. Small pieces, longest first, go to the fullest sequence that still takes them.
+* Where large ends and small begins is tried at several lengths, as no one border is best for all distributions.
 
 A piece finds its rank from its place among the pieces of its length in its task plus the counts of the tasks before. No row is
 gathered anywhere but within a sequence. Null and empty texts are documents of one token, the end id; texts of any length are read
@@ -30,8 +31,10 @@ from loadwarden.llm.tokens import WordEncoder, tokenizer_path
 from loadwarden.session import write_through
 
 LENGTH, END_ID = 4096, 1
-#: Pieces up to an eighth of a sequence are small; large ones form this many groups of equal cardinality.
-SMALL_SHARE, SIZE_GROUPS = 8, 1024
+#: Large pieces form this many groups of equal cardinality.
+SIZE_GROUPS = 1024
+#: Pieces up to this part of a sequence are small. Each is planned, and the plan with the fewest sequences is used; the first one wins ties.
+SMALL_SHARES = (8, 4, 2)
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -66,8 +69,8 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: st
 class Plan:
     """Runs of ranks and the sequences they go to: rank r of run i stands in sequence first[i] + (r - rank[i]) // each[i]."""
 
-    def __init__(self, counts: dict[int, int], length: int = LENGTH, size_groups: int = SIZE_GROUPS):
-        self.length = length
+    def __init__(self, counts: dict[int, int], length: int = LENGTH, size_groups: int = SIZE_GROUPS, small_share: int = SMALL_SHARES[0]):
+        self.length, self.small = length, length // small_share
         self.sizes = sorted(counts, reverse=True)
         edges = [0, *accumulate(counts[s] for s in self.sizes)]
         #: Rank of the first piece of each length.
@@ -77,7 +80,7 @@ class Plan:
         self.sequences = 0
         #: For each room left, the runs of sequences (first, how many) that have it.
         self._room: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]
-        large = sum(n for s, n in counts.items() if s > length // SMALL_SHARE)
+        large = sum(n for s, n in counts.items() if s > self.small)
         self._pack_large(large, size_groups)
         self._pack_small(counts)
         self._runs.sort()
@@ -145,7 +148,7 @@ class Plan:
             self._room[self.length - int(used)].append((first + int(at), int(to - at)))
 
     def _pack_small(self, counts: dict[int, int]) -> None:
-        for size in (s for s in self.sizes if s <= self.length // SMALL_SHARE):
+        for size in (s for s in self.sizes if s <= self.small):
             rank, n = self.base[size], counts[size]
             room = size
             while n:
@@ -172,12 +175,17 @@ class Plan:
         return self.first[i] + (ranks - self.rank[i]) // self.each[i]
 
 
+def best_plan(counts: dict[int, int], length: int = LENGTH, size_groups: int = SIZE_GROUPS) -> Plan:
+    """The plan with the fewest sequences, over the shares that may count as small."""
+    return min((Plan(counts, length, size_groups, share) for share in SMALL_SHARES), key=lambda p: p.sequences)
+
+
 def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece (and its ids, if wanted)."""
     cut = write_through(pieces(docs, length, end_id, path, with_ids), "pieces")
     by_task = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = Plan(counts, length)
+    plan = best_plan(counts, length)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     base = {size: plan.base[size] for size in plan.base}

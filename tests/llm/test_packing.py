@@ -76,6 +76,27 @@ def test_plan_is_close_to_the_least_number():
     assert plan.sequences <= 1.003 * np.ceil(sizes.sum() / 4096)
 
 
+def best_fit_decreasing(sizes, length):
+    rooms, n = Counter(), 0
+    for s in sorted(sizes, reverse=True):
+        room = min((r for r, k in rooms.items() if k and r >= s), default=None)
+        if room is None:
+            room, n = length, n + 1
+        else:
+            rooms[room] -= 1
+        rooms[room - s] += 1
+    return n
+
+
+@pytest.mark.parametrize("low, high", [(900, 2200), (1000, 2100), (600, 1400), (100, 3000)])
+def test_no_more_sequences_than_best_fit(low, high):
+    sizes = np.random.default_rng(4).integers(low, high + 1, 6000).tolist()
+    plan = packing.best_plan(dict(Counter(sizes)))
+    filled = np.bincount(plan.sequence_of(np.arange(len(sizes))), weights=sorted(sizes, reverse=True), minlength=plan.sequences)
+    assert filled.max() <= 4096 and (filled > 0).all()
+    assert plan.sequences <= best_fit_decreasing(sizes, 4096)
+
+
 def test_query_on_whole_table(spark):
     from loadwarden.llm.catalog import QUERIES
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
