@@ -79,19 +79,20 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[boo
 
 
 def training_sample(docs: DataFrame, labelled: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, object]]:
-    """(text, label) of at most `per_class` labelled documents of each class, in a fixed order; texts over `max_chars` code points are
-    not drawn. `labelled` has doc_id and the label; its smallest hashes per class are drawn from ids alone, and only the drawn ids, a
-    bounded table, are broadcast to fetch their texts."""
+    """(text, label) of at most `per_class` labelled documents of each class, in a fixed order. `labelled` has doc_id and the label. The smallest
+    hashes per class are drawn among the ids of documents with a text of at most `max_chars` code points (longer ones are left out before the
+    draw, so a class falls short only where it has too few others), and only the drawn ids, a bounded table, are broadcast to fetch their texts."""
     def smallest(df: DataFrame, *groups: str) -> DataFrame:
         by = Window.partitionBy("drawn_label", *groups).orderBy("draw", "doc_id")
         return df.withColumn("draw_rank", F.row_number().over(by)).filter(F.col("draw_rank") <= per_class)
 
-    hashed = labelled.groupBy("doc_id").agg(F.max(label).alias("drawn_label")).withColumn("draw", F.xxhash64("doc_id"))
+    usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    hashed = (labelled.groupBy("doc_id").agg(F.max(label).alias("drawn_label")).join(usable.select("doc_id"), "doc_id", "left_semi")
+              .withColumn("draw", F.xxhash64("doc_id")))
     # first per class and salt, so that what many tasks have drawn does not meet in one
     salted = smallest(hashed.withColumn("salt", F.pmod("draw", F.lit(DRAW_SALT))), "salt")
     drawn = smallest(salted).select("doc_id", "drawn_label", "draw")
-    fetched = (docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-               .join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"),
+    fetched = (usable.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"),
                                                                         F.min("drawn_label").alias("drawn_label"), F.min("draw").alias("draw")))
     rows = sorted(fetched.collect(), key=lambda r: (r["draw"], str(r["doc_id"])))
     return [(r["text"], r["drawn_label"]) for r in rows]

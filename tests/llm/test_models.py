@@ -4,6 +4,7 @@ import pytest
 
 from loadwarden.llm import language, toxicity
 from loadwarden.llm.catalog import QUERIES
+from loadwarden.llm.common import training_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -31,6 +32,13 @@ def test_language_on_held_out_documents(spark):
     assert sum(r.lang_pred == docs[r.doc_id] for r in held) >= 0.99 * len(held) and sum(r.rejected for r in rows) <= 0.005 * len(rows)
 
 
+def test_long_texts_take_no_place_in_the_draw(spark):
+    docs = spark.createDataFrame([(i, "x" * (50 if i % 2 else 10)) for i in range(100)] + [(200, None)], "doc_id long, text string")
+    labelled = docs.select("doc_id", (docs.doc_id % 4 > 1).cast("int").alias("y"))
+    got = training_sample(docs, labelled, "y", 20, 20)
+    assert len(got) == 40 and sum(y for _, y in got) == 20 and all(len(t) == 10 for t, _ in got)
+
+
 @pytest.fixture(scope="module")
 def edge(spark):
     rows = [(1, None, "en", 1), (2, "", "en", 1), (2, "", "en", 0), (None, "12 34 !!", None, 1), (5, "the and of " * 200_000, "en", 0), (6, "a" * 300_000, "en", 0)]
