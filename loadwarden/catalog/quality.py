@@ -11,6 +11,7 @@ from loadwarden.catalog.models import stg_customers, stg_orders
 from loadwarden.catalog.registry import query
 from loadwarden.catalog.sql import BRONZE, STAGING
 from loadwarden.operators import quality
+from loadwarden.operators.audit_tree import audit_tree, changed_rows, differing_branches
 from loadwarden.plans.marts import dim_customers, fct_orders
 from loadwarden.session import write_through
 from loadwarden.sources.build_results import build_summary
@@ -93,3 +94,25 @@ def bronze_audit(g: Given):
     first = g.orders.withColumn("spare", F.lit(None).cast("string"))
     later = later.withColumns({"spare": moved, "channel": F.when(load != "L1996", F.col("channel"))})
     return quality.changed_loads(quality.load_checksums(first), quality.load_checksums(later))
+
+
+@query("audit_locate", f"""WITH {BRONZE}
+SELECT _load_id AS load_id, order_id, change, CASE change WHEN 'value' THEN columns ELSE '' END AS columns FROM (
+  SELECT _load_id, order_id, CASE _load_id WHEN 'L1999' THEN 'missing' WHEN 'L1998' THEN 'value' WHEN 'L1997' THEN 'repeated' ELSE 'value' END AS change,
+         CASE _load_id WHEN 'L1998' THEN 'amount' ELSE 'channel,spare' END AS columns
+  FROM bronze WHERE _load_id = 'L1999' OR (_load_id = 'L1998' AND status = 'A') OR (_load_id = 'L1997' AND status = 'A') OR (_load_id = 'L1996' AND status = 'A'))
+UNION ALL SELECT 'L1990', order_id, 'new', '' FROM bronze WHERE _load_id = 'L1995' AND status = 'A'""")
+def audit_locate(g: Given):
+    """Which rows and columns a second audit finds changed, by the branches of the checksum trees that differ: open orders of three loads were repriced,
+    sent twice and had a value moved, one load is gone, and one has come that nobody knew."""
+    load, is_open = F.col("_load_id"), F.col("status") == "A"
+    first = g.orders.withColumn("spare", F.lit(None).cast("string"))
+    moved = (load == "L1996") & is_open
+    later = first.where(load != "L1999").withColumns({
+        "amount": F.when((load == "L1998") & is_open, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(12,2)"),
+        "spare": F.when(moved, F.col("channel")), "channel": F.when(~moved, F.col("channel"))})
+    sent = F.when((load == "L1997") & is_open, F.array(load, load)).when((load == "L1995") & is_open, F.array(load, F.lit("L1990"))).otherwise(F.array(load))
+    later = later.withColumn("_load_id", F.explode(sent))
+    trees = [write_through(audit_tree(rows, "order_id"), "audit-tree") for rows in (first, later)]
+    branches = write_through(differing_branches(*trees), "audit-branches")
+    return changed_rows(first, later, branches, "order_id").withColumn("columns", F.array_join("columns", ","))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwarden.policy import Policy
@@ -52,15 +52,15 @@ def secret_summary(rows: DataFrame, text: str, by: str, patterns: dict[str, str]
     return wide.unpivot([by, "scanned"], list(patterns), "pattern", "hits")
 
 
-def load_checksums(rows: DataFrame, load_col: str = "_load_id") -> DataFrame:
-    """Row count and order-free checksum per load; the sum of 64-bit row hashes needs no sort and no distinct.
+def row_digest(columns: list[str]) -> Column:
+    """Hash of a row's values, to be summed. A null is hashed as a flag of its own, so a value that moves to an empty column changes it."""
+    return F.xxhash64(*[x for c in sorted(columns) for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`").cast("string"))]).cast("decimal(38,0)")
+
 
-    A null is hashed as a flag of its own, so a value that moves to an empty column changes the sum.
-    """
-    names = sorted(rows.columns)
-    digest = F.xxhash64(*[x for c in names for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`").cast("string"))]).cast("decimal(38,0)")
+def load_checksums(rows: DataFrame, load_col: str = "_load_id") -> DataFrame:
+    """Row count and order-free checksum per load; the sum of 64-bit row hashes needs no sort and no distinct."""
     return rows.groupBy(F.col(load_col).alias("load_id")).agg(F.count(F.lit(1)).alias("row_count"),
-                                                              F.sum(digest).alias("checksum"))
+                                                              F.sum(row_digest(rows.columns)).alias("checksum"))
 
 
 def changed_loads(before: DataFrame, after: DataFrame) -> DataFrame:
