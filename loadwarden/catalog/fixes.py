@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadwarden.catalog.given import Given
+from loadwarden.catalog.given import CUSTOMER_COLUMNS, CUSTOMERS, Given, ORDER_COLUMNS, ORDERS
 from loadwarden.catalog.registry import query
-from loadwarden.catalog.sql import DETECT
-from loadwarden.operators import remediate
+from loadwarden.catalog.sql import DETECT, values
+from loadwarden.operators import contracts, remediate
 from loadwarden.operators.rename import last_profiles
 from loadwarden.operators.staging import latest_per_key, mapped, model_columns
+from loadwarden.session import write_through
 
 
 def _columns(column_map):
@@ -91,3 +92,45 @@ def normalise_unit(g: Given):
     rows = mapped(g.baseline.unionByName(g.variants[load]), columns)
     return latest_per_key(rows, "order_id").select(F.col("order_id").cast("bigint").alias("order_id"),
                                                    F.col("amount").cast("double").alias("amount"))
+
+
+_VERSIONS = f"""promised(table_fqn, column_name, data_type) AS ({values([(t, c["source"].upper(), c["type"]) for t, cs in ((ORDERS, ORDER_COLUMNS), (CUSTOMERS, CUSTOMER_COLUMNS)) for c in cs])}),
+facts AS (
+  SELECT table_fqn, column_name, '' AS since, data_type FROM promised
+  UNION ALL SELECT '{ORDERS}', column_after, load_id, lower(type_after) FROM events WHERE drift_class IN ('additive', 'rename', 'type_widening')
+  UNION ALL SELECT '{ORDERS}', column_before, load_id, NULL FROM events WHERE drift_class = 'rename' OR subtype = 'column_dropped'),
+turns AS (SELECT table_fqn, column_name, since, max(data_type) AS data_type FROM facts GROUP BY 1, 2, 3),
+arrived AS (SELECT DISTINCT '{ORDERS}' AS table_fqn, _load_id AS load_id FROM base UNION ALL SELECT '{ORDERS}', 'L2001.' || kind FROM kinds
+            UNION ALL SELECT DISTINCT '{CUSTOMERS}', 'C1994' FROM customer)"""
+
+
+@query("contract_as_of", f"""WITH {DETECT}, {_VERSIONS}
+SELECT table_fqn, load_id, column_name, data_type, since FROM (
+  SELECT a.table_fqn, a.load_id, t.column_name, t.data_type, t.since FROM arrived a JOIN turns t ON t.table_fqn = a.table_fqn AND t.since <= a.load_id
+  QUALIFY row_number() OVER (PARTITION BY a.table_fqn, a.load_id, t.column_name ORDER BY t.since DESC) = 1) WHERE data_type IS NOT NULL""")
+def contract_as_of(g: Given):
+    """What was promised at each load, the new ones taken as if they had come one after another and had all been accepted."""
+    versions = write_through(contracts.contract_versions(g.contract, g.events), "contract-versions")
+    loads = g.gate.where(F.col("status") == "PASSED").select("table_fqn", "load_id").unionByName(g.candidates)
+    return contracts.contract_as_of(loads, versions)
+
+
+@query("contract_rewrite", f"""WITH {DETECT}, {_VERSIONS}
+SELECT table_fqn, column_name, data_type, CASE WHEN since <> '' AND (table_fqn, column_name) NOT IN (SELECT table_fqn, column_name FROM promised)
+  THEN 'Since load ' || since END AS description
+FROM (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY table_fqn, column_name ORDER BY since DESC) = 1) WHERE data_type IS NOT NULL""")
+def contract_rewrite(g: Given):
+    """The source contract after all of them: new columns in, renamed ones replaced, lost ones out, wider types."""
+    versions = write_through(contracts.contract_versions(g.contract, g.events), "contract-versions")
+    return contracts.rewritten_contract(g.contract, versions).drop("meta")
+
+
+@query("contract_gaps", f"""WITH {DETECT}
+SELECT load_id, coalesce(column_after, column_before) AS column_name, coalesce(lower(type_before), 'absent') AS expected, coalesce(lower(type_after), 'absent') AS found
+FROM events WHERE drift_class = 'type_widening' OR subtype IN ('column_added', 'column_dropped')
+UNION ALL SELECT load_id, column_before, lower(type_before), 'absent' FROM events WHERE drift_class = 'rename'
+UNION ALL SELECT load_id, column_after, 'absent', lower(type_after) FROM events WHERE drift_class = 'rename'""")
+def contract_gaps(g: Given):
+    """Where the schema of a load is not what was promised when none of the changes had been accepted."""
+    promised = contracts.contract_as_of(g.snapshots.select("table_fqn", F.col("snapshot_id").alias("load_id")), contracts.contract_versions(g.contract, g.events.limit(0)))
+    return contracts.contract_gaps(g.snapshots, promised).drop("table_fqn")

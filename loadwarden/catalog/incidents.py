@@ -12,6 +12,7 @@ from loadwarden.functions.stats import budget_mode
 from loadwarden.operators import incidents as inc
 from loadwarden.operators import ledger as led
 from loadwarden.operators.quality import merge_audit
+from loadwarden.sources.control import absent
 from loadwarden.sources.registry import watch_registry
 
 APP = "warden"
@@ -168,8 +169,7 @@ SELECT DISTINCT incident_id FROM entries WHERE incident_id NOT IN (SELECT incide
 def event_inserts(g: Given):
     """Ids to insert when those of the open entries are stored already: each absent id once."""
     rows = entries(g)
-    stored = rows.where(F.col("status") == "OPEN").select("incident_id").distinct()
-    return rows.select("incident_id").distinct().join(stored, "incident_id", "left_anti")
+    return absent(rows.select("incident_id"), rows.where(F.col("status") == "OPEN"), ["incident_id"])
 
 
 @query("budget_modes", """SELECT user_id, round(sum(value), 4) AS spent,

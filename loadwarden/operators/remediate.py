@@ -40,14 +40,6 @@ def widen_map_types(column_map: DataFrame, events: DataFrame) -> DataFrame:
             .select("load_id", "model", "alias", F.col("type").alias("old_type"), "new_type"))
 
 
-def widen_contract_types(contract: DataFrame, events: DataFrame) -> DataFrame:
-    """Contract rows that a widening changes, with their new type."""
-    wider = events.where(F.col("drift_class") == "type_widening").select(
-        "load_id", _table().alias("_t"), F.upper("column_before").alias("_c"), _typed("type_after").alias("new_type"))
-    return (contract.withColumns({"_t": _table(), "_c": F.upper("column_name")}).join(wider, ["_t", "_c"])
-            .select("load_id", "table_fqn", "column_name", F.col("data_type").alias("old_type"), "new_type"))
-
-
 def remap_sources(column_map: DataFrame, events: DataFrame, load_id: str) -> DataFrame:
     """The whole column map as it reads after the renames of one load; aliases never change."""
     renamed = events.where((F.col("drift_class") == "rename") & (F.col("load_id") == load_id)).select(

@@ -37,6 +37,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def absent(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key that `stored` does not hold."""
+    return rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+
+
 class ControlPlane:
     """Paths and write modes of the control tables below one shared folder."""
 
@@ -69,9 +74,8 @@ class ControlPlane:
 
     def insert_absent(self, table: str, rows: DataFrame, keys: list[str]) -> None:
         """Append the rows whose key the table does not hold yet."""
-        fresh = rows.dropDuplicates(keys).join(self.read(table).select(*keys), keys, "left_anti")
         # what is read here is also written to, so the new rows are fixed first
-        self.append(table, write_through(fresh, table))
+        self.append(table, write_through(absent(rows, self.read(table), keys), table))
 
     def reset(self) -> None:
         for table in RESET_TABLES:
