@@ -10,7 +10,7 @@ from oracle import compare
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SAMPLE = ["revenue_daily", "dim_customers", "contract_misfits", "gate_latest", "profile_columns", "profile_topk", "theta_containment",
           "type_changes", "restatement_ratio", "downstream_closure", "route_decisions", "ledger", "model_tests",
-          "secret_scan", "bronze_audit", "stream_latest_per_key", "stream_windows", "stream_scan", "scan_decisions"]
+          "secret_scan", "bronze_audit", "audit_locate", "stream_latest_per_key", "stream_windows", "stream_scan", "scan_decisions"]
 NAMES = list(QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE
 
 
