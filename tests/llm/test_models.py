@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 
 from loadwarden.llm import language, toxicity
@@ -32,6 +33,28 @@ def test_language_on_held_out_documents(spark):
     assert sum(r.lang_pred == docs[r.doc_id] for r in held) >= 0.99 * len(held) and sum(r.rejected for r in rows) <= 0.005 * len(rows)
 
 
+def test_texts_of_a_language_left_out_are_rejected(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL AND lang IS NOT NULL AND length(text) <= 20000").select("doc_id", "text", "lang").collect()
+    learn = {x: [(r.text, x) for r in rows if r.lang == x and fold(r.doc_id, 4) != 2][:500] for x in ("de", "en", "es", "fr")}
+    held = [(r.text, r.lang) for r in rows if fold(r.doc_id, 4) == 2]
+    for out in ("de", "es", "fr"):
+        model = language.fit([s for x in learn if x != out for s in learn[x]])
+        strangers, known = ([model.accepts(*model.predict(t)) for t, x in held if (x == out) == wanted] for wanted in (True, False))
+        assert len(strangers) > 100 and sum(strangers) <= 0.1 * len(strangers) and sum(known) >= 0.99 * len(known), out
+        shuffled = [language._shuffled(t, np.random.default_rng(1)) for t, x in held[:200] if x != out]
+        assert sum(model.accepts(*model.predict(t)) for t in shuffled) <= 0.1 * len(shuffled)
+
+
+def test_threshold_where_strangers_overlap(spark):
+    # both languages use the same words, so nothing is strange: recognised documents are kept
+    samples = [("the and of " * (i + 1), "en" if i % 2 else "de") for i in range(80)]
+    model = language.fit(samples)
+    assert all(model.predict(t)[2] >= model.strange_below for t, _ in samples)
+    one = language.fit([("the and of " * (i + 1), "en") for i in range(20)])
+    assert one.accepts(*one.predict("the and of the")) and not one.accepts(*one.predict("12 34"))
+    assert language.LanguageModel.accepts(one, "en", 0.2, 1.0) is False
+
+
 def test_long_texts_take_no_place_in_the_draw(spark):
     docs = spark.createDataFrame([(i, "x" * (50 if i % 2 else 10)) for i in range(100)] + [(200, None)], "doc_id long, text string")
     labelled = docs.select("doc_id", (docs.doc_id % 4 > 1).cast("int").alias("y"))
