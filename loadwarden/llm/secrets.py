@@ -2,13 +2,14 @@
 
 Each text is scanned as it stands (the base spans). Then encoded parts are unwrapped layer by layer - percent escapes, Unicode and byte
 escapes, base64 and compressed data - every new layer is scanned again and put on the worklist, until none yields a layer not seen
-before. Escapes are replaced in place, so that a secret partly escaped is seen with its surroundings; where one gives the beginning of the next, the chain is followed to its
+before. Escapes (%41, %u0041, \\x41, \\x{41}, \\u0041, \\u{41}, \\U00000041, &#65;) are replaced in place, so that a secret partly escaped is seen with its surroundings; where one gives the beginning of the next, the chain is followed to its
 end within one layer, so that the time does not grow with the square of its length. Base64 parts become layers of their
 own, one for each of the four characters the encoding may begin with, line by line and joined over lines. Bytes that are no UTF-8 stay as
-single placeholders between the valid stretches. Every character of a layer knows the code points of the original text it came from, and
+single placeholders between the valid stretches. A layer with wide characters (UTF-16 or UTF-32, either byte order) gives one without their zero
+bytes. Every character of a layer knows the code points of the original text it came from, and
 what is found is reported there.
 
-Compressed data may begin anywhere in a layer. All found in it, however deep, is reported at the whole compressed part, so that only the
+Compressed data may begin anywhere in a layer; raw deflate, which has no head, is tried from the first byte of a base64 part. All found in it, however deep, is reported at the whole compressed part, so that only the
 kinds matter there: its content is kept as bytes, in a temporary file once it is over LAYER_BYTES, and read to its end. Parts with such a
 content are counted in `n_oversize`. A disk too small for the content fails the task.
 
@@ -52,18 +53,24 @@ _BASE64 = re.compile(_B64 + "{%d,}" % BASE64_LEAST)
 #: Runs that go on in the next line; all but the last have the least length.
 _LINES = re.compile(rf"(?<!{_B64}){_B64}{{{BASE64_LEAST},}}+(?:[ \t]*+\r?\n[ \t]*+{_B64}{{{BASE64_LEAST},}}+)*+(?:[ \t]*+\r?\n[ \t]*+{_B64}++)?+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+_ESCAPE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:[\\%]u[0-9A-Fa-f]{4})+|\\[ux]\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 #: Characters that escapes begin with, and a single escape.
 _FIRST = "%\\&"
-_ONE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+_ONE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|[\\%]u[0-9A-Fa-f]{4}|\\[ux]\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+#: Escapes of single bytes, as against those of characters.
+_BYTES = re.compile(r"%[^u]|\\x[^{]")
 
 #: The same in bytes.
 _ASSIGN_B = re.compile(ASSIGN.pattern.encode(), re.IGNORECASE)
 _ACCESS_B, _HEX_B, _BASE64_B, _LINES_B = (re.compile(p.pattern.encode()) for p in (ACCESS, HEX, _BASE64, _LINES))
 _ESCAPES_B = re.compile(f"{_PERCENT.pattern}|{_ESCAPE.pattern}".encode())
 #: Where compressed data may begin, and what any secret or escape of one needs.
-_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00")
+_ZLIB = b"|".join(re.escape(bytes([window, level + 31 - (window * 256 + level) % 31])) for window in range(0x08, 0x80, 0x10) for level in range(0, 256, 64))
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00|" + _ZLIB)
 _LEGIBLE = re.compile(rb"[\x20-\x7e]{12}")
+#: Six characters of two or four bytes.
+_WIDE = re.compile("(?:[\\x20-\\x7e\t\r\n]\0{1,3}){6}")
+_WIDE_B = re.compile(_WIDE.pattern.encode())
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 PIECE = 1 << 18
 
@@ -106,18 +113,20 @@ class _Spool:
             return mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
 
 
-def _unfold(data, at: int, spool: _Spool) -> int | None:
-    """Writes what the compressed data that begins at `at` unfolds to; where it ends, None if it is damaged or has no end."""
+def _unfold(data, at: int, spool: _Spool, unfold=None) -> int | None:
+    """Writes what the compressed data that begins at `at` unfolds to, by its head or with `unfold`; where it ends, None if it is damaged or has no end."""
     head = data[at:at + 4]
     step, bounded = 64, (PIECE,)
-    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
-        unfold = zlib.decompressobj(47)
+    if unfold is not None:
+        pass
     elif head == b"\x28\xb5\x2f\xfd":
         unfold, bounded = zstandard.ZstdDecompressor().decompressobj(), ()  # has no bound on its output, so little goes in
     elif head[:3] == b"BZh":
         unfold = bz2.BZ2Decompressor()
-    else:
+    elif head[:1] == b"\xfd":
         unfold = lzma.LZMADecompressor()
+    else:
+        unfold = zlib.decompressobj(47)
     try:
         while at < len(data) and not unfold.eof:
             piece = data[at:at + step]
@@ -154,6 +163,19 @@ def _members(data):
 _MORE = re.compile(rb"\x00*+(%s)" % _MAGIC.pattern)
 
 
+def _tells(data) -> bool:
+    """Whether bytes can hold a secret, an escape of one or compressed data."""
+    return bool(_LEGIBLE.search(data) or _MAGIC.search(data) or _WIDE_B.search(data))
+
+
+def _deflated(data) -> _Spool | None:
+    """What bytes that begin with a whole raw deflate stream unfold to, if that tells anything."""
+    spool = _Spool()
+    if _unfold(data, 0, spool, zlib.decompressobj(-15)) is None or not spool.size:
+        return None
+    return spool if spool.file is not None or _tells(spool.content()) else None
+
+
 def _kinds(content) -> set[int]:
     """The kinds of secret in bytes and in all they unwrap to."""
     found: set[int] = set()
@@ -182,15 +204,22 @@ def _kinds(content) -> set[int]:
                     rest = rest[whole:]
                 spool.write(_b64(rest))
                 inner = spool.content()
-                if _LEGIBLE.search(inner) or _MAGIC.search(inner):
+                if _tells(inner):
                     work.append(inner)
+                if raw := _deflated(inner):
+                    work.append(raw.content())
+        if _WIDE_B.search(data):
+            spool = _Spool()
+            for i in range(0, len(data), PIECE):
+                spool.write(data[i:i + PIECE].translate(None, b"\0"))
+            work.append(spool.content())
         spool, at = _Spool(), 0
         for m in _ESCAPES_B.finditer(data) if any(data.find(c) >= 0 for c in (b"%", b"\\", b"&#")) else ():
             for i in range(at, m.start(), PIECE):
                 spool.write(data[i:min(i + PIECE, m.start())])
             at = m.end()
             got = m.group()
-            if got[:1] == b"%" or got[:2] == b"\\x":
+            if _BYTES.match(got.decode()):
                 spool.write(bytes.fromhex(got.translate(None, b"%\\x").decode()))
             else:
                 spool.write("".join(c for c, _ in _units(got.decode())).encode("utf-8", "surrogatepass") or got)
@@ -259,18 +288,32 @@ def _compressed(layer: _Layer, found: set, oversize: list) -> None:
         found.update((a, k, b) for k in _kinds(spool.content()))
 
 
-def _base64_layers(layer: _Layer) -> list[_Layer]:
+def _narrowed(layer: _Layer) -> list[_Layer]:
+    """The layer without the zero bytes of wide characters."""
+    if not _WIDE.search(layer.text):
+        return []
+    kept = np.flatnonzero(np.frombuffer(layer.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    return [layer.child(layer.text.replace("\0", ""), kept, kept + 1)]
+
+
+def _base64_layers(layer: _Layer, found: set, oversize: list) -> list[_Layer]:
+    """Layers of the base64 parts; what raw deflate in them holds is added to `found`."""
     out = []
     for start, end in _runs(_BASE64, _LINES, layer.text):
-        raw = layer.text[start:end].encode()
-        body = raw.translate(_STANDARD, b" \t\r\n")
+        part = layer.text[start:end].encode()
+        body = part.translate(_STANDARD, b" \t\r\n")
         where = None
         for shift in range(4):
             data = _b64(body[shift:])
-            if not (_LEGIBLE.search(data) or _MAGIC.search(data)):
+            if raw := _deflated(data):
+                a, b = layer.origin(start, end)
+                if raw.file is not None:
+                    oversize.append((a, b))
+                found.update((a, k, b) for k in _kinds(raw.content()))
+            if not _tells(data):
                 continue
             if where is None:
-                where = start + np.flatnonzero(~np.isin(np.frombuffer(raw, dtype=np.uint8), list(b" \t\r\n")))
+                where = start + np.flatnonzero(~np.isin(np.frombuffer(part, dtype=np.uint8), list(b" \t\r\n")))
             text = data.decode("utf-8", "surrogateescape")
             byte = np.arange(len(data))
             char = shift + byte // 3 * 4 + byte % 3
@@ -284,6 +327,9 @@ def _units(match: str) -> list[tuple[str, int]]:
     if match[0] == "&":
         code = int(match[3:-1], 16) if match[2] in "xX" else int(match[2:-1])
         return [(chr(code), len(match))] if code < 0x110000 else []
+    if match[2] == "{":
+        code = int(match[3:-1], 16)
+        return [(chr(code), len(match))] if code < 0x110000 else []
     if match[1] == "U":
         code = int(match[2:], 16)
         return [(chr(code), 10)] if code < 0x110000 else []
@@ -306,7 +352,7 @@ def _chained(text: str, char: str, end: int) -> tuple[str, int]:
         if not m:
             break
         got = m.group()
-        if got[0] == "%" or got[:2] == "\\x":
+        if _BYTES.match(got):
             code = int(got[-2:], 16)
             after = chr(code) if code < 0x80 else None
         else:
@@ -330,7 +376,7 @@ def _unescaped(layer: _Layer, pattern: re.Pattern) -> list[_Layer]:
     m = pattern.search(text)
     while m:
         got, a, e = m.group(), m.start(), m.end()
-        width = 3 if got[0] == "%" else 4 if got[:2] == "\\x" else 0
+        width = 0 if not _BYTES.match(got) else 3 if got[0] == "%" else 4
         if width:
             data = bytes.fromhex(got.replace("%", "").replace("\\x", ""))
             chars = data.decode("utf-8", "surrogateescape")
@@ -372,9 +418,11 @@ def unwrap(text: str) -> tuple[list[Span], list[Span], int]:
             _compressed(layer, found, oversize)
         if "%" in layer.text:
             work += _unescaped(layer, _PERCENT)
-        if "\\" in layer.text or "&#" in layer.text:
+        if "\\" in layer.text or "&#" in layer.text or "%u" in layer.text:
             work += _unescaped(layer, _ESCAPE)
-        work += _base64_layers(layer)
+        if "\0" in layer.text:
+            work += _narrowed(layer)
+        work += _base64_layers(layer, found, oversize)
     return base, sorted(found), len(set(oversize))
 
 

@@ -56,6 +56,46 @@ def test_every_encoding_and_nesting():
         assert 9 <= s and e <= 9 + len(hidden) and e - s >= 0.9 * len(hidden) - 8, (hidden, text[s:e])
 
 
+def _deflate(data, window):
+    press = zlib.compressobj(9, zlib.DEFLATED, window)
+    return press.compress(data) + press.flush()
+
+
+def test_wide_characters_and_bracketed_escapes():
+    secret = "password=hunter2hunter2"
+    forms = [base64.b64encode(secret.encode(c)).decode() for c in ("utf-16-le", "utf-16-be", "utf-16", "utf-32-le")]
+    forms += [quote(secret.encode("utf-16-le"), safe=""), base64.b64encode(gzip.compress(("é ü " + secret).encode("utf-16"))).decode()]
+    forms += ["".join(f % ord(c) for c in secret) for f in ("%%u%04X", "\\u{%x}", "\\x{%02x}", "\\u{%06x}")]
+    forms += [base64.b64encode("".join(f"%u{ord(c):04x}" for c in secret).encode()).decode(), secret.replace("=", "%u003D"), secret.replace("=", "\\u{3d}"),
+              secret.replace("=", "%25u003D"), secret.replace("=", "%u0025u003D"), secret.encode("utf-16-le").decode()]
+    for hidden in forms:
+        text = "ü before " + hidden + " after"
+        spans = [(s, e) for s, k, e in secrets.unwrap(text)[1] if k == 0]
+        assert spans and 9 <= spans[0][0] and spans[0][1] <= 9 + len(hidden) and spans[0][1] - spans[0][0] >= 0.85 * len(hidden) - 8, (hidden, spans)
+    assert spans_of("x token%u003Dabcdefgh y") == [("assign", "token%u003Dabcdefgh")]
+    assert spans_of("x token\\u{3D}abc\\u{110000}") == [] and spans_of("%u00 \\u{} \\x{1234567} %u") == []
+
+
+@pytest.mark.parametrize("window", [9, 10, 12, 14, -9, -15])
+def test_small_windows_and_raw_deflate(window):
+    packed = base64.b64encode(_deflate(b"some words before " + SECRET.encode(), window)).decode()
+    for text in (packed, "see " + packed + " after", base64.b64encode(packed.encode()).decode(), base64.b64encode(gzip.compress(packed.encode())).decode()):
+        assert any(k == 0 for _, k, _ in secrets.unwrap(text)[1]), text
+
+
+def test_random_nestings_are_found():
+    r = random.Random(5)
+    wraps = [lambda t: quote(t, safe=""), lambda t: "".join(f"%u{ord(c):04x}" for c in t), lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t),
+             lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.b64encode(t.encode("utf-16-le")).decode(),
+             lambda t: base64.b64encode(_deflate(t.encode(), r.choice([9, 15, 31, -15]))).decode(), lambda t: base64.b64encode(lzma.compress(t.encode())).decode()]
+    for _ in range(60):
+        order = [r.randrange(len(wraps)) for _ in range(r.randrange(1, 4))]
+        text = "api_key: " + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20))
+        for i in order:
+            text = wraps[i](text)
+        assert any(k == 0 for _, k, _ in secrets.unwrap("- " + text + " -")[1]), order
+
+
 def test_escape_inside_a_secret_maps_to_the_original():
     text = "x token%3Dab%63defgh y"
     assert spans_of(text) == [("assign", "token%3Dab%63defgh")]
