@@ -1,7 +1,7 @@
 """Rename detection: value containment of dropped and added columns, fingerprint scores, one-to-one matching."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwarden.functions.stats import fingerprint
@@ -9,6 +9,8 @@ from loadwarden.functions.types import compare_types
 
 KEYS = ["table_fqn", "load_id"]
 PAIR = [*KEYS, "column_before", "column_after"]
+#: Rounds in which pairs that are the best of both their columns are taken before the rest is folded.
+ROUNDS = 2
 
 
 def exact_containment(diff: DataFrame, baseline_loads: DataFrame, counts: DataFrame) -> DataFrame:
@@ -81,14 +83,32 @@ def scored_pairs(diff: DataFrame, profiles: DataFrame, baseline_loads: DataFrame
                          "fp.distinct_ratio", reason.alias("reason"))
 
 
+def _settled(pairs: DataFrame) -> DataFrame:
+    """One round over pairs with `_order` and `_taken` (null: open): an open pair that comes first among the open ones of both its columns is taken, which the
+    whole order would do too, and the other open pairs of these columns are not. Windows by column, so no load meets in one task."""
+    by_old, by_new = Window.partitionBy(*KEYS, "column_before"), Window.partitionBy(*KEYS, "column_after")
+    open_order = F.when(F.col("_taken").isNull(), F.col("_order"))
+    first = (pairs.withColumn("_first_old", F.min(open_order).over(by_old)).withColumn("_first_new", F.min(open_order).over(by_new))
+             .withColumn("_now", F.col("_taken").isNull() & (F.col("_order") == F.col("_first_old")) & (F.col("_order") == F.col("_first_new"))))
+    met = first.withColumn("_met", F.max("_now").over(by_new)).withColumn("_met", F.col("_met") | F.max("_now").over(by_old))
+    taken = F.when(F.col("_now"), True).when(F.col("_taken").isNull() & F.col("_met"), False).otherwise(F.col("_taken"))
+    return met.withColumn("_taken", taken).drop("_first_old", "_first_new", "_now", "_met")
+
+
 def rename_pairs(scored: DataFrame) -> DataFrame:
     """One-to-one matching of accepted pairs: best score first, then names, each column used once.
 
-    A fold over the accepted candidates of one load, at most its width in number, inside the plan.
+    Pairs that are the best of both their columns are settled in rounds over the columns; only what ROUNDS rounds leave open (chains of
+    pairs that wait for one another, as equal scores give) is folded in order, one array per load. The result is that of the whole order.
     """
-    entry = F.struct((-F.col("score")).alias("neg"), "column_before", "column_after", "type_before", "type_after",
-                     "type_relation", "score", "value_containment", "null_similarity", "distinct_ratio")
-    lists = scored.where(F.col("reason").isNull()).groupBy(*KEYS).agg(F.array_sort(F.collect_list(entry)).alias("c"))
+    fields = ["column_before", "column_after", "type_before", "type_after", "type_relation", "score", "value_containment", "null_similarity", "distinct_ratio"]
+    pairs = scored.where(F.col("reason").isNull()).select(
+        *KEYS, *fields, F.struct((-F.col("score")).alias("neg"), "column_before", "column_after").alias("_order"), F.lit(None).cast("boolean").alias("_taken"))
+    for _ in range(ROUNDS):
+        pairs = _settled(pairs)
+    settled = pairs.where("_taken").select(*KEYS, *fields)
+    entry = F.struct(F.col("_order.neg").alias("neg"), *fields)
+    lists = pairs.where(F.col("_taken").isNull()).groupBy(*KEYS).agg(F.array_sort(F.collect_list(entry)).alias("c"))
     empty = F.expr("filter(c, x -> false)")
 
     def used(acc: Column, name: str, value: Column) -> Column:
@@ -98,4 +118,4 @@ def rename_pairs(scored: DataFrame) -> DataFrame:
         taken = used(acc, "column_before", x["column_before"]) | used(acc, "column_after", x["column_after"])
         return F.when(taken, acc).otherwise(F.concat(acc, F.array(x)))
 
-    return lists.select(*KEYS, F.inline(F.aggregate("c", empty, step))).drop("neg")
+    return settled.unionByName(lists.select(*KEYS, F.inline(F.aggregate("c", empty, step))).drop("neg"))

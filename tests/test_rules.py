@@ -92,6 +92,24 @@ def test_greedy_matching_equals_brute_force(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_matching_of_wide_loads(spark):
+    rnd = random.Random(4)
+    rows, want = [], set()
+    # one load with about 10,000 pairs of all scores, one whose equal scores make every pair wait for the one before
+    wide = [("wide", rnd.random(), f"d{d:03}", f"a{a:03}") for d in range(200) for a in range(200) if rnd.random() < 0.25]
+    chain = [("chain", 0.95, f"d{d:03}", f"a{a:03}") for d in range(12) for a in range(12)]
+    for load, s, d, a in sorted(wide + chain, key=lambda c: (-c[1], c[2], c[3])):
+        rows.append((T, load, d, a, "X", "X", "same", s, s, 1.0, 1.0, None if s >= 0 else "low"))
+        if not {(load, d), (load, a)} & {x for p in want for x in ((p[0], p[1]), (p[0], p[2]))}:
+            want.add((load, d, a))
+    df = spark.createDataFrame(rows, "table_fqn string, load_id string, column_before string, column_after string, type_before string, "
+                                     "type_after string, type_relation string, score double, value_containment double, "
+                                     "null_similarity double, distinct_ratio double, reason string")
+    got = rename.rename_pairs(df).collect()
+    assert {(r.load_id, r.column_before, r.column_after) for r in got} == want and len(got) == len(want)
+    assert rename.rename_pairs(df.limit(0)).count() == 0
+
+
 def test_closure_survives_cycles_and_diamonds(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "b"), ("x", "y")], "src string, dst string")
     got = lineage.downstream(edges, spark.createDataFrame([("a",), ("x",), ("none",)], "node string")).collect()
