@@ -1,10 +1,11 @@
-"""The steps that grow with the loads: typed profiles, stored variants, re-sent rows."""
+"""The steps that grow with the loads: typed profiles, stored variants, re-sent rows, the second run in another arrangement."""
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from loadwarden.catalog import drift
 from loadwarden.catalog.given import Given
 from loadwarden.operators import profile
 from loadwarden.operators.profile import PROFILE_COLUMNS, exact_profile, exact_profiles, load_counts, long_values, value_counts
@@ -70,3 +71,10 @@ def test_resent_rows_are_joined_once(spark):
     got = restatement(rows.withColumns({"_load_id": F.lit("L2"), "v": F.col("v") / 4}), rows, "t", "k", "v")
     assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.matched_rows, r.ratio_median, round(r.ratio_cv, 9)) for r in got.collect()] == [(100, 4.0, 0.0)]
+
+
+def test_second_run_is_arranged_once(spark, monkeypatch):
+    worlds = []
+    monkeypatch.setattr(drift, "Given", lambda *a: worlds.append(Given(*a)) or worlds[-1])
+    assert {r.differences for r in drift.determinism_check(Given(spark, SF)).collect()} == {0}
+    assert not any(SF in f for f in worlds[0].orders.inputFiles())
