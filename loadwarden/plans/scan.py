@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from loadwarden.operators.classify import FIELDS, with_restatement
+from loadwarden.operators.classify import FIELDS, RESCALED, with_restatement
 from loadwarden.operators.gate import GATE_LOG_SCHEMA, gate_latest, new_loads, passed_loads, request_order, require_legal
 from loadwarden.operators.incidents import incident_entries
 from loadwarden.operators.profile import long_values, sketch_profile, value_counts
@@ -31,7 +31,6 @@ WATCH = "watch"
 #: Rename scores this close to the threshold are settled by exact counts: three standard errors of a containment from sketches, as weighted.
 NEAR = 0.03
 KEYS = ["table_fqn", "load_id"]
-RESCALED = "subtype IN ('unit_change', 'scale_shift')"
 
 
 @dataclass

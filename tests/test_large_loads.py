@@ -5,10 +5,13 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from loadwarden.catalog import drift
+from loadwarden.catalog import drift, given
 from loadwarden.catalog.given import Given
 from loadwarden.operators import profile
-from loadwarden.operators.profile import PROFILE_COLUMNS, exact_profile, exact_profiles, load_counts, long_values, value_counts
+from loadwarden.operators.profile import (PROFILE_COLUMNS, changed_profiles, column_medians, exact_profile, exact_profiles, load_counts, long_values, top_lists,
+                                          value_counts)
+from loadwarden.operators.quantiles import quantiles_within
+from loadwarden.operators.rename import exact_containment
 from loadwarden.operators.semantic import restatement
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +81,46 @@ def test_second_run_is_arranged_once(spark, monkeypatch):
     monkeypatch.setattr(drift, "Given", lambda *a: worlds.append(Given(*a)) or worlds[-1])
     assert {r.differences for r in drift.determinism_check(Given(spark, SF)).collect()} == {0}
     assert not any(SF in f for f in worlds[0].orders.inputFiles())
+
+
+def test_resent_rows_are_looked_for_in_rescaled_loads_alone(spark, monkeypatch):
+    loads = []
+    monkeypatch.setattr(given, "restatement", lambda new, *a: loads.extend(r[0] for r in new.select("_load_id").distinct().collect()) or restatement(new, *a))
+    found = Given(spark, SF).events.where("drift_class = 'semantic'").select("column_before", F.col("evidence.restatement_check.matched_rows").alias("n")).collect()
+    assert [r.n > 0 for r in found if r.column_before == "AMOUNT"] == [True]
+    assert loads == ["L2001.semantic"]
+
+
+def test_medians_are_of_columns_that_a_check_reads(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(profile, "quantiles_within", lambda rows, *a: made.append({tuple(r) for r in rows.select("load_id", "column_name").distinct().collect()}) or quantiles_within(rows, *a))
+    g = Given(spark, SF)
+    assert {r.column_name for r in g.medians.collect()} == {"AMOUNT", "CUST_ID"}
+    assert {c for k, c in made[0] if k == "L2001.widening"} == {"CUST_ID"} and {c for k, c in made[0] if k == "L2001.rename"} == {"AMOUNT"}
+
+
+def test_split_profiles_are_those_of_value_counts(spark, mixed):
+    many, few = mixed
+    want = {(r.load_id, r.column_name): r for r in exact_profile(long_values(many, "t").unionByName(long_values(few, "t"))).collect()}
+    pairs = [(many, "t"), (few, "t")]
+    medians = column_medians([(many, "t", frozenset({"A", "B", "C", "H"})), (few, "t", frozenset({"ODD.NAME"}))]).collect()
+    assert {(r.load_id, r.column_name): r.num_median for r in medians} == {k: r.num_median for k, r in want.items() if r.num_median is not None}
+    assert {(r.load_id, r.column_name): r.top_k for r in top_lists(pairs).collect()} == {k: r.top_k for k, r in want.items() if r.top_k is not None}
+    changed = changed_profiles(load_counts(many, "t").unionByName(load_counts(few, "t"))).collect()
+    assert {(r.load_id, r.column_name): (r.null_rate, r.distinct_count) for r in changed} == {k: (r.null_rate, r.distinct_count) for k, r in want.items()}
+
+
+def test_old_values_are_counted_for_all_baseline_loads_together(spark):
+    """A key that comes in every baseline load is one old value, not one for each load and candidate."""
+    g = Given(spark, SF)
+    keys = g.changed_counts.where("column_name = 'CUST_ID' and load_id like 'all of %'")
+    assert keys.count() == g.baseline.select("cust_id").distinct().count()
+
+
+def test_containment_is_of_each_candidates_own_baseline(spark):
+    diff = spark.createDataFrame([("t", k, c, a, b, "numeric") for k in ("N1", "N2") for c, a, b in (("dropped", "old", None), ("added", None, "new"))],
+                                 "table_fqn string, load_id string, change string, column_before string, column_after string, family string")
+    base = spark.createDataFrame([("t", "N1", "B1"), ("t", "N1", "B2"), ("t", "N2", "B2")], "table_fqn string, load_id string, base_load_id string")
+    counts = spark.createDataFrame([("t", k, c, v) for k, c, vs in (("B1", "OLD", "123"), ("B2", "OLD", "34"), ("N1", "NEW", "1239"), ("N2", "NEW", "1239")) for v in vs],
+                                   "table_fqn string, load_id string, column_name string, value string")
+    assert {r.load_id: r.containment for r in exact_containment(diff, base, counts).collect()} == {"N1": 0.75, "N2": 0.25}
