@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from loadwarden.catalog import drift, given
+from loadwarden.catalog import drift, fixes, given
 from loadwarden.catalog.given import Given
 from loadwarden.operators import profile
 from loadwarden.operators.profile import (PROFILE_COLUMNS, changed_profiles, column_medians, exact_profile, exact_profiles, load_counts, long_values, top_lists,
@@ -124,3 +124,13 @@ def test_containment_is_of_each_candidates_own_baseline(spark):
     counts = spark.createDataFrame([("t", k, c, v) for k, c, vs in (("B1", "OLD", "123"), ("B2", "OLD", "34"), ("N1", "NEW", "1239"), ("N2", "NEW", "1239")) for v in vs],
                                    "table_fqn string, load_id string, column_name string, value string")
     assert {r.load_id: r.containment for r in exact_containment(diff, base, counts).collect()} == {"N1": 0.75, "N2": 0.25}
+
+
+def _without(monkeypatch, *steps):
+    for s in steps:
+        monkeypatch.setattr(Given, s, property(lambda self, s=s: pytest.fail(f"{s} is not needed")), raising=False)
+
+
+def test_contract_as_of_runs_the_steps_it_reads(spark, monkeypatch):
+    _without(monkeypatch, "detection", "events", "medians", "top_lists")
+    assert fixes.contract_as_of(Given(spark, SF)).count() > 0
