@@ -134,3 +134,8 @@ def _without(monkeypatch, *steps):
 def test_contract_as_of_runs_the_steps_it_reads(spark, monkeypatch):
     _without(monkeypatch, "detection", "events", "medians", "top_lists")
     assert fixes.contract_as_of(Given(spark, SF)).count() > 0
+
+
+def test_normalise_unit_runs_the_steps_it_reads(spark, monkeypatch):
+    _without(monkeypatch, "detection", "events", "changed_counts", "top_lists")
+    assert fixes.normalise_unit(Given(spark, SF)).count() > 0
