@@ -139,3 +139,8 @@ def test_contract_as_of_runs_the_steps_it_reads(spark, monkeypatch):
 def test_normalise_unit_runs_the_steps_it_reads(spark, monkeypatch):
     _without(monkeypatch, "detection", "events", "changed_counts", "top_lists")
     assert fixes.normalise_unit(Given(spark, SF)).count() > 0
+
+
+def test_recode_apply_runs_the_steps_it_reads(spark, monkeypatch):
+    _without(monkeypatch, "detection", "events", "medians")
+    assert fixes.recode_apply(Given(spark, SF)).count() > 0
