@@ -10,25 +10,32 @@ from loadwarden.operators.staging import SYSTEM
 COLUMN = ["table_fqn", "column_name"]
 
 
-def contract_versions(contract: DataFrame, events: DataFrame) -> DataFrame:
+def contract_versions(contract: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """table_fqn, column_name, data_type, valid_from, valid_to (exclusive; null while it holds).
 
     A new column opens an interval, a widening closes one and opens the next with the wider type, a rename closes the old column and opens
     the new one, a lost column is closed. What the contract says already changes nothing. The first interval starts at the empty load id.
+    Without events the contract holds for all loads.
     """
+    first = contract.select("table_fqn", F.upper("column_name").alias("column_name"), F.lit("").alias("valid_from"), F.lower("data_type").alias("data_type"))
+    facts = first if events is None else first.unionByName(_turns(events))
+    # of one load, an opening outweighs a closing of the same name
+    facts = facts.groupBy(*COLUMN, "valid_from").agg(F.max("data_type").alias("data_type"))
+    by_load = Window.partitionBy(*COLUMN).orderBy("valid_from")
+    turns = facts.withColumn("_before", F.lag("data_type").over(by_load)).where(~F.col("data_type").eqNullSafe(F.col("_before")))
+    return (turns.withColumn("valid_to", F.lead("valid_from").over(by_load)).where(F.col("data_type").isNotNull())
+            .select(*COLUMN, "data_type", "valid_from", "valid_to"))
+
+
+def _turns(events: DataFrame) -> DataFrame:
+    """The openings and closings (no type) that the events make."""
     typed = contract_type(parse_type(F.col("type_after")))
     names = lambda c: F.upper(c).alias("column_name")
     opened = events.where(F.col("drift_class").isin("additive", "rename", "type_widening")).select(
         "table_fqn", names("column_after"), F.col("load_id").alias("valid_from"), typed.alias("data_type"))
     closed = events.where((F.col("drift_class") == "rename") | (F.col("subtype") == "column_dropped")).select(
         "table_fqn", names("column_before"), F.col("load_id").alias("valid_from"), F.lit(None).cast("string").alias("data_type"))
-    first = contract.select("table_fqn", names("column_name"), F.lit("").alias("valid_from"), F.lower("data_type").alias("data_type"))
-    # of one load, an opening outweighs a closing of the same name
-    facts = first.unionByName(opened).unionByName(closed).groupBy(*COLUMN, "valid_from").agg(F.max("data_type").alias("data_type"))
-    by_load = Window.partitionBy(*COLUMN).orderBy("valid_from")
-    turns = facts.withColumn("_before", F.lag("data_type").over(by_load)).where(~F.col("data_type").eqNullSafe(F.col("_before")))
-    return (turns.withColumn("valid_to", F.lead("valid_from").over(by_load)).where(F.col("data_type").isNotNull())
-            .select(*COLUMN, "data_type", "valid_from", "valid_to"))
+    return opened.unionByName(closed)
 
 
 def contract_as_of(loads: DataFrame, versions: DataFrame) -> DataFrame:
