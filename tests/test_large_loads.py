@@ -149,3 +149,8 @@ def test_recode_apply_runs_the_steps_it_reads(spark, monkeypatch):
 def test_contract_gaps_runs_the_steps_it_reads(spark, monkeypatch):
     _without(monkeypatch, "detection", "events", "structural_events", "scored", "medians")
     assert fixes.contract_gaps(Given(spark, SF)).count() > 0
+
+
+def test_recode_pairs_runs_the_steps_it_reads(spark, monkeypatch):
+    _without(monkeypatch, "detection", "events", "medians")
+    assert fixes.recode_pairs(Given(spark, SF)).count() > 0
