@@ -159,3 +159,8 @@ def test_recode_pairs_runs_the_steps_it_reads(spark, monkeypatch):
 def test_rename_rejections_runs_the_steps_it_reads(spark, monkeypatch):
     _without(monkeypatch, "detection", "events", "medians", "top_lists")
     assert drift.rename_rejections(Given(spark, SF)).count() > 0
+
+
+def test_blast_radius_runs_the_steps_it_reads(spark, monkeypatch):
+    _without(monkeypatch, "events", "restated")
+    assert drift.blast_radius(Given(spark, SF)).count() > 0
