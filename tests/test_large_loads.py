@@ -164,3 +164,8 @@ def test_rename_rejections_runs_the_steps_it_reads(spark, monkeypatch):
 def test_blast_radius_runs_the_steps_it_reads(spark, monkeypatch):
     _without(monkeypatch, "events", "restated")
     assert drift.blast_radius(Given(spark, SF)).count() > 0
+
+
+def test_route_decisions_runs_the_steps_it_reads(spark, monkeypatch):
+    _without(monkeypatch, "events", "restated")
+    assert drift.route_decisions(Given(spark, SF)).count() > 0
