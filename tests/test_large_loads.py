@@ -11,7 +11,8 @@ from loadwarden.operators import profile
 from loadwarden.operators.profile import (PROFILE_COLUMNS, changed_profiles, column_medians, exact_profile, exact_profiles, load_counts, long_values, top_lists,
                                           value_counts)
 from loadwarden.operators.quantiles import quantiles_within
-from loadwarden.operators.rename import exact_containment
+from loadwarden.operators.remediate import recode_pairs
+from loadwarden.operators.rename import exact_containment, last_profiles
 from loadwarden.operators.semantic import restatement
 
 SF = "/root/testdata/sf0.001"
@@ -156,6 +157,26 @@ def test_recode_pairs_runs_the_steps_it_reads(spark, monkeypatch):
     assert fixes.recode_pairs(Given(spark, SF)).count() > 0
 
 
+def test_recode_pairs_reads_codes_alone(spark, monkeypatch):
+    """Keys are as many as the rows, and no recoding rests on them: neither their values nor their containment are needed."""
+    _without(monkeypatch, "changed_counts", "structural_events", "top_lists", "medians")
+    g = Given(spark, SF)
+    assert fixes.recode_pairs(g).count() > 0
+    assert {r[0] for r in g.code_counts.select("column_name").distinct().collect()} == {"STATUS", "CHANNEL", "ORDER_MONTH", "SETTLED", "CHANNEL_CODE"}
+
+
+def test_recodings_beside_a_renamed_text_are_those_of_all_events(spark):
+    g = Given(spark, SF)
+    g.orders = g.orders.withColumn("note", F.concat(F.lit("n"), (F.col("order_id") % 60).cast("string")))
+    lost = g.variants["L2001.breaking"].withColumnRenamed("note", "remark").drop("cust_id")
+    g.variants = {**g.variants, "L2001.lost": lost.withColumn("_load_id", F.lit("L2001.lost"))}
+    want = recode_pairs(g.structural_events, last_profiles(g.top_lists, g.structure[0]), g.top_lists).collect()
+    assert sorted(fixes._pairs(g).collect()) == sorted(want)
+    assert {(r.column_before, r.column_after) for r in want if r.load_id == "L2001.lost"} == {("STATUS", "SETTLED")}
+    events = lambda df: {r.event_id for r in df.where("coalesce(column_before, column_after) IN ('NOTE', 'STATUS', 'SETTLED')").collect()}
+    assert events(g.code_events) == events(g.structural_events.where("drift_class <> 'semantic'")) != set()
+
+
 def test_rename_rejections_runs_the_steps_it_reads(spark, monkeypatch):
     _without(monkeypatch, "detection", "events", "medians", "top_lists")
     assert drift.rename_rejections(Given(spark, SF)).count() > 0
